@@ -109,7 +109,6 @@ def _simplex_search(cost, start: np.ndarray, steps: int = 600) -> np.ndarray:
     return points[int(np.argmin(costs))]
 
 
-@F.pandas_udf("shape_param double, location_param double, scale_param double")
 def _refine(values: pd.Series, k: pd.Series, location: pd.Series, scale: pd.Series) -> pd.DataFrame:
     rows = []
     for x, k0, loc0, scale0 in zip(values, k, location, scale):
@@ -130,7 +129,8 @@ def likelihood(blocks: DataFrame) -> DataFrame:
         "shape_param", "location_param", "scale_param").alias("start"))
     arrays = blocks.groupBy("station_id", "variable").agg(
         F.sort_array(F.collect_list("value")).alias("values"))
-    best = _refine("values", "start.shape_param", "start.location_param", "start.scale_param")
+    refine = F.pandas_udf(_refine, "shape_param double, location_param double, scale_param double")
+    best = refine("values", "start.shape_param", "start.location_param", "start.scale_param")
     return (start.join(arrays, ["station_id", "variable"])
             .withColumn("best", best)
             .select("station_id", "variable", "n_years", "best.*"))

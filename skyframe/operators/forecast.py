@@ -115,7 +115,7 @@ def _errors(truth: np.ndarray, guess: np.ndarray) -> tuple[float, float]:
     return float(np.mean(np.abs(truth - guess))), float(np.sqrt(np.mean((truth - guess) ** 2)))
 
 
-_EMPTY = pd.DataFrame(columns=schemas.FORECAST.fieldNames())
+_EMPTY = pd.DataFrame(columns=schemas.FORECAST_COLUMNS)
 
 
 def harmonic(daily: DataFrame, min_days: int = 365, weeks: int = 52, holdout: int = 52) -> DataFrame:

@@ -15,8 +15,16 @@ BROADCAST_LIMIT = 64 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; for files it never undershoots the file size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """Upper estimate of a lookup table's size from the optimizer's statistics.
+
+    A lookup is made of filters, aggregates and many-to-one joins, none of which adds
+    rows, so it is no larger than the files it reads; the optimizer alone would multiply
+    the sides of a join.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    files = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return min(files, int(str(plan.stats().sizeInBytes())))
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",

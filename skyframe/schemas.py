@@ -1,22 +1,15 @@
-"""Schemas of the raw feeds and of the tables the operators produce."""
-
-from pyspark.sql import types as T
-
-
-def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
+"""Schemas (as DDL text) of the raw feeds and of the tables the operators produce."""
 
 # Raw feeds.
-LONG_OBSERVATIONS = _struct(
+LONG_OBSERVATIONS = (
     "station_id string, obs_date string, element string, value double, "
     "m_flag string, q_flag string, s_flag string, obs_time string"
 )
-GRID = _struct(
+GRID = (
     "latitude double, longitude double, time string, t2m double, tp double, "
     "sp double, u10 double, v10 double"
 )
-MONTH_GRID = _struct(
+MONTH_GRID = (
     "year int, month int, latitude double, longitude double, temp_anomaly double"
 )
 
@@ -39,8 +32,9 @@ ELEMENT_DIVISORS = {"TMAX": 10.0, "TMIN": 10.0, "TAVG": 10.0, "PRCP": 10.0}
 VARIABLES = ["tmax", "tmin", "prcp"]
 
 # Outputs of the grouped models.
-FORECAST = _struct(
+FORECAST = (
     "station_id string, forecast_date date, variable string, predicted_value double, "
     "lower_bound double, upper_bound double, model_type string, model_version string, "
     "mae double, rmse double"
 )
+FORECAST_COLUMNS = [part.split()[0] for part in FORECAST.split(", ")]

@@ -7,7 +7,7 @@ query takes a checkpoint folder so that it resumes after a failure.
 
 from __future__ import annotations
 
-import math
+import statistics
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -57,40 +57,45 @@ def detect_batch(history: Callable[[], DataFrame], emit: Callable[[DataFrame, in
     return handle
 
 
+def _z_of_last(buffer: list[float | None]) -> float | None:
+    """Deviation of the newest value from the known values of its buffer."""
+    known = [b for b in buffer if b is not None]
+    if buffer[-1] is None or len(known) < 2:
+        return None
+    spread = statistics.stdev(known)
+    return (buffer[-1] - statistics.fmean(known)) / spread if spread > 0 else None
+
+
 def detect_stateful(wide: DataFrame, size: int = 365) -> DataFrame:
     """Alerts for each new day against the station's last ``size`` days, kept as state.
 
-    The state of a station is a buffer of at most ``size`` days; days arrive in chunks
-    and each chunk is sorted, so no station is held whole."""
+    The state of a station is a buffer of at most ``size`` days. ``wide`` holds one row
+    per station and day, so what one call sorts is bounded by the calendar. Days not
+    after the newest one already scored are skipped."""
     state = ", ".join(f"{v} array<double>" for v in VARIABLES) + ", last date"
     output = ("station_id string, obs_date date, " + ", ".join(f"{v}_z double" for v in VARIABLES)
               + ", " + ", ".join(f"{v} double" for v in VARIABLES))
 
+    columns = ["station_id", "obs_date", *[f"{v}_z" for v in VARIABLES], *VARIABLES]
+
     def update(key, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
         if group.exists:
             *buffers, last = group.get
             buffers = [list(b) for b in buffers]
         else:
             buffers, last = [[] for _ in VARIABLES], None
-        for pdf in frames:
-            out = []
-            for row in pdf.sort_values("obs_date").to_dict("records"):
-                if last is not None and row["obs_date"] <= last:
-                    continue
-                last = row["obs_date"]
-                values = [None if pd.isna(row[v]) else float(row[v]) for v in VARIABLES]
-                zs = []
-                for buffer, value in zip(buffers, values):
-                    buffer.append(value)
-                    del buffer[:-size]
-                    known = [b for b in buffer if b is not None]
-                    mean = sum(known) / len(known) if known else 0.0
-                    spread = math.sqrt(sum((b - mean) ** 2 for b in known) / (len(known) - 1)) if len(known) > 1 else 0.0
-                    zs.append((value - mean) / spread if value is not None and spread > 0 else None)
-                out.append((key[0], last, *zs, *values))
-            if out:
-                yield pd.DataFrame(out, columns=["station_id", "obs_date", *[f"{v}_z" for v in VARIABLES], *VARIABLES])
+        out = []
+        for row in pd.concat(list(frames)).sort_values("obs_date").to_dict("records"):
+            if last is not None and row["obs_date"] <= last:
+                continue
+            last = row["obs_date"]
+            values = [None if pd.isna(row[v]) else float(row[v]) for v in VARIABLES]
+            for buffer, value in zip(buffers, values):
+                buffer.append(value)
+                del buffer[:-size]
+            out.append((key[0], last, *map(_z_of_last, buffers), *values))
         group.update((*buffers, last))
+        yield pd.DataFrame(out, columns=columns)
 
     scored = wide.groupBy("station_id").applyInPandasWithState(
         update, output, state, "append", GroupStateTimeout.NoTimeout)
