@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skyframe import schemas
+from skyframe.operators.grouped import spread
 
 
 def interpolate(daily: DataFrame, variables: list[str], limit: int = 30) -> DataFrame:
@@ -63,8 +66,11 @@ def classical(daily: DataFrame, value: str, period: int) -> DataFrame:
         "residual", F.col(value) - F.col("trend") - F.col("seasonal")).drop("_mean", "_rows")
 
 
-def _tricube(n: int, q: int, at: np.ndarray) -> np.ndarray:
-    """Neighbourhood weights (rows: evaluation points, columns: data positions)."""
+@lru_cache(maxsize=32)
+def _kernels(n: int, q: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbourhood weights (rows: evaluation points low..high-1, columns: data
+    positions), also times the offset from the point and its square."""
+    at = np.arange(low, high)
     width = min(q, n)
     left = np.clip(at - (q - 1) // 2, 0, n - width)
     reach = np.maximum(at - left, left + width - 1 - at) + max(0, (q - n) // 2)
@@ -73,7 +79,9 @@ def _tricube(n: int, q: int, at: np.ndarray) -> np.ndarray:
     inside = (position >= left[:, None]) & (position < (left + width)[:, None])
     ratio = distance / np.maximum(reach, 1)[:, None]
     weight = np.where(ratio <= 0.001, 1.0, (1 - np.minimum(ratio, 1) ** 3) ** 3)
-    return np.where(inside & (ratio <= 0.999), weight, 0.0)
+    weight = np.where(inside & (ratio <= 0.999), weight, 0.0)
+    offset = position[None, :] - at[:, None]
+    return weight.T, (weight * offset).T, (weight * offset ** 2).T
 
 
 def _line(s0, s1, s2, t0, t1, span):
@@ -85,11 +93,11 @@ def _line(s0, s1, s2, t0, t1, span):
         return np.where(np.sqrt(np.maximum(variance, 0)) > 0.001 * span, sloped, mean)
 
 
-def _dense(weights: np.ndarray, offsets: np.ndarray, y: np.ndarray, rw: np.ndarray) -> np.ndarray:
-    """Fits of one or many series (rows of y) at the points behind ``weights``."""
-    first, second = weights * offsets, weights * offsets ** 2
+def _dense(q: int, low: int, high: int, y: np.ndarray, rw: np.ndarray) -> np.ndarray:
+    """Fits of one or many series (rows of y) at the points low..high-1."""
+    weights, first, second = _kernels(y.shape[-1], q, low, high)
     ry = rw * y
-    return _line(rw @ weights.T, rw @ first.T, rw @ second.T, ry @ weights.T, ry @ first.T,
+    return _line(rw @ weights, rw @ first, rw @ second, ry @ weights, ry @ first,
                  max(y.shape[-1] - 1, 1))
 
 
@@ -98,21 +106,16 @@ def _loess(y: np.ndarray, q: int, rw: np.ndarray) -> np.ndarray:
     are the same everywhere, so the sums are convolutions."""
     n = len(y)
     if q >= n:
-        at = np.arange(n)
-        return _dense(_tricube(n, q, at), at[None, :] - at[:, None], y, rw)
+        return _dense(q, 0, n, y, rw)
     half = (q - 1) // 2
-    offset = np.arange(q) - half
-    kernel = _tricube(q, q, np.array([half]))[0]
     ry = rw * y
-
-    def total(series, power):
-        return np.convolve(series, (kernel * offset ** power)[::-1], mode="valid")
-
+    kernels = [k[::-1, 0] for k in _kernels(q, q, half, half + 1)]
+    sums = [np.convolve(series, kernels[power], mode="valid")
+            for series, power in ((rw, 0), (rw, 1), (rw, 2), (ry, 0), (ry, 1))]
     out = np.empty(n)
-    out[half:n - half] = _line(total(rw, 0), total(rw, 1), total(rw, 2), total(ry, 0), total(ry, 1), n - 1)
-    for part, at in ((slice(0, q), np.arange(half)), (slice(n - q, n), np.arange(q - half, q))):
-        fit = _dense(_tricube(q, q, at), np.arange(q)[None, :] - at[:, None], y[part], rw[part])
-        out[part.start + at] = fit
+    out[half:n - half] = _line(*sums, n - 1)
+    out[:half] = _dense(q, 0, half, y[:q], rw[:q])
+    out[n - half:] = _dense(q, q - half, q, y[-q:], rw[-q:])
     return out
 
 
@@ -123,9 +126,7 @@ def _cycle_smooth(detrended: np.ndarray, rw: np.ndarray, period: int, q: int) ->
     for length in {len(range(p, n, period)) for p in range(period)}:
         phases = [p for p in range(period) if len(range(p, n, period)) == length]
         rows = np.array(phases)[:, None] + period * np.arange(length)[None, :]
-        at = np.arange(-1, length + 1)
-        fit = _dense(_tricube(length, q, at), np.arange(length)[None, :] - at[:, None],
-                     detrended[rows], rw[rows])
+        fit = _dense(q, -1, length + 1, detrended[rows], rw[rows])
         fit = np.where(np.isfinite(fit), fit, np.pad(detrended[rows], ((0, 0), (1, 1)), mode="edge"))
         out[np.array(phases)[:, None] + period * np.arange(length + 2)[None, :]] = fit
     return out
@@ -184,6 +185,6 @@ def stl(daily: DataFrame, period: int = 365, seasonal: int = 365, trend: int = 7
                 pdf[f"{v}_{name}"] = component
         return pdf
 
-    fitted = filled.groupBy("station_id").applyInPandas(one_station, schema)
+    fitted = spread(filled, ["station_id"]).groupBy("station_id").applyInPandas(one_station, schema)
     components = [f"{v}_{p}" for v in variables for p in parts]
     return fitted.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in [*variables, *components]})

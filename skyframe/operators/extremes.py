@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skyframe.functions import scores
 from skyframe.operators import daily as daily_ops
+from skyframe.operators.grouped import spread
 
 # Return periods in years.
 PERIODS = [10, 25, 50, 100]
@@ -131,7 +132,8 @@ def likelihood(blocks: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list("value")).alias("values"))
     refine = F.pandas_udf(_refine, "shape_param double, location_param double, scale_param double")
     best = refine("values", "start.shape_param", "start.location_param", "start.scale_param")
-    return (start.join(arrays, ["station_id", "variable"])
+    keys = ["station_id", "variable"]
+    return (spread(start.join(arrays, keys), keys)
             .withColumn("best", best)
             .select("station_id", "variable", "n_years", "best.*"))
 

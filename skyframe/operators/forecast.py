@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from skyframe import schemas
 from skyframe.functions import units
 from skyframe.operators import daily as daily_ops
+from skyframe.operators.grouped import spread
 
 # Model weights of the blend, by the set of models present.
 WEIGHTS = {"arx": 0.5, "harmonic": 0.3, "statistical": 0.2}
@@ -139,7 +140,7 @@ def harmonic(daily: DataFrame, min_days: int = 365, weeks: int = 52, holdout: in
         return _rows(station, variable, dates, value, value + low, value + high,
                      "harmonic", "1.0", mae, rmse)
 
-    return _series(daily, min_days).groupBy("station_id", "variable").applyInPandas(
+    return spread(_series(daily, min_days), ["station_id", "variable"]).groupBy("station_id", "variable").applyInPandas(
         one_series, schemas.FORECAST)
 
 
@@ -193,7 +194,7 @@ def arx(daily: DataFrame, min_days: int = 365, weeks: int = 52, holdout: int = 5
         return _rows(station, variable, dates, value, value + low, value + high, "arx",
                      "2.0-multivariate", mae, rmse)
 
-    return _series(daily, min_days).groupBy("station_id", "variable").applyInPandas(
+    return spread(_series(daily, min_days), ["station_id", "variable"]).groupBy("station_id", "variable").applyInPandas(
         one_series, schemas.FORECAST)
 
 

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from skyframe.operators import anomaly
+from skyframe.operators.grouped import spread
+from skyframe.operators.joins import with_residuals
 
 SEQUENCE = 30
 SEQUENCE_FEATURES = ["tmax_zscore_30d", "tmin_zscore_30d", "prcp_zscore_30d"]
@@ -38,7 +40,7 @@ def forest_scores(x: np.ndarray, seed: int, trees: int = 200, sample: int = 256)
     feature = np.full((trees, nodes), -1)
     cut = np.zeros((trees, nodes))
     size = np.zeros((trees, nodes))
-    rows = np.stack([rng.choice(n, psi, replace=False) for _ in range(trees)]).ravel()
+    rows = np.concatenate([rng.choice(n, psi, replace=False) for _ in range(trees)])
     tree, node = np.repeat(np.arange(trees), psi), np.zeros(trees * psi, dtype=int)
     size[:, 0] = psi
     for _ in range(levels):
@@ -62,20 +64,22 @@ def forest_scores(x: np.ndarray, seed: int, trees: int = 200, sample: int = 256)
         right = values[np.arange(len(rows)), pick[which]] > point[which]
         node = 2 * node + 1 + right
         rows, tree, node = rows[keep], tree[keep], node[keep]
-        np.add.at(size, (tree, node), 1)
-    total = np.zeros(n)
-    every = np.arange(trees)[None, :]
-    for start in range(0, n, 4096):
-        part = x[start:start + 4096]
-        place = np.zeros((len(part), trees), dtype=int)
-        depth = np.zeros((len(part), trees))
-        for _ in range(levels):
-            f = feature[every, place]
-            inner = f >= 0
-            go = part[np.arange(len(part))[:, None], np.maximum(f, 0)] > cut[every, place]
-            place = np.where(inner, 2 * place + 1 + go, place)
-            depth += inner
-        total[start:start + 4096] = (depth + _mean_path(size[every, place])).mean(axis=1)
+        size.ravel()[:] += np.bincount(tree * nodes + node, minlength=trees * nodes)
+    depth = np.repeat(np.arange(levels + 1), 1 << np.arange(levels + 1))
+    path = depth + _mean_path(size)
+    total = np.empty(n)
+    for start in range(0, n, 1024):
+        part = x[start:start + 1024]
+        length = np.zeros(len(part))
+        at = np.arange(len(part))
+        for f, c, p in zip(feature, cut, path):
+            place = np.zeros(len(part), dtype=int)
+            for _ in range(levels):
+                chosen = f[place]
+                right = part[at, chosen] > c[place]
+                place = np.where(chosen >= 0, 2 * place + 1 + right, place)
+            length += p[place]
+        total[start:start + 1024] = length / trees
     return 2.0 ** (-total / _mean_path(np.array(psi)))
 
 
@@ -120,14 +124,12 @@ def model_scores(features: DataFrame, names: list[str] = anomaly.FEATURES, min_r
             by_sequence = reconstruction_scores(pdf[ordered].fillna(0.0).to_numpy(dtype=float))
         return pdf.assign(iforest_score=forest_scores(x, seed, trees), seq_score=by_sequence)
 
-    return features.groupBy("station_id").applyInPandas(one_station, schema)
+    return spread(features, ["station_id"]).groupBy("station_id").applyInPandas(one_station, schema)
 
 
 def detect(features: DataFrame, residuals: DataFrame | None = None, min_rows: int = 365,
            trees: int = 200, sequence: bool = True) -> DataFrame:
     """Features to labelled anomaly rows: model scores, blend, flag, classify."""
-    from skyframe.operators.joins import with_residuals
-
     columns = ["station_id", "obs_date", "latitude", "longitude", "geohash_prefix"]
     complete = with_residuals(features, residuals, ["tmax", "tmin", "prcp"])
     narrow = complete.select(*columns, *[F.col(c) for c in anomaly.FEATURES])

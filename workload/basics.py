@@ -91,7 +91,7 @@ def _(v):
 def _(v):
     path = folder(v, "observations")
     rows = v.placed.select("station_id", "obs_date", "tmax", "tmin", "geohash_prefix", "year")
-    lake.partitioned(rows, path, ["geohash_prefix", "year"], sort=["station_id", "obs_date"])
+    lake.partitioned(rows, path, ["year"], sort=["geohash_prefix", "station_id", "obs_date"])
     return v.spark.read.schema(rows.schema).parquet(path)
 
 
