@@ -1,4 +1,4 @@
-"""Layout for the CPU-heavy grouped models."""
+"""Layout for steps whose work is out of proportion to their input size."""
 
 from __future__ import annotations
 

@@ -66,20 +66,20 @@ def forest_scores(x: np.ndarray, seed: int, trees: int = 200, sample: int = 256)
         rows, tree, node = rows[keep], tree[keep], node[keep]
         size.ravel()[:] += np.bincount(tree * nodes + node, minlength=trees * nodes)
     depth = np.repeat(np.arange(levels + 1), 1 << np.arange(levels + 1))
-    path = depth + _mean_path(size)
+    path = (depth + _mean_path(size)).ravel()
+    root = (np.arange(trees) * nodes)[:, None]
+    flat_feature, flat_cut = feature.ravel(), cut.ravel()
     total = np.empty(n)
     for start in range(0, n, 1024):
         part = x[start:start + 1024]
-        length = np.zeros(len(part))
-        at = np.arange(len(part))
-        for f, c, p in zip(feature, cut, path):
-            place = np.zeros(len(part), dtype=int)
-            for _ in range(levels):
-                chosen = f[place]
-                right = part[at, chosen] > c[place]
-                place = np.where(chosen >= 0, 2 * place + 1 + right, place)
-            length += p[place]
-        total[start:start + 1024] = length / trees
+        values, row = part.ravel(), (np.arange(len(part)) * d)[None, :]
+        place = np.zeros((trees, len(part)), dtype=np.int64)
+        for _ in range(levels):
+            at = root + place
+            chosen = flat_feature[at]
+            right = values[row + chosen] > flat_cut[at]
+            place += (chosen >= 0) * (place + 1 + right)
+        total[start:start + 1024] = path[root + place].mean(axis=0)
     return 2.0 ** (-total / _mean_path(np.array(psi)))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skyframe import schemas
 from skyframe.operators import daily as daily_ops
+from skyframe.operators.grouped import spread
 
 # Yearly change per scenario and variable, and the table's labels.
 RATES = {
@@ -27,8 +28,9 @@ def month_climatology(daily: DataFrame, min_days: int = 365) -> DataFrame:
     clim = long.groupBy("station_id", "variable", F.month("obs_date").alias("month")).agg(
         F.avg("value").alias("base"), F.coalesce(F.stddev("value"), F.lit(2.0)).alias("spread"),
         F.count(F.lit(1)).alias("days"), F.max("latitude").alias("latitude"))
-    total = F.sum("days").over(Window.partitionBy("station_id", "variable"))
-    return clim.withColumn("_total", total).where(F.col("_total") >= min_days).drop("_total", "days")
+    keys = ["station_id", "variable"]
+    total = F.sum("days").over(Window.partitionBy(*keys))
+    return spread(clim, keys).withColumn("_total", total).where(F.col("_total") >= min_days).drop("_total", "days")
 
 
 def _uniform(salt: int) -> Column:
@@ -46,8 +48,9 @@ def scenarios(daily: DataFrame, rates: dict[str, dict[str, float]] = RATES,
               min_days: int = 365, digits: bool = True) -> DataFrame:
     """Monthly values and bounds per scenario and year.
 
-    Scenario and year are expanded inside each climatology row, so the climatology
-    is the only shuffle and the output streams from it. ``noise`` scales optional
+    Scenario and year are expanded inside each climatology row (a thousandfold growth),
+    so only the climatology is shuffled; it is spread over a fixed number of tasks
+    because its own size says nothing about the output's. ``noise`` scales optional
     year-to-year variation (0.3 of the monthly deviation is customary)."""
     table = F.array(*[
         F.struct(F.lit(name).alias("scenario"), F.lit(by["tmax"]).alias("tmax"),

@@ -62,9 +62,7 @@ class Views:
     def obs(self) -> DataFrame:
         price, line = F.col("l_extendedprice") / 1000.0, F.col("l_linenumber")
         day = F.to_date("l_shipdate").alias("obs_date")
-        grouped = self.table("lineitem").groupBy(
-            F.concat(F.lit("ST"), F.lpad(F.col("l_suppkey").cast("string"), 12, "0")).alias("station_id"),
-            day).agg(
+        grouped = self.table("lineitem").groupBy("l_suppkey", day).agg(
                 F.max(price).alias("tmax"),
                 (F.min(price) - F.max("l_discount") * 100).alias("tmin"),
                 F.avg(price).alias("mean_price"),
@@ -72,7 +70,8 @@ class Views:
                 F.sum(F.when(line % 2 == 0, F.col("l_tax") * 100)).alias("snow"),
                 F.max(F.col("l_tax") * 50).alias("snwd"))
         odd = F.when(F.dayofmonth("obs_date") % 2 == 1, F.col("mean_price"))
-        return grouped.select("station_id", "obs_date", "tmax", "tmin", odd.alias("tavg"),
+        station = F.concat(F.lit("ST"), F.lpad(F.col("l_suppkey").cast("string"), 12, "0"))
+        return grouped.select(station.alias("station_id"), "obs_date", "tmax", "tmin", odd.alias("tavg"),
                               "prcp", "snow", "snwd")
 
     @cached_property
