@@ -168,7 +168,8 @@ def stl(daily: DataFrame, period: int = 365, seasonal: int = 365, trend: int = 7
     Python, over that station's daily rows (calendar-bounded). Short or constant
     series get NULL components."""
     parts = ["trend", "seasonal", "residual"]
-    filled = interpolate(daily.select("station_id", "obs_date", *variables), variables)
+    narrow = spread(daily.select("station_id", "obs_date", *variables), ["station_id"])
+    filled = interpolate(narrow, variables)
     schema = "station_id string, obs_date date, " + ", ".join(
         f"{v} double" for v in variables) + ", " + ", ".join(
             f"{v}_{p} double" for v in variables for p in parts)
@@ -185,6 +186,6 @@ def stl(daily: DataFrame, period: int = 365, seasonal: int = 365, trend: int = 7
                 pdf[f"{v}_{name}"] = component
         return pdf
 
-    fitted = spread(filled, ["station_id"]).groupBy("station_id").applyInPandas(one_station, schema)
+    fitted = filled.groupBy("station_id").applyInPandas(one_station, schema)
     components = [f"{v}_{p}" for v in variables for p in parts]
     return fitted.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in [*variables, *components]})

@@ -24,8 +24,9 @@ EULER = 0.5772156649015329
 
 def block_extremes(daily: DataFrame, min_days: int = 365, min_years: int = 10) -> DataFrame:
     """Yearly extremes oriented as maxima (tmin negated) of long enough series."""
-    series = Window.partitionBy("station_id", "variable")
-    blocks = daily_ops.annual_extreme(daily)
+    keys = ["station_id", "variable"]
+    series = Window.partitionBy(*keys)
+    blocks = spread(daily_ops.annual_extreme(daily), keys)
     oriented = F.when(F.col("variable") == "tmin", -F.col("value")).otherwise(F.col("value"))
     return (blocks.withColumn("value", oriented)
             .withColumn("_days", F.sum("days").over(series))
@@ -133,7 +134,7 @@ def likelihood(blocks: DataFrame) -> DataFrame:
     refine = F.pandas_udf(_refine, "shape_param double, location_param double, scale_param double")
     best = refine("values", "start.shape_param", "start.location_param", "start.scale_param")
     keys = ["station_id", "variable"]
-    return (spread(start.join(arrays, keys), keys)
+    return (start.join(arrays, keys)
             .withColumn("best", best)
             .select("station_id", "variable", "n_years", "best.*"))
 

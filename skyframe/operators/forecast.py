@@ -24,34 +24,44 @@ def statistical(daily: DataFrame, horizon: int = 365, step: int = 7, min_days: i
     The trend is the least-squares slope of the last ``trend_days`` days (0 with 365
     values or fewer), against the day number (``x="day"``) or the row number. Offsets
     1, 1+step, ... up to the horizon; days of year never observed are absent.
+
+    One scan and one shuffle by series: the slope is a window over the series, and each
+    climatology row works out which forecast dates fall on its day of year, so the
+    climatology is not joined back.
     """
     series = Window.partitionBy("station_id", "variable")
     marked = daily_ops.unpivot(daily).withColumns({
         "last": F.max("obs_date").over(series),
         "row": F.row_number().over(series.orderBy("obs_date")),
-    })
+    }).withColumn("recent", F.col("obs_date") >= F.date_sub("last", trend_days))
     axis = F.col("row") if x == "row" else units.epoch_day(F.col("obs_date"))
-    recent = F.col("obs_date") >= F.date_sub("last", trend_days)
-    heads = marked.groupBy("station_id", "variable").agg(
-        F.max("last").alias("last"), F.count(F.lit(1)).alias("days"),
-        F.count_if(recent).alias("recent"),
-        F.regr_slope(F.when(recent, F.col("value")), F.when(recent, axis)).alias("slope"),
-    ).where(F.col("days") >= min_days)
-    clim = marked.groupBy("station_id", "variable", F.dayofyear("obs_date").alias("doy")).agg(
-        F.avg("value").alias("base"), F.coalesce(F.stddev("value"), F.lit(2.0)).alias("spread"))
-    ahead = heads.withColumn("offset", F.explode(F.sequence(F.lit(1), F.lit(horizon), F.lit(step))))
-    dated = ahead.withColumn("forecast_date", F.date_add("last", F.col("offset"))).withColumn(
-        "doy", F.dayofyear("forecast_date"))
-    slope = F.when(F.col("recent") > 365, F.coalesce("slope", F.lit(0.0))).otherwise(0.0)
-    value = F.col("base") + slope * F.col("offset")
+    in_trend = F.regr_slope(F.when(F.col("recent"), F.col("value")), F.when(F.col("recent"), axis))
+    enough = F.count_if("recent").over(series) > 365
+    described = marked.withColumns({
+        "days": F.count(F.lit(1)).over(series),
+        "slope": F.when(enough, F.coalesce(in_trend.over(series), F.lit(0.0))).otherwise(0.0)})
+    clim = described.where(F.col("days") >= min_days).groupBy(
+        "station_id", "variable", F.dayofyear("obs_date").alias("doy")).agg(
+            F.avg("value").alias("base"), F.coalesce(F.stddev("value"), F.lit(2.0)).alias("spread"),
+            F.max("last").alias("last"), F.max("slope").alias("slope"))
+
+    def wanted(date: Column) -> Column:
+        ahead = F.datediff(date, F.col("last"))
+        return ahead.between(1, horizon) & (F.pmod(ahead - 1, F.lit(step)) == 0) & (
+            F.dayofyear(date) == F.col("doy"))
+
+    years = F.sequence(F.year("last"), F.year(F.date_add("last", horizon)))
+    dates = F.filter(F.transform(
+        years, lambda y: F.date_add(F.make_date(y, F.lit(1), F.lit(1)), F.col("doy") - 1)), wanted)
+    dated = clim.withColumn("forecast_date", F.explode(dates))
+    value = F.col("base") + F.col("slope") * F.datediff("forecast_date", "last")
     floored = F.when(F.col("variable") == "prcp", F.greatest(value, F.lit(0.0))).otherwise(value)
     margin = F.col("spread") * 1.645
 
     def out(c: Column) -> Column:
         return F.round(c, 2) if digits else c
 
-    joined = dated.join(clim, ["station_id", "variable", "doy"]).withColumn("_value", floored)
-    return joined.select(
+    return dated.withColumn("_value", floored).select(
         "station_id", "forecast_date", "variable", out(F.col("_value")).alias("predicted_value"),
         out(F.col("_value") - margin).alias("lower_bound"),
         out(F.col("_value") + margin).alias("upper_bound"),

@@ -9,8 +9,9 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     """Hash-partition by the group keys into a fixed number of tasks.
 
     Model input is small in bytes but heavy in CPU, so adaptive coalescing would pack it
-    into a few tasks; an explicit count is left alone, and the grouped map that follows
-    needs no further shuffle."""
+    into a few tasks; an explicit count is left alone. Call it before the first window or
+    group on the keys: what follows on the same keys needs no further shuffle (and a later
+    call would be dropped by the planner as redundant)."""
     spark = df.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return df.repartition(tasks, *keys)

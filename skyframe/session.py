@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pathlib
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -47,3 +49,18 @@ def cut(df, name: str):
     path = f"{shared_dir(spark).rstrip('/')}/{name}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that the grouped
+    models can be imported there wherever the driver was started from."""
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        package = pathlib.Path(__file__).resolve().parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='run-', dir='/tmp')}/{package.name}", "zip",
+                                      package.parent, package.name)
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(application)

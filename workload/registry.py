@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from skyframe.session import ship
 from workload.views import SQL_VIEWS, Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,7 +64,11 @@ def oracle(body: str, doubles: str = "", dates: str = "") -> str:
 def query(name: str, sql: str | None = None, doubles: str = "", dates: str = ""):
     """Register ``fn(views)`` under ``name`` with an optional SQL twin."""
     def add(fn: Callable[[Views], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: present(fn(Views(spark, sf_dir)))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return present(fn(Views(spark, sf_dir)))
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = oracle(sql, doubles, dates)
         return fn
