@@ -49,9 +49,12 @@ def with_date_parts(df: DataFrame, day: str = "obs_date") -> DataFrame:
 
 
 def with_geohash(df: DataFrame, precision: int, prefix_length: int) -> DataFrame:
-    """Geohash of latitude/longitude and its partitioning prefix."""
-    coded = df.withColumn("geohash", geo.geohash(F.col("latitude"), F.col("longitude"), precision))
-    return coded.withColumn("geohash_prefix", geo.prefix(F.col("geohash"), prefix_length))
+    """Geohash of latitude/longitude and its partitioning prefix. The two cell indices
+    are columns of their own first, so each is computed once and the plan stays small."""
+    x, y = geo.cell_indices("latitude", "longitude", precision)
+    coded = df.withColumns({"_x": x, "_y": y}).withColumn(
+        "geohash", geo.code("_x", "_y", precision))
+    return coded.withColumn("geohash_prefix", geo.prefix(F.col("geohash"), prefix_length)).drop("_x", "_y")
 
 
 def convert_grid(raw: DataFrame) -> DataFrame:

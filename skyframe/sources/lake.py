@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from skyframe.operators import grouped
+
 
 class Lake:
     """Paths of the zones under one root that all executors can reach."""
@@ -47,7 +49,7 @@ def partitioned(df: DataFrame, path: str, by: list[str], mode: str = "overwrite"
     """
     if spread:
         part = F.pmod(F.xxhash64(*df.columns), F.lit(spread))
-        shuffled = df.withColumn("_part", part).repartition(*by, "_part").drop("_part")
+        shuffled = grouped.spread(df.withColumn("_part", part), [*by, "_part"]).drop("_part")
     else:
         shuffled = df.hint("rebalance", *[F.col(c) for c in by])
     if sort:

@@ -256,7 +256,7 @@ def _(v):
     points = v.table("lineitem").select((F.col("l_orderkey") % 18000 / 100 - 90).alias("lat"),
                                         (F.col("l_partkey") * 37 % 36000 / 100 - 180).alias("lon"))
     return points.select("lat", "lon", *[
-        geo.geohash(F.col("lat"), F.col("lon"), p).alias(f"g{p}") for p in (7, 5, 4)])
+        geo.geohash("lat", "lon", p).alias(f"g{p}") for p in (7, 5, 4)])
 
 
 @query("geo_prefix", """
