@@ -95,7 +95,8 @@ def detect_stateful(wide: DataFrame, size: int = 365) -> DataFrame:
                 del buffer[:-size]
             out.append((key[0], last, *map(_z_of_last, buffers), *values))
         group.update((*buffers, last))
-        yield pd.DataFrame(out, columns=columns)
+        if out:
+            yield pd.DataFrame(out, columns=columns).astype({c: "float64" for c in columns[2:]})
 
     scored = wide.groupBy("station_id").applyInPandasWithState(
         update, output, state, "append", GroupStateTimeout.NoTimeout)
