@@ -20,50 +20,35 @@ class Box(NamedTuple):
     wrap: bool = False
 
 
-def _cell(value: str, low: float, span: float, bits: int) -> str:
+def _cell(value: Column, low: float, span: float, bits: int) -> Column:
     """Index of the half-open interval holding ``value`` among 2**bits equal ones."""
-    size = 1 << bits
-    return f"greatest(least(floor(({value} - ({low}D)) / {span}D * {size}.0D), {size - 1}L), 0L)"
+    top = (1 << bits) - 1
+    index = F.floor((value - F.lit(low)) / F.lit(span) * F.lit(float(1 << bits)))
+    return F.greatest(F.least(index, F.lit(top)), F.lit(0))
 
 
-def _indices(lat: str, lon: str, precision: int) -> tuple[str, str]:
-    total = 5 * precision
-    # greatest/least skip NULLs, so a missing coordinate is handled here.
-    known = f"({lat}) IS NOT NULL AND ({lon}) IS NOT NULL"
-    return (f"CASE WHEN {known} THEN {_cell(lon, -180.0, 360.0, (total + 1) // 2)} END",
-            f"CASE WHEN {known} THEN {_cell(lat, -90.0, 180.0, total // 2)} END")
-
+def geohash(lat: Column, lon: Column, precision: int = 7) -> Column:
+    """Geohash of a point; NULL if either coordinate is NULL.
 
-def _letters(x: str, y: str, precision: int) -> str:
+    Longitude holds the even bits of the code and latitude the odd ones, so each
+    character mixes five bits taken from the two interval indices.
+    """
     total = 5 * precision
     lon_bits, lat_bits = (total + 1) // 2, total // 2
+    x = _cell(lon, -180.0, 360.0, lon_bits)
+    y = _cell(lat, -90.0, 180.0, lat_bits)
 
-    def bit(k: int) -> str:
+    def bit(k: int) -> Column:
         source, width = (x, lon_bits) if k % 2 == 0 else (y, lat_bits)
-        return f"(shiftright({source}, {width - 1 - k // 2}) & 1L)"
-
-    def letter(c: int) -> str:
-        index = " + ".join(f"{bit(5 * c + j)} * {16 >> j}" for j in range(5))
-        return f"substring('{ALPHABET}', cast({index} AS INT) + 1, 1)"
-
-    return f"concat({', '.join(letter(c) for c in range(precision))})"
-
-
-def cell_indices(lat: str, lon: str, precision: int) -> tuple[Column, Column]:
-    """East-west and south-north interval index of a point at one precision."""
-    x, y = _indices(lat, lon, precision)
-    return F.expr(x), F.expr(y)
-
-
-def code(x: str, y: str, precision: int) -> Column:
-    """Geohash letters of two index columns: east-west holds the even bits of the code
-    and south-north the odd ones, so each letter mixes five bits of the two."""
-    return F.expr(_letters(x, y, precision))
+        return F.shiftright(source, width - 1 - k // 2).bitwiseAND(F.lit(1).cast("long"))
 
+    def letter(c: int) -> Column:
+        index = sum((bit(5 * c + j) * F.lit(16 >> j) for j in range(5)), F.lit(0))
+        return F.substring(F.lit(ALPHABET), (index + 1).cast("int"), F.lit(1))
 
-def geohash(lat: str, lon: str, precision: int = 7) -> Column:
-    """Geohash of a point given by two columns (or SQL expressions); NULL if either is."""
-    return F.expr(_letters(*(f"({i})" for i in _indices(lat, lon, precision)), precision))
+    # greatest/least skip NULLs; this empty text is NULL when a coordinate is.
+    known = F.substring(F.lit(""), F.lit(1), (lat * 0.0 + lon * 0.0).cast("int"))
+    return F.concat(*[letter(c) for c in range(precision)], known)
 
 
 def prefix(code: Column, length: int) -> Column:

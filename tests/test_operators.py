@@ -115,10 +115,10 @@ def test_geohash(spark):
     points += [(random.uniform(-90, 90), random.uniform(-180, 180)) for _ in range(300)]
     df = spark.createDataFrame([(*p, i) for i, p in enumerate(points)], "lat double, lon double, i int")
     for precision in (4, 5, 7):
-        out = df.orderBy("i").select(geo.geohash("lat", "lon", precision)).collect()
+        out = df.orderBy("i").select(geo.geohash(F.col("lat"), F.col("lon"), precision)).collect()
         assert [r[0] for r in out] == [brute_geohash(*p, precision) for p in points]
     nothing = spark.createDataFrame([(None, 1.0)], "lat double, lon double")
-    assert nothing.select(geo.geohash("lat", "lon")).first()[0] is None
+    assert nothing.select(geo.geohash(F.col("lat"), F.col("lon"))).first()[0] is None
 
 
 def test_geohash_cover_holds_every_point_of_the_box():
