@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from skyframe.llm import exact, lines, packing, pii, secrets
+from skyframe.llm import decontaminate, exact, language, licenses, lines, neardup, packing, pii, secrets, toxicity
 from skyframe.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,12 +41,33 @@ def span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
                         joined(F.col("spans")).alias("spans"), F.transform("spans", lambda s: s["score"]).alias("scores"))
 
 
+@query("op1_toxicity")
+def op1(table):
+    docs = table("documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table("labels")))
+    return scored.select("doc_id", F.coalesce(~toxicity.learnable(), F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op2_language")
+def op2(table):
+    return language.predict(table("documents")).select(
+        "doc_id", (~language.learnable()).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
 @query("op3_packing")
 def op3(table):
     return packing.pack(table("documents")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length")
 
 
+@query("op4_decontamination")
+def op4(table):
+    found = decontaminate.find(table("documents"), table("benchmark"))
+    return found.select("doc_id", "contaminated", F.transform("overlaps", lambda o: o["item_id"]).alias("item_ids"),
+                        F.coalesce(F.array_max(F.transform("overlaps", lambda o: o["matched"])), F.lit(0)).alias("most_matched"))
+
+
 @query("op5_secrets")
 def op5(table):
     return span_digest(secrets.find(table("documents")), secrets.BASE_KINDS)
@@ -61,6 +82,15 @@ def op6(table):
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("text_digest")).alias("text_sha256"))
 
 
+@query("op7_licenses")
+def op7(table):
+    return licenses.find(table("documents")).select(
+        "doc_id", F.size("licenses").cast("long").alias("n_licenses"),
+        F.array_join(F.transform("licenses", lambda x: F.concat_ws(":", x["license"], x["start"], x["end"])), ",").alias("licenses"),
+        F.transform("licenses", lambda x: x["coverage"]).alias("coverage"),
+        F.flatten(F.transform("licenses", lambda x: x["differences"])).alias("differences"))
+
+
 @query("op8_line_dedup", """
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
@@ -77,3 +107,8 @@ def op8(table):
 @query("op9_pii")
 def op9(table):
     return span_digest(pii.find(table("documents")), pii.BASE_KINDS)
+
+
+@query("op10_near_dedup")
+def op10(table):
+    return neardup.classes(table("documents")).select("doc_id", "class_id", "class_size", "class_texts", "kept")
