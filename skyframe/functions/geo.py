@@ -22,13 +22,14 @@ class Box(NamedTuple):
 
 def _cell(value: Column, low: float, span: float, bits: int) -> Column:
     """Index of the half-open interval holding ``value`` among 2**bits equal ones."""
-    top = (1 << bits) - 1
-    index = F.floor((value - F.lit(low)) / F.lit(span) * F.lit(float(1 << bits)))
-    return F.greatest(F.least(index, F.lit(top)), F.lit(0))
+    top = float((1 << bits) - 1)
+    place = (value - F.lit(low)) / F.lit(span) * F.lit(float(1 << bits))
+    # bounded before the cast: NaN counts as the largest value and cannot overflow
+    return F.floor(F.greatest(F.least(place, F.lit(top)), F.lit(0.0)))
 
 
 def geohash(lat: Column, lon: Column, precision: int = 7) -> Column:
-    """Geohash of a point; NULL if either coordinate is NULL.
+    """Geohash of a point; NULL if either coordinate is NULL or NaN.
 
     Longitude holds the even bits of the code and latitude the odd ones, so each
     character mixes five bits taken from the two interval indices.
@@ -46,8 +47,8 @@ def geohash(lat: Column, lon: Column, precision: int = 7) -> Column:
         index = sum((bit(5 * c + j) * F.lit(16 >> j) for j in range(5)), F.lit(0))
         return F.substring(F.lit(ALPHABET), (index + 1).cast("int"), F.lit(1))
 
-    # greatest/least skip NULLs; this empty text is NULL when a coordinate is.
-    known = F.substring(F.lit(""), F.lit(1), (lat * 0.0 + lon * 0.0).cast("int"))
+    # greatest/least skip NULLs; this empty text is NULL when a coordinate is missing or NaN.
+    known = F.when(lat * 0.0 + lon * 0.0 == 0.0, F.lit(""))
     return F.concat(*[letter(c) for c in range(precision)], known)
 
 

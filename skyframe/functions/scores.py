@@ -70,9 +70,9 @@ def describe(kind: Column, sev: Column, days: Column, temp_z: Column, rain_z: Co
         return F.concat(F.format_string(template, sev, days, F.coalesce(z, F.lit(0.0))), tail)
 
     return (
-        F.when(kind == "heatwave", text("Heatwave event (severity: %.2f, %d days, +%.1fσ)", temp_z))
-        .when(kind == "cold_snap", text("Cold snap event (severity: %.2f, %d days, %.1fσ)", temp_z))
-        .otherwise(text("Precipitation extreme (severity: %.2f, %d days, +%.1fσ)", rain_z))
+        F.when(kind == "heatwave", text("Hot spell of severity %.2f over %d day(s), %+.1f standard deviations", temp_z))
+        .when(kind == "cold_snap", text("Cold spell of severity %.2f over %d day(s), %+.1f standard deviations", temp_z))
+        .otherwise(text("Heavy rain of severity %.2f over %d day(s), %+.1f standard deviations", rain_z))
     )
 
 

@@ -57,7 +57,7 @@ def with_geohash(df: DataFrame, precision: int, prefix_length: int) -> DataFrame
 def convert_grid(raw: DataFrame) -> DataFrame:
     """Reanalysis rows in display units, with wind components, speed and direction."""
     converted = raw.select(
-        "latitude", "longitude", F.to_date("time").alias("obs_date"),
+        "latitude", "longitude", F.expr("try_to_date(time)").alias("obs_date"),
         units.celsius(F.col("t2m")).alias("temp_2m_c"),
         units.millimetres(F.col("tp")).alias("precip_mm"),
         units.hectopascal(F.col("sp")).alias("pressure_hpa"),
@@ -119,8 +119,12 @@ def resample(daily: DataFrame, resolution: str, means: list[str], sums: list[str
 
 
 def hash_sample(df: DataFrame, keys: list[str], fraction: float) -> DataFrame:
-    """Bernoulli-like sample by key hash: the same rows whatever the partitioning."""
-    return df.where(F.pmod(F.xxhash64(*keys), F.lit(10000)) < F.lit(int(fraction * 10000)))
+    """Bernoulli-like sample by key hash: the same rows whatever the partitioning.
+
+    The first 48 bits of the keys' md5 are compared with the fraction, so any fraction down
+    to about 1e-14 is kept as asked; NULL keys are left out of the hashed text."""
+    digits = F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), 1, 12)
+    return df.where(F.conv(digits, 16, 10).cast("double") < F.lit(fraction * 2.0 ** 48))
 
 
 def upsert(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:

@@ -65,11 +65,11 @@ def events(daily: DataFrame, score: str, threshold: float = 2.0, sign: int = 1,
         F.avg(score).alias("mean_score"))
 
 
-def by_decade(catalogue: DataFrame, floor: int = 1970) -> DataFrame:
-    """Number, length and strength of events per decade from ``floor`` on."""
-    return (catalogue.withColumn("decade", units.decade(F.year("start_date")))
-            .where(F.col("decade") >= floor)
-            .groupBy("decade").agg(
+def by_decade(catalogue: DataFrame, floor: int | None = None) -> DataFrame:
+    """Number, length and strength of events per decade, of those from ``floor`` on if given."""
+    dated = catalogue.withColumn("decade", units.decade(F.year("start_date")))
+    wanted = dated if floor is None else dated.where(F.col("decade") >= floor)
+    return (wanted.groupBy("decade").agg(
                 F.count(F.lit(1)).alias("total_events"),
                 F.avg("duration_days").alias("avg_duration_days"),
                 F.max("duration_days").alias("longest_days"),

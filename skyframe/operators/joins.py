@@ -1,69 +1,78 @@
 """Joins of the observation table with dimensions, grids and optional sources.
 
-Two physical ways, chosen by a size check: a table the optimizer estimates below the
-broadcast limit is broadcast; any other is joined by shuffle, where keys holding an
-outsized share of the left rows are salted so that no task receives a whole hot key.
+A lookup table whose size is known to be small is broadcast. Any other is joined as the
+optimizer sees fit, which measures both sides at run time and splits skewed partitions; where
+that is not enough, ``skew_join`` salts the hot keys itself.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from skyframe.session import cut
+
 BROADCAST_LIMIT = 32 * 1024 * 1024
+#: How many times larger than its Parquet files a table may be in memory.
+EXPANSION = 4
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Upper estimate of a lookup table's size from the optimizer's statistics.
+    """Cautious estimate of a lookup table's size in memory.
 
-    A lookup is made of filters, aggregates and many-to-one joins, none of which adds
-    rows, so it is no larger than the files it reads; the optimizer alone would multiply
-    the sides of a join.
-    """
+    A lookup is made of filters, aggregates and many-to-one joins, none of which adds rows: it
+    is no larger than its files as they unfold in memory. Where the plan holds an operator
+    that does add rows, the optimizer's estimate counts if it is larger."""
     plan = df._jdf.queryExecution().optimizedPlan()
     leaves = plan.collectLeaves()
     files = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return min(files, int(str(plan.stats().sizeInBytes())))
+    adds = any(name in plan.toString() for name in ("Generate ", "Expand ", "Join FullOuter", "Join Cross"))
+    own = int(str(plan.stats().sizeInBytes()))
+    return max(EXPANSION * files, own) if adds else EXPANSION * files
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",
                 limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Join to a smaller table: broadcast below ``limit`` bytes, else salted shuffle."""
-    if estimated_bytes(right) <= limit:
+    """Join to a smaller table: broadcast if it is certainly below ``limit`` bytes, else left
+    to the optimizer and its handling of skew at run time."""
+    if limit and estimated_bytes(right) <= limit:
         return left.join(F.broadcast(right), on, how)
-    return skew_join(left, right, on, how)
+    return left.join(right, on, how)
 
 
 def skew_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",
-              share: int = 64, salts: int = 32) -> DataFrame:
-    """Inner or left equi-join that spreads hot keys over ``salts`` tasks each.
-
-    A key is hot when it holds more than 1/``share`` of the left rows, so there are
-    fewer than ``share`` hot keys whatever the data: that list alone is broadcast.
-    Left rows of a hot key (and rows with a NULL key, which match nothing) get a salt
-    from a hash of the row; only the matching right rows are copied once per salt.
-    """
+              share: int = 64, tasks: int | None = None) -> DataFrame:
+    """Inner or left equi-join that spreads each hot key over tasks in proportion to its share.
+
+    The left side is computed once and stored; a stored row's file and number give its salt, so
+    equal rows are spread too and a task that is run again deals the same salts. A key is hot
+    when it holds more than 1/``share`` of the left rows, so there are fewer than ``share`` hot
+    keys whatever the data: that list alone is broadcast. A key gets as many salts as it has
+    shares of 1/``tasks`` (the shuffle partitions by default). Only the right rows of hot keys
+    are copied, once per salt. A stream is joined plainly."""
     if how not in ("inner", "left"):
         raise ValueError("skew_join handles inner and left joins")
-    counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = left.agg(F.count(F.lit(1)).alias("_total"))
-    hot = (counts.where(F.col("_n") * share > total.scalar())
-           .select(*on, F.lit(True).alias("_hot")))
-    spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    if left.isStreaming:
+        return left.join(right, on, how)
+    spark = left.sparkSession
+    stored = cut(left, f"skew-{uuid.uuid4().hex}")
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = stored.count()
+    salts = F.least(F.lit(tasks), F.ceil(F.col("_n") * tasks / F.lit(max(total, 1)))).cast("int")
+    hot = (stored.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+           .where(F.col("_n") > F.lit(math.ceil(total / share))).select(*on, salts.alias("_salts")))
+    meta = stored.metadataColumn("_metadata")
+    placed = stored.withColumn("_place", F.xxhash64(meta["file_path"], meta["row_index"]))
     unmatched = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    salted = (
-        left.join(F.broadcast(hot), on, "left")
-        .withColumn("_salt", F.when(F.col("_hot") | unmatched, spread).otherwise(0))
-        .drop("_hot")
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0)))
-    spread_right = (
-        right.join(F.broadcast(hot), on, "left")
-        .withColumn("_salt", F.explode(copies))
-        .drop("_hot")
-    )
+    spread = F.when(unmatched, F.lit(tasks)).otherwise(F.coalesce("_salts", F.lit(1)))
+    salted = (placed.join(F.broadcast(hot), on, "left")
+              .withColumn("_salt", F.pmod("_place", spread).cast("int")).drop("_salts", "_place"))
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    spread_right = (right.join(F.broadcast(hot), on, "left")
+                    .withColumn("_salt", F.explode(copies)).drop("_salts"))
     joined = salted.join(spread_right, [*on, "_salt"], how).drop("_salt")
     return joined.select(*left.columns, *[c for c in right.columns if c not in on])
 
@@ -86,7 +95,8 @@ def grid_by_prefix(grid: DataFrame, values: list[str]) -> DataFrame:
 def with_grid(obs: DataFrame, grid: DataFrame, values: list[str],
               limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Left join of observations to a grid on (geohash prefix, calendar month)."""
-    monthly = grid_by_prefix(grid, values)
+    # a key that is never NULL needs no test for it, which would repeat the geohash in a filter
+    monthly = grid_by_prefix(grid.withColumn("geohash_prefix", F.coalesce("geohash_prefix", F.lit(""))), values)
     keyed = obs.withColumn("grid_month", F.trunc("obs_date", "month"))
     return lookup_join(keyed, monthly, ["geohash_prefix", "grid_month"], "left", limit).drop(
         "grid_month")
@@ -97,7 +107,7 @@ def with_month_grid(obs: DataFrame, month_grid: DataFrame, value: str, length: i
     """Left join to a monthly grid on year, month and the first ``length`` letters of
     the observation's geohash prefix."""
     cells = month_grid.groupBy(
-        "year", "month", F.col("geohash_prefix").alias("cell")).agg(F.avg(value).alias(value))
+        "year", "month", F.coalesce("geohash_prefix", F.lit("")).alias("cell")).agg(F.avg(value).alias(value))
     keyed = obs.withColumn("cell", F.substring("geohash_prefix", 1, length))
     return lookup_join(keyed, cells, ["year", "month", "cell"], "left", limit).drop("cell")
 

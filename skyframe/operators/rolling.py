@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skyframe.functions import scores, units
-from skyframe.operators.grouped import spread
 
 AGGREGATES = {"mean": F.avg, "std": F.stddev, "min": F.min, "max": F.max, "sum": F.sum}
 
@@ -49,7 +48,6 @@ def rolling(daily: DataFrame, specs: dict[int, dict[str, list[str]]] = DEFAULT_S
         frame = (frame.withColumn("_own", own)
                  .withColumn("_block", F.explode(F.sequence(own, into_next))))
         keys.append("_block")
-    frame = spread(frame, keys)
     for days, spec in sorted(specs.items()):
         window = Window.partitionBy(*keys).orderBy("_day").rangeBetween(-days, 0)
         frame = frame.withColumns(_columns(spec, days, window))

@@ -42,9 +42,11 @@ def contains(column: Column, text: str) -> Column:
     return column.ilike(f"%{escaped}%")
 
 
-def latest(df: DataFrame, key: list[str], order: list[Column], limit: int) -> DataFrame:
-    """The first ``limit`` rows of each key. The rank filter also runs before the
-    shuffle, so a hot key sends at most ``limit`` rows per input partition."""
+def latest(df: DataFrame, key: list[str], order: list[Column], limit: int | None) -> DataFrame:
+    """The first ``limit`` rows of each key, all rows without a limit. The rank filter also
+    runs before the shuffle, so a hot key sends at most ``limit`` rows per input partition."""
+    if limit is None:
+        return df
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     return df.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
 
@@ -97,8 +99,8 @@ def station_details(stations: DataFrame, anomalies: DataFrame, station_id: str |
 
 
 def timeseries(observations: DataFrame, station_id: str | None = None, start: str | None = None,
-               end: str | None = None, resolution: str = "daily", limit: int = 3650) -> DataFrame:
-    """Newest ``limit`` points of a station's series, per day, month or year (per
+               end: str | None = None, resolution: str = "daily", limit: int | None = None) -> DataFrame:
+    """All or the newest ``limit`` points of a station's series, per day, month or year (per
     station when none is named): temperatures are averaged, precipitation is summed."""
     chosen = observations.where(matching(station_id=station_id) & units.within(F.col("obs_date"), start, end))
     if resolution != "daily":
@@ -110,10 +112,15 @@ def timeseries(observations: DataFrame, station_id: str | None = None, start: st
 
 def get_tiles(tiles: DataFrame, start: str | None = None, end: str | None = None,
               anomaly_type: str | None = None) -> DataFrame:
-    """Heat-map cells re-aggregated over time; empty cells are left out."""
+    """Heat-map cells re-aggregated over time; empty cells are left out.
+
+    A cell is its geohash: its centre in a month depends on where the month's anomalies
+    lay, so centres are averaged, weighted by the number of anomalies."""
     counts = ["heatwave_count", "cold_snap_count", "precip_extreme_count"]
     wanted = tiles.where(units.within(F.col("tile_date"), start, end) & matching(dominant_type=anomaly_type))
-    return (wanted.groupBy("geohash", "center_lat", "center_lon").agg(
+    weight = F.col("anomaly_count")
+    return (wanted.groupBy("geohash").agg(
+        *[(F.sum(F.col(c) * weight) / F.nullif(F.sum(weight), F.lit(0))).alias(c) for c in ("center_lat", "center_lon")],
         F.sum("anomaly_count").alias("total_anomalies"), F.avg("avg_severity").alias("avg_severity"),
         *[F.sum(c).alias(c) for c in counts]).where("total_anomalies > 0")
         .orderBy(F.col("total_anomalies").desc(), "geohash"))
@@ -255,8 +262,8 @@ def wind_grid(grid: DataFrame, box: geo.Box = WORLD, resolution: int = 10) -> Da
 
 
 def export_timeseries(observations: DataFrame, station_id: str | None = None, start: str | None = None,
-                      end: str | None = None, limit: int = 50000) -> DataFrame:
-    """Flat series for export, oldest ``limit`` days of each station."""
+                      end: str | None = None, limit: int | None = None) -> DataFrame:
+    """Flat series for export: all days, or the oldest ``limit`` of each station."""
     chosen = observations.where(matching(station_id=station_id) & units.within(F.col("obs_date"), start, end))
     columns = ["station_id", "obs_date", "tmax", "tmin", "prcp", "snow", "snwd", "tavg",
                "tmax_rolling_30d", "tmin_rolling_30d", "prcp_rolling_30d",
@@ -265,10 +272,12 @@ def export_timeseries(observations: DataFrame, station_id: str | None = None, st
     return latest(chosen.select(*columns), ["station_id"], [F.col("obs_date")], limit)
 
 
-def export_anomalies(anomalies: DataFrame, stations: DataFrame, limit: int = 50000, **filters) -> DataFrame:
-    """Flat anomalies with their station, newest first."""
+def export_anomalies(anomalies: DataFrame, stations: DataFrame, limit: int | None = None, **filters) -> DataFrame:
+    """Flat anomalies with their station: all, or the newest ``limit`` first."""
     rows = anomalies_on_map(anomalies, stations, **filters)
-    return rows.orderBy(F.col("anomaly_date").desc(), "id").limit(limit).select(
+    if limit is not None:
+        rows = rows.orderBy(F.col("anomaly_date").desc(), "id").limit(limit)
+    return rows.select(
         "station_id", "station_name", "country", "latitude", "longitude", "anomaly_date", "anomaly_type",
         "severity", "duration_days", "temp_deviation", "precip_deviation", "description")
 

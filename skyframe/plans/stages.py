@@ -81,10 +81,12 @@ SERVED = {"anomalies": "anomalies", "tiles": "anomaly_tiles", "monthly_summary":
 
 
 def export(lake: Lake, tables: dict[str, DataFrame], rolled: DataFrame, results: dict[str, DataFrame],
-           root: str, sample: float = 0.02) -> None:
-    """All serving tables as Parquet; observations as a repeatable sample."""
-    publish.to_parquet(tables["stations"], "stations", root)
-    publish.to_parquet(daily.hash_sample(rolled, ["station_id", "obs_date"], sample), "observations", root)
+           root: str, sample: float | None = None) -> None:
+    """All serving tables as Parquet: every observation, or a repeatable sample if asked for.
+    Stations carry their first and last year and number of records."""
+    publish.to_parquet(publish.with_statistics(tables["stations"], tables["observations"]), "stations", root)
+    kept = rolled if sample is None else daily.hash_sample(rolled, ["station_id", "obs_date"], sample)
+    publish.to_parquet(kept, "observations", root)
     for name, table in SERVED.items():
         if name in results:
             publish.to_parquet(results[name], table, root)

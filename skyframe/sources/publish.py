@@ -6,7 +6,7 @@ writes from the executors, nothing passes through the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 # Serving tables, output column -> Spark SQL expression over the lake table.
 TABLES: dict[str, dict[str, str]] = {
@@ -62,9 +62,19 @@ TABLES: dict[str, dict[str, str]] = {
 }
 
 
+def with_statistics(stations: DataFrame, observations: DataFrame) -> DataFrame:
+    """Stations with the first and last year and the number of their daily rows."""
+    spans = observations.groupBy("station_id").agg(
+        F.year(F.min("obs_date")).alias("first_year"), F.year(F.max("obs_date")).alias("last_year"),
+        F.count(F.lit(1)).alias("record_count"))
+    return stations.join(spans, "station_id", "left")
+
+
 def shape(df: DataFrame, table: str) -> DataFrame:
-    """The serving columns of a table."""
-    return df.selectExpr(*[f"{expression} AS {name}" for name, expression in TABLES[table].items()])
+    """The serving columns of a table; statistics that the input carries are published."""
+    known = {c: f"coalesce({c}, 0)" if c == "record_count" else c
+             for c in ("first_year", "last_year", "record_count") if table == "stations" and c in df.columns}
+    return df.selectExpr(*[f"{expression} AS {name}" for name, expression in {**TABLES[table], **known}.items()])
 
 
 def to_parquet(df: DataFrame, table: str, root: str) -> None:
@@ -73,8 +83,9 @@ def to_parquet(df: DataFrame, table: str, root: str) -> None:
 
 
 def to_jdbc(df: DataFrame, table: str, url: str, properties: dict[str, str], connections: int = 16) -> None:
-    """Truncate and reload a database table from the executors, in batches over a
-    bounded number of connections."""
-    (shape(df, table).coalesce(connections).write.mode("overwrite")
+    """Truncate and reload a database table from the executors, in batches over a bounded
+    number of connections; the rows are shuffled into that many tasks, so that the work
+    before keeps its own."""
+    (shape(df, table).repartition(connections).write.mode("overwrite")
      .option("truncate", "true").option("batchsize", "5000")
      .jdbc(url, table, properties=properties))

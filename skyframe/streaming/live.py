@@ -7,9 +7,9 @@ query takes a checkpoint folder so that it resumes after a failure.
 
 from __future__ import annotations
 
-import statistics
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -34,16 +34,30 @@ def dedupe(records: DataFrame, time: str = "ts", lateness: str = LATENESS) -> Da
         ["station_id", "obs_date", "element"])
 
 
-def pivot(records: DataFrame, time: str = "ts", elements: list[str] = ELEMENTS,
-          watermark: str | None = LATENESS) -> DataFrame:
-    """Wide rows per station and day. The day window carries the watermark, so closed
-    days leave the state; aggregation is combined before the shuffle."""
-    source = records.withWatermark(time, watermark) if watermark else records
-    day = F.window(time, "1 day")
-    wide = source.groupBy(day, "station_id").agg(*[
+def pivot(records: DataFrame, elements: list[str] = ELEMENTS, watermark: str | None = LATENESS) -> DataFrame:
+    """Wide rows per station and day. The day is the record's own, and it carries the
+    watermark: a day may change until one ``watermark`` newer has been seen, then it leaves
+    the state. Aggregation is combined before the shuffle."""
+    dated = records.withColumn("_day", F.col("obs_date").cast("timestamp"))
+    source = dated.withWatermark("_day", watermark) if watermark else dated
+    wide = source.groupBy("_day", "station_id").agg(*[
         F.max(F.when(F.col("element") == e, F.col("value"))).alias(e.lower()) for e in elements])
-    return wide.select("station_id", F.to_date(F.col("window.start")).alias("obs_date"),
-                       *[e.lower() for e in elements])
+    return wide.select("station_id", F.to_date("_day").alias("obs_date"), *[e.lower() for e in elements])
+
+
+def store_batches(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps each micro-batch in a folder of its own and replaces
+    it when the batch is replayed, so nothing is stored twice."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+    return handle
+
+
+def newest(stored: DataFrame, keys: list[str], batch: str = "batch") -> DataFrame:
+    """Of the rows that ``store_batches`` kept, the last batch's for each key."""
+    rest = [c for c in stored.columns if c not in (*keys, batch)]
+    last = stored.groupBy(*keys).agg(F.max_by(F.struct(*rest), batch).alias("_row"))
+    return last.select(*keys, *[f"_row.{c}" for c in rest])
 
 
 def detect_batch(history: Callable[[], DataFrame], emit: Callable[[DataFrame, int], None],
@@ -57,50 +71,75 @@ def detect_batch(history: Callable[[], DataFrame], emit: Callable[[DataFrame, in
     return handle
 
 
-def _z_of_last(buffer: list[float | None]) -> float | None:
-    """Deviation of the newest value from the known values of its buffer."""
-    known = [b for b in buffer if b is not None]
-    if buffer[-1] is None or len(known) < 2:
-        return None
-    spread = statistics.stdev(known)
-    return (buffer[-1] - statistics.fmean(known)) / spread if spread > 0 else None
-
-
-def detect_stateful(wide: DataFrame, size: int = 365) -> DataFrame:
-    """Alerts for each new day against the station's last ``size`` days, kept as state.
-
-    The state of a station is a buffer of at most ``size`` days. ``wide`` holds one row
-    per station and day, so what one call sorts is bounded by the calendar. Days not
-    after the newest one already scored are skipped."""
-    state = ", ".join(f"{v} array<double>" for v in VARIABLES) + ", last date"
+def window_scores(values: np.ndarray, first: int, size: int) -> np.ndarray:
+    """Deviation of the values from row ``first`` on from the known values of the ``size`` rows
+    that end with each; missing where the value is, or where the window does not vary."""
+    out = np.full((len(values) - first, values.shape[1]), np.nan)
+    padded = np.vstack([np.full((size - 1, values.shape[1]), np.nan), values])
+    windows = np.lib.stride_tricks.sliding_window_view(padded, size, axis=0)
+    for start in range(first, len(values), 512):
+        part = windows[start:start + 512]
+        known = ~np.isnan(part)
+        n = known.sum(axis=2)
+        filled = np.where(known, part, 0.0)
+        mean = filled.sum(axis=2) / np.maximum(n, 1)
+        spread = np.where(known, part - mean[:, :, None], 0.0)
+        std = np.sqrt((spread ** 2).sum(axis=2) / np.maximum(n - 1, 1))
+        ok = (n > 1) & (std > 0)
+        out[start - first:start - first + len(part)] = np.where(
+            ok, (values[start:start + 512] - mean) / np.where(ok, std, 1.0), np.nan)
+    return out
+
+
+def score_stateful(wide: DataFrame, size: int = 365, late_days: int = 7) -> DataFrame:
+    """(station_id, obs_date, deviations, values) of each day against the ``size`` known days
+    that end with it, kept as state.
+
+    The state of a station is its last ``size + late_days`` days. A day that arrives late or
+    again within ``late_days`` of the newest one is put in its place, and it and the days
+    after it are scored anew: of several rows for a day the last counts (see ``newest``).
+    Older days are left out."""
+    state = "days array<int>, " + ", ".join(f"{v} array<double>" for v in VARIABLES)
     output = ("station_id string, obs_date date, " + ", ".join(f"{v}_z double" for v in VARIABLES)
               + ", " + ", ".join(f"{v} double" for v in VARIABLES))
-
     columns = ["station_id", "obs_date", *[f"{v}_z" for v in VARIABLES], *VARIABLES]
+    epoch = np.datetime64("1970-01-01", "D")
 
     def update(key, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        days, values = np.empty(0, np.int64), np.empty((0, len(VARIABLES)))
         if group.exists:
-            *buffers, last = group.get
-            buffers = [list(b) for b in buffers]
-        else:
-            buffers, last = [[] for _ in VARIABLES], None
-        out = []
-        for row in pd.concat(list(frames)).sort_values("obs_date").to_dict("records"):
-            if last is not None and row["obs_date"] <= last:
-                continue
-            last = row["obs_date"]
-            values = [None if pd.isna(row[v]) else float(row[v]) for v in VARIABLES]
-            for buffer, value in zip(buffers, values):
-                buffer.append(value)
-                del buffer[:-size]
-            out.append((key[0], last, *map(_z_of_last, buffers), *values))
-        group.update((*buffers, last))
-        if out:
-            yield pd.DataFrame(out, columns=columns).astype({c: "float64" for c in columns[2:]})
-
-    scored = wide.groupBy("station_id").applyInPandasWithState(
+            held, *series = group.get
+            days = np.array(held, np.int64)
+            values = np.array([[np.nan if x is None else x for x in v] for v in series], float).T.reshape(-1, len(VARIABLES))
+        new = pd.concat(list(frames))
+        arrived = (pd.to_datetime(new["obs_date"]).to_numpy().astype("datetime64[D]") - epoch).astype(np.int64)
+        if len(days):
+            new, arrived = new[arrived >= days[-1] - late_days], arrived[arrived >= days[-1] - late_days]
+        if not len(arrived):
+            return
+        every = np.concatenate([days, arrived])
+        rows = np.vstack([values, new[VARIABLES].to_numpy(dtype=float)])
+        order = np.argsort(every, kind="stable")
+        every, rows = every[order], rows[order]
+        last = np.append(every[1:] != every[:-1], True)  # of a repeated day the later arrival
+        every, rows = every[last], rows[last]
+        first = int(np.searchsorted(every, arrived.min()))
+        scores = window_scores(rows, first, size)
+        keep = size + late_days
+        held = rows[-keep:]
+        group.update((every[-keep:].tolist(), *[[None if np.isnan(x) else float(x) for x in held[:, j]] for j in range(len(VARIABLES))]))
+        out = pd.DataFrame(np.hstack([scores, rows[first:]]), columns=columns[2:])
+        out.insert(0, "obs_date", (epoch + every[first:]).astype(object))
+        out.insert(0, "station_id", key[0])
+        yield out
+
+    return wide.groupBy("station_id").applyInPandasWithState(
         update, output, state, "append", GroupStateTimeout.NoTimeout)
-    return anomaly.recent_alerts(scored)
+
+
+def detect_stateful(wide: DataFrame, size: int = 365, late_days: int = 7) -> DataFrame:
+    """Alerts of the scored days as they are scored; a day scored again may be told again."""
+    return anomaly.recent_alerts(score_stateful(wide, size, late_days))
 
 
 def alerts(anomalies: DataFrame, subscriptions: DataFrame) -> DataFrame:

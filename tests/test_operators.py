@@ -170,7 +170,7 @@ def test_skew_join_spreads_the_hot_key(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     try:
-        out = joins.skew_join(left, right, ["k"], "inner", salts=64)
+        out = joins.skew_join(left, right, ["k"], "inner", tasks=64)
         sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
@@ -391,3 +391,25 @@ def test_wind_and_color(spark):
     colors = spark.createDataFrame([(0.0,), (5.0,), (10.0,)], "x double").select(
         scores.color_bin(F.col("x"), F.lit(0.0), F.lit(10.0))).collect()
     assert [r[0] for r in colors] == [0, 8, 15]
+
+
+def test_geohash_of_a_missing_coordinate(spark):
+    points = spark.createDataFrame([(float("nan"), 1.0), (1.0, None), (float("inf"), 1.0), (57.64911, 10.40744)], "lat double, lon double")
+    assert [r[0] for r in points.select(geo.geohash(F.col("lat"), F.col("lon"))).collect()] == [None, None, None, "u4pruyd"]
+
+
+def test_sample_keeps_small_shares(spark):
+    df = spark.range(200000)
+    assert 30 < daily.hash_sample(df, ["id"], 0.0003).count() < 95
+    assert 99000 < daily.hash_sample(df, ["id"], 0.5).count() < 101000
+
+
+def test_a_cell_is_one_tile(spark):
+    months = spark.createDataFrame([("dr5r", dt.date(2020, 1, 1), 3, 0.5, "heatwave", 3, 0, 0, 40.7, -74.0),
+                                    ("dr5r", dt.date(2020, 2, 1), 7, 0.5, "heatwave", 7, 0, 0, 40.699999999999996, -74.1)],
+                                   "geohash string, tile_date date, anomaly_count int, avg_severity double, dominant_type string, "
+                                   "heatwave_count int, cold_snap_count int, precip_extreme_count int, center_lat double, center_lon double")
+    from skyframe.plans import serve
+
+    found = serve.get_tiles(months).collect()
+    assert len(found) == 1 and found[0].total_anomalies == 10 and found[0].center_lon == pytest.approx(-74.07)

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from workload.registry import ORACLES, QUERIES
 from workload.check import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -13,15 +14,15 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_as_sql(spark, duck, name):
     ok, message = compare(spark, duck, SF, name, entry.queries()[name], entry.oracle_sql()[name])
     assert ok, message
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs_without_sql(spark, name):
-    assert entry.queries()[name](spark, SF).columns
+    entry.queries()[name](spark, SF).write.format("noop").mode("overwrite").save()
 
 
 def test_flagship(spark):

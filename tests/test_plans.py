@@ -40,8 +40,15 @@ def test_rolling_features_shuffle_by_station_once(spark):
 def test_lookup_broadcasts_only_below_the_limit(spark):
     views = Views(spark, SF)
     small = plan(joins.lookup_join(views.obs, views.stations, ["station_id"]))
-    salted = plan(joins.lookup_join(views.obs, views.stations, ["station_id"], limit=0))
-    assert "_salt" not in small and "BroadcastHashJoin" in small and "_salt" in salted
+    plain = plan(joins.lookup_join(views.obs, views.stations, ["station_id"], limit=0))
+    assert small.split("(1) Scan")[0].count("SortMergeJoin") < plain.split("(1) Scan")[0].count("SortMergeJoin")
+
+
+def test_no_geohash_text_in_a_filter(spark):
+    for name in ("join_spatiotemporal", "join_prefix", "proj_deviation", "join_unified"):
+        text = plan(entry.queries()[name](spark, SF))
+        filters = [line for line in text.splitlines() if "Condition" in line]
+        assert not any("0123456789bcdefghjkmnpqrstuvwxyz" in line for line in filters), name
 
 
 def test_top_k_per_station_is_cut_before_the_shuffle(spark):

@@ -59,5 +59,21 @@ def test_unify_without_broadcast_equals_broadcast(spark, monkeypatch):
     plain = rows(joins.unify(obs, places, grid))
     monkeypatch.setattr(joins.lookup_join, "__defaults__", ("left", 0))
     monkeypatch.setattr(joins.with_grid, "__defaults__", (0,))
-    salted = rows(joins.unify(obs, places, grid))
-    assert salted == plain and len(plain) == 300
+    shuffled = rows(joins.unify(obs, places, grid))
+    assert shuffled == plain and len(plain) == 300
+
+
+def test_equal_rows_of_a_hot_key_reach_many_tasks(spark):
+    left = spark.range(6000).selectExpr("if(id % 2 = 0, 0L, id) AS k", "1 AS v")
+    right = spark.range(6000).selectExpr("id AS k", "id AS w")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = joins.skew_join(left, right, ["k"], "inner", tasks=16)
+        sizes = [r["count"] for r in out.where("k = 0").groupBy(F.spark_partition_id()).count().collect()]
+        text = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) == 3000 and len(sizes) > 1 and max(sizes) < 2000
+    assert text.count("Range (0, 6000") == 2 - 1  # the left side is read from its stored form

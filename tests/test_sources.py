@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyframe import schemas
-from skyframe.operators import daily
+from skyframe.operators import anomaly, daily
 from skyframe.plans import stages
 from skyframe.session import cut, shared_dir
 from skyframe.sources import lake, publish, readers
@@ -148,11 +148,43 @@ def test_stream_pivot_equals_batch(spark, tmp_path):
     data = [record(s, d, e, float(d + len(e))) for s in "AB" for d in range(12) for e in ("TMAX", "TMIN", "PRCP") if (d + len(s)) % 4]
     path = feed(spark, tmp_path, data[:30], data[30:])
     out, kept = str(tmp_path / "out"), []
-    query = live.run(live.pivot(live.source(spark, path, LIVE)), str(tmp_path / "cp"),
-                     handle=lambda batch, _: batch.write.mode("append").parquet(out), mode="update")
+    query = live.run(live.pivot(live.source(spark, path, LIVE, files_per_batch=1)), str(tmp_path / "cp"),
+                     handle=live.store_batches(out), mode="update")
     query.awaitTermination()
     expected = daily.pivot_elements(spark.createDataFrame(data, LIVE), live.ELEMENTS)
-    assert rows(spark.read.parquet(out)) == rows(expected) and not kept
+    stored = live.newest(spark.read.parquet(out), ["station_id", "obs_date"])
+    assert rows(stored) == rows(expected.select(*stored.columns))
+
+
+def test_pivot_takes_the_day_of_the_record(spark, tmp_path):
+    late = ("A", dt.date(2024, 1, 1), "TMAX", 5.0, dt.datetime(2024, 1, 5, 6))
+    wide = live.pivot(spark.createDataFrame([late], LIVE), watermark=None)
+    assert wide.first().obs_date == dt.date(2024, 1, 1)
+
+
+def test_a_replayed_batch_is_stored_once(spark, tmp_path):
+    handle = live.store_batches(str(tmp_path / "out"))
+    for _ in range(2):
+        handle(spark.range(5), 7)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_a_late_day_is_inserted_and_later_days_are_scored_again(spark, tmp_path):
+    schema = "station_id string, obs_date date, tmax double, tmin double, prcp double"
+    data = [("S", dt.date(2024, 1, 1) + dt.timedelta(days=i), 90.0 if i == 45 else 20.0 + i % 3, 10.0 + i % 2, None) for i in range(50)]
+    parts = ([r for i, r in enumerate(data) if i < 48 and i != 45], [data[45], data[2]], data[48:])
+    for number, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"part-{number}"))
+    out = str(tmp_path / "out")
+    wide = live.source(spark, str(tmp_path / "in" / "part-*"), schema, files_per_batch=1)
+    live.run(live.score_stateful(wide), str(tmp_path / "cp"), handle=live.store_batches(out)).awaitTermination()
+    scored = live.newest(spark.read.parquet(out), ["station_id", "obs_date"])
+    found = {r.obs_date: r.tmax_z for r in scored.collect()}
+    tmax = [r[2] for r in data]
+    for i, r in enumerate(data[2:], 2):
+        known = np.array(tmax[:i + 1])
+        assert found[r[1]] == pytest.approx((known[-1] - known.mean()) / known.std(ddof=1)), i
+    assert [r.anomaly_date for r in anomaly.recent_alerts(scored).collect()] == [dt.date(2024, 2, 15)]
 
 
 def test_stateful_detection_resumes(spark, tmp_path):

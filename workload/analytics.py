@@ -125,6 +125,14 @@ def _(v):
     return islands.events(v.features, "tmax_zscore_30d", 1.0)
 
 
+@query("agg_decade_floor", f"""
+SELECT CAST(year(start_date) // 10 * 10 AS INTEGER) AS decade, count(*) AS total_events, avg(duration_days) AS avg_duration_days,
+  max(duration_days) AS longest_days, avg(mean_score) AS avg_score FROM ({_EVENTS}) WHERE year(start_date) >= 2000 GROUP BY 1""",
+       doubles="avg_duration_days avg_score")
+def _(v):
+    return islands.by_decade(islands.events(v.features, "tmax_zscore_30d", 1.0), floor=2000)
+
+
 @query("agg_decade", f"""
 SELECT CAST(year(start_date) // 10 * 10 AS INTEGER) AS decade, count(*) AS total_events, avg(duration_days) AS avg_duration_days,
   max(duration_days) AS longest_days, avg(mean_score) AS avg_score FROM ({_EVENTS}) GROUP BY 1""",
@@ -199,10 +207,11 @@ def _(v):
 
 
 _TILE_ROLLUP = """
-SELECT geohash, center_lat, center_lon, CAST(sum(anomaly_count) AS BIGINT) AS total_anomalies, avg(avg_severity) AS avg_severity,
+SELECT geohash, sum(center_lat * anomaly_count) / sum(anomaly_count) AS center_lat, sum(center_lon * anomaly_count) / sum(anomaly_count) AS center_lon,
+  CAST(sum(anomaly_count) AS BIGINT) AS total_anomalies, avg(avg_severity) AS avg_severity,
   CAST(sum(heatwave_count) AS BIGINT) AS heatwave_count, CAST(sum(cold_snap_count) AS BIGINT) AS cold_snap_count,
   CAST(sum(precip_extreme_count) AS BIGINT) AS precip_extreme_count FROM served_tiles
-WHERE {} GROUP BY 1, 2, 3 HAVING sum(anomaly_count) > 0"""
+WHERE {} GROUP BY 1 HAVING sum(anomaly_count) > 0"""
 
 
 @query("agg_tile_rollup", _TILE_ROLLUP.format("true"), doubles="center_lat center_lon avg_severity")
@@ -562,14 +571,12 @@ def _(v):
     return v.levels
 
 
-@query("q_extremes", """
-SELECT station_id, variable, shape_param, n_years, string_agg(CAST(return_period AS VARCHAR), ',' ORDER BY return_period) AS periods
-FROM levels GROUP BY 1, 2, 3, 4""", doubles="shape_param")
+@query("q_extremes", "SELECT * FROM levels", doubles="return_level lower_ci upper_ci shape_param location_param scale_param")
 def _(v):
-    nested = serve.station_extremes(v.levels)
-    periods = F.from_json("return_levels", "array<struct<return_period: int>>")
-    return nested.select("station_id", "variable", "shape_param", "n_years",
-                         F.array_join(F.transform(periods, lambda p: p["return_period"].cast("string")), ",").alias("periods"))
+    """The nested documents, taken apart again so that every field is compared."""
+    entry = "array<struct<return_period: int, return_level: double, lower_ci: double, upper_ci: double>>"
+    nested = serve.station_extremes(v.levels).withColumn("level", F.explode(F.from_json("return_levels", entry)))
+    return nested.select("station_id", "variable", "distribution", "level.*", "shape_param", "location_param", "scale_param", "n_years")
 
 
 @query("ts_interpolate", """

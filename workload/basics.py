@@ -151,11 +151,21 @@ def _(v):
     return daily.upsert(current, incoming, "id")
 
 
-@query("sample")
+_SAMPLE = """
+SELECT * FROM obs WHERE CAST('0x' || substr(md5(station_id || '|' || CAST(CAST(obs_date AS DATE) AS VARCHAR)), 1, 12) AS BIGINT) < {} * 281474976710656"""
+_SAMPLED = "tmax tmin prcp snow snwd tavg"
+
+
+@query("sample", _SAMPLE.format(0.02), doubles=_SAMPLED, dates="obs_date")
 def _(v):
     return daily.hash_sample(v.obs, ["station_id", "obs_date"], 0.02)
 
 
+@query("sample_half", _SAMPLE.format(0.5), doubles=_SAMPLED, dates="obs_date")
+def _(v):
+    return daily.hash_sample(v.obs, ["station_id", "obs_date"], 0.5)
+
+
 _SERVED = {
     "stations": (lambda v: v.stations, """
 SELECT station_id AS id, name, latitude, longitude, elevation, country, state, geohash,
@@ -170,11 +180,15 @@ FROM stations""", "latitude longitude elevation", ""),
     "climate_indices": (lambda v: v.index_series, "SELECT * FROM index_series", "value anomaly", "index_date"),
     "extreme_value_stats": (lambda v: v.levels, "SELECT * FROM levels",
                             "return_level lower_ci upper_ci shape_param location_param scale_param", ""),
+    "climate_projections": (lambda v: v.projections, "SELECT * FROM projections",
+                            "predicted_value lower_bound upper_bound", "projection_date"),
 }
 for _name, (_source, _sql, _doubles, _dates) in _SERVED.items():
     def _publish(v, table=_name, source=_source):
-        shaped = publish.shape(source(v), table)
-        return shaped.drop("description") if table == "anomalies" else shaped
+        root = folder(v, "served")
+        publish.to_parquet(source(v), table, root)
+        stored = v.spark.read.parquet(f"{root}/{table}")
+        return stored.drop("description") if table == "anomalies" else stored
     query(f"sink_relational_{_name}", _sql, _doubles, _dates)(_publish)
 
 

@@ -40,15 +40,16 @@ def _(v):
 
 
 @query("q_station_detail", """
-SELECT s.id, s.name, s.record_count, coalesce(n, 0) AS entries, newest FROM served_stations s LEFT JOIN (
-  SELECT station_id, CAST(count(*) AS INTEGER) AS n, CAST(max(anomaly_date) AS VARCHAR) AS newest FROM (
-    SELECT * FROM served_anomalies QUALIFY row_number() OVER (
-      PARTITION BY station_id ORDER BY anomaly_date DESC, id) <= 50) GROUP BY 1) a ON a.station_id = s.id""")
+SELECT s.id, s.name, s.record_count, a.id AS anomaly_id, CAST(CAST(anomaly_date AS DATE) AS VARCHAR) AS anomaly_date, anomaly_type, severity,
+  duration_days, temp_deviation, precip_deviation, CAST(rn AS INTEGER) AS place FROM served_stations s LEFT JOIN (
+    SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY anomaly_date DESC, id) AS rn FROM served_anomalies
+    QUALIFY rn <= 50) a ON a.station_id = s.id""", doubles="severity temp_deviation precip_deviation")
 def _(v):
     details = serve.station_details(v.served_stations, v.served_anomalies)
-    recent = F.col("recent_anomalies")
-    return details.select("id", "name", "record_count", F.size(recent).alias("entries"),
-                          F.get(recent, F.lit(0))["anomaly_date"].alias("newest"))
+    entries = details.select("id", "name", "record_count", F.posexplode_outer("recent_anomalies").alias("at", "entry"))
+    return entries.select("id", "name", "record_count", F.col("entry.id").alias("anomaly_id"), "entry.anomaly_date", "entry.anomaly_type",
+                          "entry.severity", "entry.duration_days", "entry.temp_deviation", "entry.precip_deviation",
+                          (F.col("at") + 1).alias("place"))
 
 
 _SERIES_SQL = """
@@ -61,6 +62,13 @@ def _(v):
     return serve.timeseries(v.served_observations, start="1996-01-01", end="2001-06-30")
 
 
+@query("q_timeseries_limit", f"""
+SELECT station_id, obs_date, {", ".join(serve.SERIES_COLUMNS)} FROM served_observations
+QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY obs_date DESC) <= 20""", doubles=_SERIES_COLUMNS, dates="obs_date")
+def _(v):
+    return serve.timeseries(v.served_observations, limit=20)
+
+
 for _resolution, _unit in (("monthly", "month"), ("yearly", "year")):
     _aggregated = ", ".join(f"{'sum' if c == 'prcp' else 'avg'}({c}) AS {c}" for c in serve.SERIES_COLUMNS)
 
@@ -98,17 +106,27 @@ def _(v):
     return serve.nest_by_variable(two, ["station_id"], ["forecast_date", "model_type"], "dates")
 
 
-@query("q_forecast_documents")
+def _points(nested, document: str, fields: str):
+    """The points of nested documents as rows, so that every field is compared."""
+    entries = nested.select("*", F.explode(F.from_json(document, f"map<string, array<struct<{fields}>>>")).alias("variable", "points"))
+    return entries.withColumn("point", F.explode("points"))
+
+
+@query("q_forecast_documents", """
+SELECT station_id, variable, CAST(forecast_date AS VARCHAR) AS forecast_date, predicted_value, lower_bound, upper_bound, model_type, model_version
+FROM forecasts""", doubles="predicted_value lower_bound upper_bound")
 def _(v):
-    return serve.station_forecast(v.forecasts)
+    fields = "forecast_date: string, predicted_value: double, lower_bound: double, upper_bound: double, model_type: string, model_version: string"
+    return _points(serve.station_forecast(v.forecasts), "forecasts", fields).select("station_id", "variable", "point.*")
 
 
 @query("q_projections", """
-SELECT station_id, scenario, count(*) AS points FROM projections WHERE scenario = 'ssp245' AND variable = 'tmax' GROUP BY 1, 2""")
+SELECT station_id, scenario, variable, CAST(CAST(projection_date AS DATE) AS VARCHAR) AS projection_date, predicted_value, lower_bound, upper_bound, model_name
+FROM projections WHERE scenario = 'ssp245' AND variable = 'tmax'""", doubles="predicted_value lower_bound upper_bound")
 def _(v):
+    fields = "projection_date: string, predicted_value: double, lower_bound: double, upper_bound: double, model_name: string"
     nested = serve.station_projections(v.projections, "ssp245", variable="tmax")
-    entries = F.from_json("projections", "map<string, array<struct<projection_date: string>>>")
-    return nested.select("station_id", "scenario", F.size(entries["tmax"]).cast("long").alias("points"))
+    return _points(nested, "projections", fields).select("station_id", "scenario", "variable", "point.*")
 
 
 @query("q_scenarios", """
@@ -139,8 +157,7 @@ def _(v):
 
 @query("q_export_anom", f"""
 SELECT station_id, station_name, country, latitude, longitude, anomaly_date, anomaly_type, severity, duration_days,
-  temp_deviation, precip_deviation FROM ({_ON_MAP}) WHERE anomaly_type = 'cold_snap' AND severity >= 0.1
-ORDER BY anomaly_date DESC, id LIMIT 50000""", doubles=_ON_MAP_COLUMNS, dates="anomaly_date")
+  temp_deviation, precip_deviation FROM ({_ON_MAP}) WHERE anomaly_type = 'cold_snap' AND severity >= 0.1""", doubles=_ON_MAP_COLUMNS, dates="anomaly_date")
 def _(v):
     return serve.export_anomalies(v.served_anomalies, v.served_stations, anomaly_type="cold_snap",
                                   min_severity=0.1).drop("description")
@@ -246,36 +263,54 @@ def _(v):
 
 # ---- live path ---------------------------------------------------------------------------
 
-def _stream(v: Views):
-    """The events file as a stream of live records."""
-    raw = v.table("events")
-    live_view = Views(v.spark, v.sf_dir)
-    stream = (v.spark.readStream.schema(raw.schema).format("parquet")
-              .option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).load(v.sf_dir))
-    live_view.table = lambda name: stream if name == "events" else v.table(name)
-    return live_view.live_records
-
-
-def _drain(v: Views, df, name: str, mode: str):
-    """Run a query over all available data and return what it wrote."""
-    path, checkpoint = folder(v, name), folder(v, f"{name}-checkpoint")
+CYCLES = 3
+
+
+def _arrivals(df, day, repeat=True):
+    """A table in the order it arrives, one frame for each cycle: by time, every tenth row up
+    to three days late (so some come a cycle later), every seventh row a second time."""
+    when = F.unix_timestamp(F.col(day).cast("timestamp"))
+    low, high = df.agg(F.min(when), F.max(when)).first()
+    key = F.xxhash64(*[c for c in df.columns if c != "props"])
+    late = F.when(F.pmod(key, F.lit(10)) == 0, F.lit(3 * 86400)).otherwise(F.lit(0))
+    cycle = F.least(F.floor((when + late - F.lit(low)) * CYCLES / F.lit(high - low + 1)), F.lit(CYCLES - 1))
+    again = F.when(F.pmod(key, F.lit(7)) == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    every = df.withColumn("_again", F.explode(again)).drop("_again") if repeat else df
+    return [every.where(cycle == k) for k in range(CYCLES)]
+
+
+def _drain(v: Views, build, name: str, mode: str = "append", table=None, day: str = "ts", repeat: bool = True, handle=None):
+    """Cycles of a live query over one checkpoint: each stores what has arrived and runs the
+    query over it; a last cycle finds nothing new. Returns what was stored, by batch."""
+    path, checkpoint, feed = folder(v, name), folder(v, f"{name}-checkpoint"), folder(v, f"{name}-feed")
+    df = v.table("events") if table is None else table
+    for k, arrived in enumerate([*_arrivals(df, day, repeat), None]):
+        if arrived is not None:
+            arrived.write.parquet(f"{feed}/cycle-{k}")
+        stream = live.source(v.spark, f"{feed}/*", df.schema, files_per_batch=1000)
+        live.run(build(stream), checkpoint, handle=(handle or live.store_batches)(path), mode=mode).awaitTermination()
+    return v.spark.read.parquet(path)
 
-    def store(batch, batch_id):
-        batch.write.mode("append").parquet(path)
 
-    live.run(df, checkpoint, handle=store, mode=mode).awaitTermination()
-    return v.spark.read.parquet(path)
+def _records(v: Views):
+    """Turns a stream of events into live records."""
+    def build(stream):
+        live_view = Views(v.spark, v.sf_dir)
+        live_view.table = lambda name: stream if name == "events" else v.table(name)
+        return live_view.live_records
+    return build
 
 
 @query("str_source", "SELECT station_id, obs_date, element, value FROM live_records", doubles="value", dates="obs_date")
 def _(v):
-    return _drain(v, _stream(v).select("station_id", "obs_date", "element", "value"), "records", "append")
+    records = _records(v)
+    return _drain(v, lambda s: records(s).select("station_id", "obs_date", "element", "value"), "records", repeat=False).drop("batch")
 
 
 @query("str_dedup", "SELECT DISTINCT station_id, obs_date, element FROM live_records", dates="obs_date")
 def _(v):
-    kept = live.dedupe(_stream(v)).select("station_id", "obs_date", "element")
-    return _drain(v, kept, "dedup", "append")
+    records = _records(v)
+    return _drain(v, lambda s: live.dedupe(records(s)).select("station_id", "obs_date", "element"), "dedup").drop("batch")
 
 
 _WIDE = """
@@ -285,7 +320,8 @@ SELECT station_id, obs_date, max(value) FILTER (WHERE element = 'TMAX') AS tmax,
 
 @query("str_pivot", _WIDE, doubles="tmax tmin prcp", dates="obs_date")
 def _(v):
-    return _drain(v, live.pivot(_stream(v)), "pivot", "update")
+    records = _records(v)
+    return live.newest(_drain(v, lambda s: live.pivot(records(s)), "pivot", "update"), ["station_id", "obs_date"])
 
 
 def _z(x):
@@ -307,9 +343,8 @@ SELECT station_id, obs_date AS anomaly_date, kind AS anomaly_type, least(abs(z)
 def _(v):
     path = folder(v, "wide")
     live.pivot(v.live_records, watermark=None).write.parquet(path)
-    schema = "station_id string, obs_date date, tmax double, tmin double, prcp double"
-    wide = live.source(v.spark, path, schema)
-    return _drain(v, live.detect_stateful(wide), "alerts", "append").drop("description")
+    scored = _drain(v, live.score_stateful, "scores", table=v.spark.read.parquet(path), day="obs_date")
+    return anomaly.recent_alerts(live.newest(scored, ["station_id", "obs_date"])).drop("description")
 
 
 @query("str_detect_batch", """
@@ -324,7 +359,14 @@ SELECT station_id, obs_date AS anomaly_date, kind AS anomaly_type, least(abs(z)
       WINDOW w AS (PARTITION BY station_id)) WHERE rn = 1)) WHERE kind IS NOT NULL)""",
        doubles="severity temp_deviation", dates="anomaly_date")
 def _(v):
-    return anomaly.recent_alerts(rolling.latest_scores(v.obs, schemas.VARIABLES)).drop("description")
+    path = folder(v, "history")
+    v.obs.write.parquet(path)
+
+    def handle(out):
+        return live.detect_batch(lambda: v.spark.read.parquet(path), live.store_batches(out))
+
+    found = _drain(v, lambda s: s, "batch-alerts", table=v.spark.read.parquet(path), day="obs_date", handle=handle)
+    return live.newest(found, ["station_id", "anomaly_date"]).drop("description")
 
 
 @query("str_alerts", """
@@ -332,5 +374,10 @@ SELECT s.id AS subscription_id, a.id, a.station_id, a.anomaly_type, a.severity F
 JOIN subscriptions s ON a.station_id = s.station_id
 WHERE (s.alert_type = 'any' OR s.alert_type = a.anomaly_type) AND a.severity >= s.min_severity""", doubles="severity")
 def _(v):
-    found = live.alerts(v.served_anomalies.select("id", "station_id", "anomaly_type", "severity"), v.subscriptions)
-    return found.select("subscription_id", "id", "station_id", "anomaly_type", "severity")
+    path = folder(v, "found")
+    v.served_anomalies.select("id", "station_id", "anomaly_type", "severity", "anomaly_date").write.parquet(path)
+
+    def build(stream):
+        return live.alerts(stream, v.subscriptions).select("subscription_id", "id", "station_id", "anomaly_type", "severity")
+
+    return _drain(v, build, "alerts", table=v.spark.read.parquet(path), day="anomaly_date", repeat=False).drop("batch")

@@ -11,7 +11,7 @@ from skyframe.streaming import live
 from workload.analytics import _EVENTS, _MONTHLY, _TREND, _TREND_COLUMNS
 from workload.basics import folder
 from workload.registry import query
-from workload.serving import _WIDE, _stream
+from workload.serving import _WIDE, _drain, _records
 from workload.views import MIN_YEARS
 
 
@@ -52,9 +52,9 @@ def _(v):
 
 @query("str_cycle", _WIDE, doubles="tmax tmin prcp", dates="obs_date")
 def _(v):
-    """Two cycles over one checkpoint: the second finds nothing new and adds nothing."""
-    path, checkpoint = folder(v, "cycle"), folder(v, "cycle-checkpoint")
-    for _ in range(2):
-        live.run(live.pivot(_stream(v)), checkpoint, mode="update",
-                 handle=lambda batch, _: batch.write.mode("append").parquet(path)).awaitTermination()
+    """Cycles over one checkpoint with a stored table at their end: each revises and adds days,
+    the last finds nothing new; every batch replaces its own rows when it is replayed."""
+    records, path = _records(v), folder(v, "cycle-table")
+    wide = _drain(v, lambda s: live.pivot(records(s)), "cycle", "update")
+    live.newest(wide, ["station_id", "obs_date"]).write.mode("overwrite").parquet(path)
     return v.spark.read.parquet(path)

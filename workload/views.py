@@ -46,8 +46,8 @@ class Views:
     @cached_property
     def stations(self) -> DataFrame:
         s = self.table("supplier").join(
-            F.broadcast(self.table("nation")), F.col("s_nationkey") == F.col("n_nationkey")).join(
-            F.broadcast(self.table("region")), F.col("n_regionkey") == F.col("r_regionkey"))
+            self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(
+            self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         key = F.col("s_suppkey")
         placed = s.select(
             F.concat(F.lit("ST"), F.lpad(key.cast("string"), 12, "0")).alias("station_id"),
@@ -368,11 +368,11 @@ SELECT station_id, obs_date, latitude, longitude, geohash_prefix, anomaly_type,
   CAST(duration_days AS INTEGER) AS duration_days, tmax_zscore_30d AS temp_deviation,
   prcp_zscore_30d AS precip_deviation,
   CASE anomaly_type
-    WHEN 'heatwave' THEN printf('Heatwave event (severity: %.2f, %d days, +%.1fσ) [threshold]',
+    WHEN 'heatwave' THEN printf('Hot spell of severity %.2f over %d day(s), %+.1f standard deviations [threshold]',
       severity, duration_days, coalesce(tmax_zscore_30d, 0.0))
-    WHEN 'cold_snap' THEN printf('Cold snap event (severity: %.2f, %d days, %.1fσ) [threshold]',
+    WHEN 'cold_snap' THEN printf('Cold spell of severity %.2f over %d day(s), %+.1f standard deviations [threshold]',
       severity, duration_days, coalesce(tmax_zscore_30d, 0.0))
-    ELSE printf('Precipitation extreme (severity: %.2f, %d days, +%.1fσ) [threshold]',
+    ELSE printf('Heavy rain of severity %.2f over %d day(s), %+.1f standard deviations [threshold]',
       severity, duration_days, coalesce(prcp_zscore_30d, 0.0)) END AS description, year, month
 FROM (SELECT *, count(*) OVER (PARTITION BY station_id, anchor) AS duration_days,
     least(greatest(CASE WHEN hi > lo THEN (raw_score - lo) / (hi - lo) ELSE 0.5 END, 0.1), 1.0) AS severity
