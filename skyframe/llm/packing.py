@@ -26,38 +26,71 @@ SCHEMA = ("doc_id long, start long, length long, doc_tokens long, sequence_id lo
 ODD_BREAKS = re.compile("[\x1c-\x1f]")
 
 
+class Memo:
+    """What was worked out for recent keys: two generations of at least ``keep`` entries, used ones staying young."""
+
+    def __init__(self, keep: int):
+        self.keep, self.young, self.old = keep, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys that are not known; the others are young afterwards."""
+        if len(self.young) > self.keep:
+            self.young, self.old = {}, self.young
+        young, old, out = self.young, self.old, []
+        for key in keys:
+            if key not in young:
+                if key in old:
+                    young[key] = old[key]
+                else:
+                    out.append(key)
+        return out
+
+
 class Encoder:
     """Token ids of texts as little-endian 32-bit values.
 
     The vocabulary's pattern never matches across white space, and neither normal form nor lower-casing looks
-    beyond it, so a text's ids are those of its white-space-separated parts in a row. Parts repeat: each is
-    encoded once and kept, up to ``keep`` parts."""
+    beyond it, so a text's ids are those of its white-space-separated parts in a row. Parts repeat: what was encoded is
+    kept for a while. Parts of plain Latin characters, to which the normal form does nothing, are taken apart further by
+    the vocabulary's own pattern, since words without their punctuation and case repeat even more."""
+
+    PLAIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u017f]+")
+    #: Fixed value: the pattern of the vocabulary file.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, file: str, keep: int = 400_000):
+    def __init__(self, file: str, keep_parts: int = 250_000, keep_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
-        self.keep = keep
-        self.known: dict[str, bytes] = {}
+        self.parts, self.words = Memo(keep_parts), Memo(keep_words)
+        same = self.PATTERN in open(file, encoding="utf-8").read().replace("\\\\", "\\")
+        self.split = regex.compile(self.PATTERN).findall if same else None
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
+    def _encode(self, texts: list[str]) -> list[bytes]:
         from array import array
 
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [array("I", x.ids).tobytes() for x in found]
+        out = []
+        for i in range(0, len(texts), 20_000):
+            out += [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts[i:i + 20_000], add_special_tokens=False)]
+        return out
+
+    def _learn(self, parts: set[str]) -> None:
+        missing = self.parts.missing(parts)
+        plain = {p: self.split(p.lower()) for p in missing if self.PLAIN.fullmatch(p)} if self.split else {}
+        words = self.words.missing(set().union(*plain.values()))
+        self.words.young.update(zip(words, self._encode(words), strict=True))
+        get = self.words.young.__getitem__
+        self.parts.young.update((p, get(w[0]) if len(w) == 1 else b"".join(map(get, w))) for p, w in plain.items())
+        other = [p for p in missing if p not in plain]
+        self.parts.young.update(zip(other, self._encode(other), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.keep:
-            self.known.clear()
-        known = self.known
         split = [None if ODD_BREAKS.search(t) else t.split() for t in texts]
-        missing = list({p for parts in split if parts for p in parts if p not in known})
-        for i in range(0, len(missing), 50_000):
-            block = missing[i:i + 50_000]
-            known.update(zip(block, self._encode(block), strict=True))
-        get = known.__getitem__
+        self._learn(set().union(*filter(None, split)))
+        get = self.parts.young.__getitem__
         return [self._encode([t])[0] if parts is None else b"".join(map(get, parts))
                 for t, parts in zip(texts, split, strict=True)]
 
