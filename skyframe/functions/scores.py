@@ -62,9 +62,9 @@ def severity(z: Column, scale: float = 5.0) -> Column:
 
 
 def describe(kind: Column, sev: Column, days: Column, temp_z: Column, rain_z: Column,
-             method: str) -> Column:
+             method: str | Column) -> Column:
     """One readable sentence per event."""
-    tail = F.lit(f" [{method}]")
+    tail = F.concat(F.lit(" ["), F.lit(method), F.lit("]"))
 
     def text(template: str, z: Column) -> Column:
         return F.concat(F.format_string(template, sev, days, F.coalesce(z, F.lit(0.0))), tail)

@@ -69,17 +69,19 @@ def statistical(daily: DataFrame, horizon: int = 365, step: int = 7, min_days: i
         F.lit(None).cast("double").alias("mae"), F.lit(None).cast("double").alias("rmse"))
 
 
-def _series(daily: DataFrame, min_days: int) -> DataFrame:
-    """Weekly means, one row per series: arrays of (week, value) and, beside them, the
-    other variables' weeks of the same station. Lengths are bounded by calendar weeks."""
-    weeks = daily_ops.weekly(daily)
-    days = daily_ops.unpivot(daily).groupBy("station_id", "variable").agg(
-        F.count(F.lit(1)).alias("days")).where(F.col("days") >= min_days)
-    wide = weeks.groupBy("station_id", "week_end").agg(*[
-        F.max(F.when(F.col("variable") == v, F.col("value"))).alias(v) for v in schemas.VARIABLES])
-    return wide.join(
-        days.groupBy("station_id").agg(F.sort_array(F.collect_set("variable")).alias("usable")),
-        "station_id").withColumn("variable", F.explode("usable")).drop("usable")
+def _series(daily: DataFrame, min_days: int, min_rows: int) -> DataFrame:
+    """Weekly means, one row for each week and usable variable, with the other variables' means
+    beside it. Days are counted with the means, so the daily form is read and shuffled once;
+    a station's weeks are bounded by the calendar."""
+    week = units.week_ending_sunday(F.col("obs_date")).alias("week_end")
+    weeks = daily.groupBy("station_id", week).agg(
+        *[F.avg(v).alias(v) for v in schemas.VARIABLES],
+        *[F.count(v).alias(f"_{v}") for v in schemas.VARIABLES], F.count(F.lit(1)).alias("_rows"))
+    station = Window.partitionBy("station_id")
+    usable = [F.when((F.sum(f"_{v}").over(station) >= min_days) & (F.sum("_rows").over(station) >= min_rows), F.lit(v))
+              for v in schemas.VARIABLES]
+    named = weeks.withColumn("_usable", F.array_compact(F.array(*usable))).withColumn("variable", F.explode("_usable"))
+    return named.select("station_id", "week_end", *schemas.VARIABLES, "variable")
 
 
 def _fourier(days: np.ndarray, period: float, order: int) -> np.ndarray:
@@ -129,19 +131,22 @@ def _errors(truth: np.ndarray, guess: np.ndarray) -> tuple[float, float]:
 _EMPTY = pd.DataFrame(columns=schemas.FORECAST_COLUMNS)
 
 
-def harmonic(daily: DataFrame, min_days: int = 365, weeks: int = 52, holdout: int = 52) -> DataFrame:
-    """Weekly harmonic regression, scored on the last ``holdout`` weeks, then refitted
+def harmonic(daily: DataFrame, min_days: int = 365, weeks: int = 52, holdout: int = 52,
+             min_rows: int = 730) -> DataFrame:
+    """Weekly harmonic regression of stations with at least ``min_rows`` daily rows and 52
+    weeks, scored on the last ``holdout`` weeks (fewer in a short series), then refitted
     and extended ``weeks`` weeks with a 90 % interval from the residual quantiles."""
     def one_series(pdf: pd.DataFrame) -> pd.DataFrame:
         station, variable = pdf["station_id"].iloc[0], pdf["variable"].iloc[0]
         pdf = pdf[["week_end", variable]].dropna().sort_values("week_end")
-        if len(pdf) < max(52, holdout + 30):
+        if len(pdf) < 52:
             return _EMPTY
+        held = min(holdout, len(pdf) - 30)
         ends = pd.to_datetime(pdf["week_end"])
         day = (ends - pd.Timestamp(0)).dt.days.to_numpy(dtype=float)
         y = pdf[variable].to_numpy(dtype=float)
         rainy = variable == "prcp"
-        mae, rmse = _errors(y[-holdout:], _harmonic_fit(day[:-holdout], y[:-holdout], rainy)(day[-holdout:]))
+        mae, rmse = _errors(y[-held:], _harmonic_fit(day[:-held], y[:-held], rainy)(day[-held:]))
         model = _harmonic_fit(day, y, rainy)
         low, high = np.quantile(y - model(day), [0.05, 0.95])
         ahead = day[-1] + 7.0 * np.arange(1, weeks + 1)
@@ -150,7 +155,7 @@ def harmonic(daily: DataFrame, min_days: int = 365, weeks: int = 52, holdout: in
         return _rows(station, variable, dates, value, value + low, value + high,
                      "harmonic", "1.0", mae, rmse)
 
-    return spread(_series(daily, min_days), ["station_id", "variable"]).groupBy("station_id", "variable").applyInPandas(
+    return spread(_series(daily, min_days, min_rows), ["station_id", "variable"]).groupBy("station_id", "variable").applyInPandas(
         one_series, schemas.FORECAST)
 
 
@@ -163,7 +168,7 @@ def _lags(y: np.ndarray, others: np.ndarray, own: int, cross: int) -> np.ndarray
 
 
 def arx(daily: DataFrame, min_days: int = 365, weeks: int = 52, holdout: int = 52,
-        own: int = 12, cross: int = 4) -> DataFrame:
+        own: int = 12, cross: int = 4, min_rows: int = 730) -> DataFrame:
     """Weekly autoregression on 12 own lags, 4 lags of the other variables and yearly
     waves, by ridge; extended step by step with the others held at their last value.
     Bounds are the 5 % and 95 % residual quantiles."""
@@ -171,8 +176,9 @@ def arx(daily: DataFrame, min_days: int = 365, weeks: int = 52, holdout: int = 5
         station, variable = pdf["station_id"].iloc[0], pdf["variable"].iloc[0]
         names = [v for v in schemas.VARIABLES if v != variable and pdf[v].notna().any()]
         pdf = pdf.dropna(subset=[variable]).sort_values("week_end")
-        if len(pdf) < holdout + 3 * own:
+        if len(pdf) < 52:
             return _EMPTY
+        held = min(holdout, len(pdf) - 3 * own)
         ends = pd.to_datetime(pdf["week_end"])
         day = (ends - pd.Timestamp(0)).dt.days.to_numpy(dtype=float)
         y = pdf[variable].to_numpy(dtype=float)
@@ -194,7 +200,7 @@ def arx(daily: DataFrame, min_days: int = 365, weeks: int = 52, holdout: int = 5
                 past.append(float(row @ weights))
             return np.array(past[stop:])
 
-        cut = len(y) - holdout
+        cut = len(y) - held
         mae, rmse = _errors(y[cut:], extend(fit(cut)[0], cut, day[cut:]))
         weights, residual = fit(len(y))
         low, high = np.quantile(residual, [0.05, 0.95])
@@ -204,7 +210,7 @@ def arx(daily: DataFrame, min_days: int = 365, weeks: int = 52, holdout: int = 5
         return _rows(station, variable, dates, value, value + low, value + high, "arx",
                      "2.0-multivariate", mae, rmse)
 
-    return spread(_series(daily, min_days), ["station_id", "variable"]).groupBy("station_id", "variable").applyInPandas(
+    return spread(_series(daily, min_days, min_rows), ["station_id", "variable"]).groupBy("station_id", "variable").applyInPandas(
         one_series, schemas.FORECAST)
 
 

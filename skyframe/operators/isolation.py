@@ -102,7 +102,7 @@ def reconstruction_scores(x: np.ndarray, length: int = SEQUENCE, components: int
 
 def model_scores(features: DataFrame, names: list[str] = anomaly.FEATURES, min_rows: int = 365,
                  trees: int = 200, sequence: bool = True) -> DataFrame:
-    """Adds ``iforest_score`` and ``seq_score``; stations with fewer rows are left out.
+    """Adds ``iforest_score``, ``seq_score`` and by which of them a station was judged; stations with fewer rows are left out.
 
     Unknown features count as 0. Rows are ordered by date and the seed follows from the
     station id, so the result does not depend on partitioning."""
@@ -111,18 +111,19 @@ def model_scores(features: DataFrame, names: list[str] = anomaly.FEATURES, min_r
         raise ValueError("at least three feature columns are needed")
     ordered = [c for c in SEQUENCE_FEATURES if c in used]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in features.schema)
-    schema += ", iforest_score double, seq_score double"
+    schema += ", iforest_score double, seq_score double, scored_by string"
 
     def one_station(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("obs_date").reset_index(drop=True)
         if len(pdf) < min_rows:
-            return pdf.iloc[:0].assign(iforest_score=0.0, seq_score=0.0)
+            return pdf.iloc[:0].assign(iforest_score=0.0, seq_score=0.0, scored_by="")
         x = pdf[used].fillna(0.0).to_numpy(dtype=float)
         seed = 42 + zlib.crc32(str(pdf["station_id"].iloc[0]).encode())
         by_sequence = np.zeros(len(pdf))
         if sequence and ordered:
             by_sequence = reconstruction_scores(pdf[ordered].fillna(0.0).to_numpy(dtype=float))
-        return pdf.assign(iforest_score=forest_scores(x, seed, trees), seq_score=by_sequence)
+        method = "forest + sequence" if by_sequence.any() else "isolation_forest"
+        return pdf.assign(iforest_score=forest_scores(x, seed, trees), seq_score=by_sequence, scored_by=method)
 
     return spread(features, ["station_id"]).groupBy("station_id").applyInPandas(one_station, schema)
 
@@ -134,5 +135,4 @@ def detect(features: DataFrame, residuals: DataFrame | None = None, min_rows: in
     complete = with_residuals(features, residuals, ["tmax", "tmin", "prcp"])
     narrow = complete.select(*columns, *[F.col(c) for c in anomaly.FEATURES])
     scored = anomaly.ensemble_score(model_scores(narrow, min_rows=min_rows, trees=trees, sequence=sequence))
-    method = "forest + sequence" if sequence else "isolation_forest"
-    return anomaly.event_rows(scored, method)
+    return anomaly.event_rows(scored, F.col("scored_by"))

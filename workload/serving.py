@@ -223,19 +223,19 @@ def _(v):
 
 @query("ml_forecast_harmonic")
 def _(v):
-    return forecast.harmonic(v.obs)
+    return forecast.harmonic(v.obs, min_rows=365)
 
 
 @query("ml_forecast_arx")
 def _(v):
-    return forecast.arx(v.obs)
+    return forecast.arx(v.obs, min_rows=365)
 
 
 _BLEND = """
 SELECT station_id, variable, forecast_date + CAST((7 - dayofweek(forecast_date)) % 7 AS INTEGER) AS forecast_date,
   {} AS predicted_value, {} AS lower_bound, {} AS upper_bound, 'ensemble' AS model_type,
   'harmonic_0.7_statistical_0.3' AS model_version FROM (
-  SELECT *, 0.3::DOUBLE AS w FROM forecasts UNION ALL SELECT *, 0.7::DOUBLE AS w FROM row_forecasts) GROUP BY 1, 2, 3"""
+  SELECT *, 0.3::DOUBLE AS w FROM forecasts UNION ALL SELECT *, 0.7::DOUBLE AS w FROM row_forecasts WHERE month(forecast_date) % 2 = 0) GROUP BY 1, 2, 3"""
 
 
 def _blend_sql(normalize):
@@ -245,7 +245,8 @@ def _blend_sql(normalize):
 
 for _name, _normalize in (("ml_ensemble_forecast", True), ("join_outer_ensemble", False)):
     def _blend(v, normalize=_normalize):
-        both = v.forecasts.unionByName(v.row_forecasts)
+        # the second model is missing in odd months, so that the weights present differ
+        both = v.forecasts.unionByName(v.row_forecasts.where(F.month("forecast_date") % 2 == 0))
         return forecast.ensemble(both, forecast.WEIGHTS_TWO, normalize).drop("mae", "rmse")
     query(_name, _blend_sql(_normalize), doubles="predicted_value lower_bound upper_bound", dates="forecast_date")(_blend)
 
