@@ -4,9 +4,8 @@ A document is the weighted set of its five-word shingles, weight = occurrences t
 signature has 64 consistent weighted samples: two documents agree on a sample with a probability equal to their weighted
 Jaccard similarity. Signatures are banded; pairs from a band are verified by their weighted Jaccard similarity.
 
-Equal texts are one node. In a bucket each member is paired with the bucket's smallest and largest member, not with all
-others; after these links are verified, members of a bucket that are still in different classes are compared with each
-other, so the classes are those of all pairs that share a bucket.
+Equal texts are one node. In a large bucket members are compared with a pivot, not with each other; ``links`` tells what that
+may lose.
 
 The document frequency of a shingle counts all documents. Its inverse is 1 for a shingle in every document and 2 for one
 in at most ``rate`` of them, logarithmic between; so only shingles above that rate need exact counts, and there are at most
@@ -28,6 +27,8 @@ from skyframe.llm.words import mix, shingles, word_hashes
 
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
+#: Members of a bucket up to which all pairs are compared, in the first and second round, and members asked in a pivot's stead.
+SMALL, RARE, DELEGATES = 200, 6, 8
 #: Documents that a block has at least (where the corpus has them) and shingles at which it is closed.
 BLOCK_DOCS, BLOCK_SHINGLES = 4000, 1 << 22
 #: Frequent shingles that may be shipped to every task (16 bytes each); beyond it the rate is doubled.
@@ -81,9 +82,12 @@ def _block_counts(docs: DataFrame, width: int, least, only=None) -> DataFrame:
                     found = found[known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found]
                 held.append(found)
                 size, n = size + len(found), n + 1
-            if size >= BLOCK_SHINGLES:
+            if size >= 2 * BLOCK_SHINGLES:  # the first half goes, so that what is left at the end is no small rest
+                half = n // 2
+                rest, held, n = held[half:], held[:half], half
                 yield from flush()
-                held, size, n = [], 0, 0
+                held, n = rest, len(rest)
+                size = sum(map(len, held))
         if size:
             yield from flush()
 
@@ -183,17 +187,35 @@ def buckets(nodes: DataFrame) -> DataFrame:
     return nodes.where("sig IS NOT NULL").select("content", F.explode(F.array(*bands)).alias("bucket"))
 
 
-def pair(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def shared_only(members: DataFrame, name: str) -> DataFrame:
+    """(bucket, content, size) of the buckets that have more than one member."""
+    placed = cut(members, name)
+    sizes = cut(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), f"{name}-sizes")
+    return cut(placed.join(lookup(sizes), "bucket"), f"{name}-shared")
+
+
+def pivots(inside: DataFrame, homes: bool) -> DataFrame:
+    """(content, pivot): with whom each member of a large bucket is compared.
+
+    A node's degree is the sum of its buckets' sizes, which is highest for the text that many others vary. A node's home is
+    the member of its buckets with the highest degree; a bucket's pivot is the home of its members with the highest degree.
+    So the buckets of one family have one pivot, even those it is not in. Without ``homes`` the pivot is the bucket's own
+    member with the highest degree."""
+    degrees = cut(inside.groupBy("content").agg(F.sum("size").alias("degree")), "degrees")
+    ranked = cut(inside.join(degrees, "content").select("bucket", "content", F.struct("degree", "content").alias("rank")), "ranked")
+    top = cut(ranked.groupBy("bucket").agg(F.max("rank").alias("top")), "top")
+    pivot = top.withColumnRenamed("top", "pivot")
+    if homes:
+        home = cut(ranked.join(lookup(top), "bucket").groupBy("content").agg(F.max("top").alias("home")), "homes")
+        pivot = cut(ranked.join(lookup(home), "content").groupBy("bucket").agg(F.max("home").alias("pivot")), "pivot")
+    return ranked.join(lookup(pivot), "bucket").select("content", F.col("pivot.content").alias("pivot")).where("content != pivot").distinct()
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, weights, threshold: float, width: int) -> DataFrame:
-    """The pairs (a, b) whose texts have a weighted Jaccard similarity of at least ``threshold``."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct()
-    wanted = cut(ends.join(nodes, "content").select("content", "place.file", "place.row"), "wanted")
-    texts = cut(rows.select("file", "row", "text").join(lookup(wanted), ["file", "row"]).select("content", "text"), "texts")
+def compared(pairs: DataFrame, texts: DataFrame, weights, width: int) -> DataFrame:
+    """The pairs (a, b, wide) with their weighted Jaccard similarity, the weights of both sides and of what they share; for
+    wide ones also the shingles that weigh more in a than in b."""
     left = pairs.join(texts.select(F.col("content").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("content").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    both = left.join(texts.select(F.col("content").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "wide", "text_a", "text_b")
 
     def compare(batch):
         known = {}
@@ -204,45 +226,91 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, weights, thres
                 known[key] = hashes, weights.value(hashes, counts)
             return known[key]
 
-        a, b, ta, tb = (c.to_pylist() for c in batch.columns)
-        return {"a": batch.column(0), "b": batch.column(1),
-                "similarity": [similarity(weighted(*x), weighted(*y)) for x, y in zip(zip(a, ta), zip(b, tb), strict=True)]}
-
-    checked = cut(map_batches(both, compare, "a binary, b binary, similarity double"), "checked")
-    return checked.where(F.col("similarity") >= threshold)
-
-
-def links(nodes: DataFrame, rows: DataFrame, weights, threshold: float, width: int) -> tuple[DataFrame, DataFrame]:
-    """Verified pairs of distinct texts, and (node, root) of their components."""
-    placed = cut(buckets(nodes), "buckets")
-    ends = placed.groupBy("bucket").agg(F.min("content").alias("lo"), F.max("content").alias("hi"), F.count(F.lit(1)).alias("members"))
-    ends = cut(ends.where("members > 1"), "ends")
-    inside = cut(placed.join(lookup(ends), "bucket"), "inside")
-    star = inside.select(F.explode(F.array(F.struct(*pair("content", "lo")), F.struct(*pair("content", "hi")))).alias("p")).select("p.*")
-    star = cut(star.where("a != b").distinct(), "pairs")
-    found = verified(star, nodes, rows, weights, threshold, width)
-    classes = components(found)
-    # members of a bucket that are in different classes and were not compared yet
-    of = F.coalesce("root", "content")
-    open_ = (inside.where("members > 3").join(classes, F.col("content") == F.col("node"), "left")
-             .select("bucket", "content", of.alias("class")))
-    split = open_.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x != y").select("bucket")
-    open_ = cut(open_.join(lookup(cut(split, "split")), "bucket"), "open")
-    if open_.isEmpty():
-        return found, classes
-    signed = cut(open_.join(nodes.select("content", "sig"), "content"), "signed")
-    x, y = signed.alias("x"), signed.alias("y")
-    agree = F.size(F.filter(F.zip_with("x.sig", "y.sig", lambda i, j: i == j), lambda same: same))
+        out = {name: [] for name in ("similarity", "weight_a", "weight_b", "common", "added")}
+        a, b, wide, ta, tb = (c.to_pylist() for c in batch.columns)
+        for key_a, key_b, full, text_a, text_b in zip(a, b, wide, ta, tb, strict=True):
+            (ha, wa), (hb, wb) = weighted(key_a, text_a), weighted(key_b, text_b)
+            _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
+            common, whole = float(np.minimum(wa[i], wb[j]).sum()), float(wa.sum() + wb.sum())
+            out["similarity"].append(common / (whole - common) if whole > common else 0.0)
+            out["weight_a"].append(float(wa.sum()))
+            out["weight_b"].append(float(wb.sum()))
+            out["common"].append(common)
+            covered = np.zeros(len(ha), bool)
+            covered[i] = wa[i] <= wb[j]
+            out["added"].append(ha[~covered].view(np.int64) if full else None)
+        return {"a": batch.column(0), "b": batch.column(1), "wide": batch.column(2), **out}
+
+    return cut(map_batches(both, compare, "a binary, b binary, wide boolean, similarity double, weight_a double, weight_b double, "
+                                          "common double, added array<long>"), "compared")
+
+
+def links(nodes: DataFrame, rows: DataFrame, weights, threshold: float, width: int) -> DataFrame:
+    """(a, b) links of distinct texts that share a bucket.
+
+    All pairs of a bucket of at most ``SMALL`` members are compared whose signatures agree about as often as similar texts'
+    do. In a larger one each member is compared with a pivot c; members that are similar
+    to c are linked through it. What x and y share weighs at most min(x and c, y and c) plus what both have beyond c; so a
+    pair of which one is not similar to c can only be similar if (1) x and y share a shingle that weighs more in both than in
+    c, or (2) what each shares with c alone would do, which weights tell. Pairs by (2) are few and are compared. The groups of
+    (1) are buckets of a second round, in which those of at most ``RARE`` members are compared in all pairs and larger ones with
+    their own pivot. There, members unlike the first pivot are also compared with ``DELEGATES`` of those that are similar to it. So a link can
+    only be lost where a text is unlike the pivots of both rounds and all delegates, and shares with its partner only shingles
+    that many of their family have and the first pivot lacks. Rows are bounded by the members and their shingles beyond the
+    pivot."""
+    share = threshold / (1 + threshold)
+    inside = shared_only(buckets(nodes), "buckets")
+    wanted = inside.select("content").distinct().join(nodes, "content").select("content", "place.file", "place.row")
+    texts = cut(rows.select("file", "row", "text").join(lookup(cut(wanted, "wanted")), ["file", "row"]).select("content", "text"), "texts")
+    found, extra = [], None
     # at the threshold, 4.5 standard deviations below the expected agreement
     least = math.floor(SAMPLES * threshold - 4.5 * math.sqrt(SAMPLES * threshold * (1 - threshold)))
-    more = (x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.content") < F.col("y.content"))
-                   & (F.col("x.class") != F.col("y.class")) & (agree >= least))
-            .select(F.col("x.content").alias("a"), F.col("y.content").alias("b")).distinct())
-    more = cut(more.join(star, ["a", "b"], "left_anti"), "pairs")
-    if more.isEmpty():
-        return found, classes
-    found = found.unionByName(verified(more, nodes, rows, weights, threshold, width))
-    return found, components(found)
+    for last in (False, True):
+        small = RARE if last else SMALL
+        few = cut(inside.where(F.col("size") <= small).join(nodes.select("content", "sig"), "content"), "few")
+        x, y = few.alias("x"), few.alias("y")
+        agree = F.size(F.filter(F.zip_with("x.sig", "y.sig", lambda i, j: i == j), lambda same: same))
+        pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.content") < F.col("y.content")) & (agree >= least)).select(
+            F.col("x.content").alias("a"), F.col("y.content").alias("b"), F.lit(False).alias("wide"))
+        if extra is not None:
+            pairs = pairs.unionByName(extra)
+        large = cut(inside.where(F.col("size") > small), "large")
+        more = not large.isEmpty()
+        if more:
+            pairs = pairs.unionByName(pivots(large, not last).select(F.col("content").alias("a"), F.col("pivot").alias("b"), F.lit(not last).alias("wide")))
+        checked = compared(cut(pairs.distinct(), "pairs"), texts, weights, width)
+        found.append(checked.where(F.col("similarity") >= threshold).select("a", "b"))
+        if last or not more:
+            break
+        wide = checked.where("wide").select(
+            "a", "b", "added", "weight_a", (F.col("similarity") >= threshold).alias("linked"),
+            (F.col("common") / share - F.col("weight_a")).alias("reach"))
+        # (2): what a shares with the pivot reaches over a partner of weight up to ``reach``
+        apart = wide.where("NOT linked")
+        bounds = cut(wide.groupBy("b").agg(F.min("weight_a").alias("lightest")).join(
+            apart.groupBy("b").agg(F.max("reach").alias("furthest")), "b"), "bounds")
+        near = cut(wide.drop("added").join(lookup(bounds), "b").where(
+            (F.col("weight_a") <= F.col("furthest")) | (~F.col("linked") & (F.col("reach") >= F.col("lightest")))), "near")
+        x, y = near.where("NOT linked").alias("x"), near.alias("y")
+        extra = cut(x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.a") != F.col("y.a")) & (F.col("x.reach") >= F.col("y.weight_a"))
+                           & (F.col("y.reach") >= F.col("x.weight_a")))
+                    .select(*pair("x.a", "y.a"), F.lit(False).alias("wide")).distinct(), "extra")
+        # delegates of those that are similar to the pivot, for those that are not
+        picked = F.array_distinct(F.array(*[F.min_by("a", F.xxhash64(F.lit(k), F.col("a"))) for k in range(DELEGATES)]))
+        delegates = cut(wide.where("linked").groupBy("b").agg(picked.alias("picked")), "delegates")
+        asked = apart.join(lookup(delegates), "b").select("a", F.explode("picked").alias("other"))
+        extra = extra.unionByName(asked.select(*pair("a", "other"), F.lit(False).alias("wide")))
+        # (1): groups of at least two that share a shingle beyond the pivot, not all linked to it
+        beyond = wide.select(F.col("a").alias("content"), "linked", F.explode("added").alias("shingle"), "b")
+        beyond = cut(beyond.select("content", "linked", F.xxhash64("b", "shingle").alias("bucket")), "beyond")
+        open_ = (beyond.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bool_and("linked").alias("done"))
+                 .where("size > 1 AND NOT done").select("bucket", "size"))
+        inside = cut(beyond.select("bucket", "content").join(lookup(cut(open_, "open")), "bucket"), "inside")
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def pair(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, rate: float = 1e-3) -> DataFrame:
@@ -257,7 +325,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, rate: float
     weights = context.broadcast(frequencies(docs, width, rate))
     all_rows = sketches(rows, weights, width)
     nodes = cut(all_rows.groupBy("content").agg(F.min(F.struct("file", "row")).alias("place"), F.max("sig").alias("sig")), "nodes")
-    _, found = links(nodes, rows, weights, threshold, width)
+    found = components(links(nodes, rows, weights, threshold, width))
     classed = cut(all_rows.join(lookup(found), F.col("content") == F.col("node"), "left").select(
         "doc_id", "file", "row", "content", F.coalesce("root", "content").alias("class")), "classed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")).alias("first")
