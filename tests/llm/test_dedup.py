@@ -86,16 +86,18 @@ def test_lines(spark, tmp_path, at_least, shortest, batches, fanout):
     assert lines.drop_common(cases.documents(spark, []), at_least).collect() == []
 
 
-def test_runs_are_bucketed_and_merged_without_shuffle(spark):
+def test_runs_are_merged_without_shuffle(spark):
     runs = lines.Runs(spark, 3)
     frame = spark.range(1000).select(F.col("id").alias("h1"), F.col("id").alias("h2"), F.lit(2).cast("long").alias("n"))
     runs.add(frame)
+    left, right = runs.levels[0][0], runs.levels[0][0].alias("b").hint("merge")
+    assert "Exchange" not in left.join(right, ["h1", "h2"], "full")._jdf.queryExecution().executedPlan().toString()
     runs.add(frame)
-    runs.add(frame.where("h1 < 10"))
+    assert list(runs.levels) == [1]
     runs.add(frame)
+    assert runs.levels[0][0].count() == 0
+    runs.add(frame.withColumn("h1", F.col("h1") + 500))
     assert runs.common().count() == 1000
-    plan = runs.settled[0].join(runs.settled[0].alias("b").hint("merge"), ["h1", "h2"])._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
 
 
 def test_digest_column(spark):
