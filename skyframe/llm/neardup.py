@@ -4,8 +4,8 @@ A document is the weighted set of its five-word shingles, weight = occurrences t
 signature has 64 consistent weighted samples: two documents agree on a sample with a probability equal to their weighted
 Jaccard similarity. Signatures are banded; pairs from a band are verified by their weighted Jaccard similarity.
 
-Equal texts are one node. In a large bucket members are compared with a pivot, not with each other; ``links`` tells what that
-may lose.
+Equal texts are one node. In a large bucket members are compared with pivots first; only those that are still in different
+classes then are compared with each other (``links``).
 
 The document frequency of a shingle counts all documents. Its inverse is 1 for a shingle in every document and 2 for one
 in at most ``rate`` of them, logarithmic between; so only shingles above that rate need exact counts, and there are at most
@@ -19,7 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from skyframe.llm.common import content_key, cut, located, lookup, map_batches, small_batches
 from skyframe.llm.graph import components
@@ -254,22 +254,21 @@ def links(nodes: DataFrame, rows: DataFrame, weights, threshold: float, width: i
     pair of which one is not similar to c can only be similar if (1) x and y share a shingle that weighs more in both than in
     c, or (2) what each shares with c alone would do, which weights tell. Pairs by (2) are few and are compared. The groups of
     (1) are buckets of a second round, in which those of at most ``RARE`` members are compared in all pairs and larger ones with
-    their own pivot. There, members unlike the first pivot are also compared with ``DELEGATES`` of those that are similar to it. So a link can
-    only be lost where a text is unlike the pivots of both rounds and all delegates, and shares with its partner only shingles
-    that many of their family have and the first pivot lacks. Rows are bounded by the members and their shingles beyond the
-    pivot."""
+    their own pivot. There, members unlike the first pivot are also compared with ``DELEGATES`` of those that are similar to it. At last the members
+    of a first large bucket that these links leave in different classes are compared (``unsettled``), so every pair of a bucket
+    is compared or in one class, wherever its signatures agree."""
     share = threshold / (1 + threshold)
     inside = shared_only(buckets(nodes), "buckets")
     wanted = inside.select("content").distinct().join(nodes, "content").select("content", "place.file", "place.row")
     texts = cut(rows.select("file", "row", "text").join(lookup(cut(wanted, "wanted")), ["file", "row"]).select("content", "text"), "texts")
-    found, extra = [], None
+    found, extra, first = [], None, None
     # at the threshold, 4.5 standard deviations below the expected agreement
     least = math.floor(SAMPLES * threshold - 4.5 * math.sqrt(SAMPLES * threshold * (1 - threshold)))
     for last in (False, True):
         small = RARE if last else SMALL
         few = cut(inside.where(F.col("size") <= small).join(nodes.select("content", "sig"), "content"), "few")
         x, y = few.alias("x"), few.alias("y")
-        agree = F.size(F.filter(F.zip_with("x.sig", "y.sig", lambda i, j: i == j), lambda same: same))
+        agree = agreement("x.sig", "y.sig")
         pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.content") < F.col("y.content")) & (agree >= least)).select(
             F.col("x.content").alias("a"), F.col("y.content").alias("b"), F.lit(False).alias("wide"))
         if extra is not None:
@@ -277,6 +276,7 @@ def links(nodes: DataFrame, rows: DataFrame, weights, threshold: float, width: i
         large = cut(inside.where(F.col("size") > small), "large")
         more = not large.isEmpty()
         if more:
+            first = large if first is None else first
             pairs = pairs.unionByName(pivots(large, not last).select(F.col("content").alias("a"), F.col("pivot").alias("b"), F.lit(not last).alias("wide")))
         checked = compared(cut(pairs.distinct(), "pairs"), texts, weights, width)
         found.append(checked.where(F.col("similarity") >= threshold).select("a", "b"))
@@ -306,9 +306,31 @@ def links(nodes: DataFrame, rows: DataFrame, weights, threshold: float, width: i
         open_ = (beyond.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bool_and("linked").alias("done"))
                  .where("size > 1 AND NOT done").select("bucket", "size"))
         inside = cut(beyond.select("bucket", "content").join(lookup(cut(open_, "open")), "bucket"), "inside")
+    if first is not None:
+        rest = unsettled(first, nodes, components(functools.reduce(DataFrame.unionByName, found)), least)
+        found.append(compared(cut(rest, "unsettled"), texts, weights, width).where(F.col("similarity") >= threshold).select("a", "b"))
     return functools.reduce(DataFrame.unionByName, found)
 
 
+def agreement(x: str, y: str) -> Column:
+    return F.size(F.filter(F.zip_with(x, y, lambda i, j: i == j), lambda same: same))
+
+
+def unsettled(large: DataFrame, nodes: DataFrame, roots: DataFrame, least: int) -> DataFrame:
+    """(a, b, wide): the pairs of a bucket that are in different classes so far and whose signatures agree. One side is always
+    outside the bucket's largest class, so a bucket in one class costs nothing."""
+    placed = large.join(lookup(roots), F.col("content") == F.col("node"), "left").select("bucket", "content", F.coalesce("root", "content").alias("root"))
+    placed = cut(placed, "placed")
+    share = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    major = share.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("major"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    members = cut(placed.join(lookup(cut(major, "major")), "bucket").join(nodes.select("content", "sig"), "content").select(
+        "bucket", "content", "root", "sig", (F.col("root") != F.col("major.root")).alias("minor")), "members")
+    x, y = members.where("minor").alias("x"), members.alias("y")
+    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root"))
+                   & (agreement("x.sig", "y.sig") >= least))
+    return pairs.select(*pair("x.content", "y.content"), F.lit(False).alias("wide")).distinct()
+
+
 def pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 

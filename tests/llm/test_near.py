@@ -69,6 +69,39 @@ def test_many_near_copies_in_one_group(spark):
     assert len({r.class_id for i, r in found.items() if i >= 1000}) == 100
 
 
+def test_families_within_a_large_bucket(spark):
+    """Texts that all share their buckets: 220 variants of a base and families of 16 that have a change in common, half of which
+    have a second one in common. Either half is unlike the base and unlike the other half."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(5000)]
+    base = rng.choices(words, k=300)
+
+    def changed(text, first, last):
+        return text[:first] + rng.choices(words, k=last - first) + text[last:]
+
+    def variant(text):
+        own = list(text)
+        own[rng.randrange(300)] = rng.choice(words)
+        return " ".join(own)
+
+    texts = [variant(base) for _ in range(220)]
+    for i in range(4):
+        one = changed(base, 40 * i, 40 * i + 40)
+        two = changed(one, 200, 240)
+        texts += [variant(one) for _ in range(8)] + [variant(two) for _ in range(8)]
+    rows = neardup.located(cases.documents(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)]))
+    weights = spark.sparkContext.broadcast(neardup.frequencies(rows))
+    keyed = neardup.cut(rows.withColumn("content", neardup.content_key()), "keyed").collect()
+    nodes = spark.createDataFrame([(r.content, (r.file, r.row), [1] * neardup.SAMPLES) for r in keyed],
+                                  "content binary, place struct<file: string, row: long>, sig array<int>")
+    found = graph.components(neardup.links(nodes, rows, weights, 0.8, 5)).collect()
+    root = {bytes(r.node): bytes(r.root) for r in found}
+    ids = {r.text: bytes(r.content) for r in keyed}
+    want = plain_classes(texts)
+    assert len(set(want)) == 9
+    assert partition(range(len(texts)), [root.get(ids[t], ids[t]) for t in texts]) == partition(range(len(texts)), want)
+
+
 def test_odd_documents(spark, tmp_path):
     want = partition([r[0] for r in cases.ROWS], [r[1] or "" for r in cases.ROWS])
     for docs in (cases.documents(spark), cases.stored(spark, str(tmp_path / "d"))):
