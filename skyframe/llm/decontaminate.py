@@ -2,8 +2,8 @@
 
 A mask is a row of word positions of which some are ignored; a window's hash under it covers the others, so windows that
 differ only at ignored positions have the same hash. The hashes of all benchmark windows are joined with those of all
-document windows. Around each hit the item is laid over the document and the stretch with the best score (matches less
-substitutions) is taken; it counts if it is long enough and enough of its words agree."""
+document windows. Around each hit the item is laid over the document; of all stretches that are long enough and of which enough
+words agree, the one with the most matches is taken."""
 
 from __future__ import annotations
 
@@ -71,14 +71,27 @@ def build(item_ids: list, texts: list[str]) -> Index:
     return index
 
 
-def stretch(same: np.ndarray, penalty: float) -> tuple[int, int]:
-    """Bounds of the stretch with the highest sum, a match counting 1 and a substitution minus ``penalty``."""
-    sums = np.concatenate(([0.0], np.cumsum(np.where(same, 1.0, -penalty))))
-    gain = sums - np.minimum.accumulate(sums)
-    end = int(gain.argmax())
-    start = end
-    low = sums[:end + 1].min() if end else 0.0
-    start = int(np.flatnonzero(sums[:end + 1] == low)[-1])
+def stretch(same: np.ndarray, least_words: int, least_share: float) -> tuple[int, int] | None:
+    """Bounds of the stretch of at least ``least_words`` words with the most matches of those of which at least ``least_share``
+    agree, without substitutions at its ends where it is long enough; None if there is none."""
+    n = len(same)
+    if n < least_words:
+        return None
+    matches = np.concatenate(([0], np.cumsum(same)))
+    sums = matches - least_share * np.arange(n + 1)
+    # for each start the furthest end that has the share: the last one whose later sums reach the start's
+    later = np.maximum.accumulate(sums[::-1])
+    ends = n - np.searchsorted(later, sums - 1e-9, "left")
+    starts = np.arange(n + 1)
+    gain = np.where(ends - starts >= least_words, matches[ends] - matches, -1)
+    start = int(gain.argmax())
+    if gain[start] < 0:
+        return None
+    end = int(ends[start])
+    while end - start > least_words and not same[end - 1]:
+        end -= 1
+    while end - start > least_words and not same[start]:
+        start += 1
     return start, end
 
 
@@ -102,11 +115,12 @@ def overlaps(words: np.ndarray, index: Index, least_words: int, least_share: flo
                 text = index.items[item]
                 a, b = max(0, -shift), min(len(text), len(words) - shift)
                 same = text[a:b] == words[a + shift:b + shift]
-                s, e = stretch(same, least_share / (1 - least_share) / 2)
+                if (found := stretch(same, min(least_words, len(text)), least_share)) is None:
+                    continue
+                s, e = found
                 matched = int(same[s:e].sum())
-                if e - s >= min(least_words, len(text)) and matched >= least_share * (e - s):
-                    if item not in best or matched > best[item][2]:
-                        best[item] = (s + a + shift, e - s, matched)
+                if item not in best or matched > best[item][2]:
+                    best[item] = (s + a + shift, e - s, matched)
     return [{"item_id": index.item_ids[i], "start": s, "words": n, "matched": m} for i, (s, n, m) in sorted(best.items())]
 
 

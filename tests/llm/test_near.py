@@ -159,6 +159,19 @@ def test_passages_with_substitutions(spark):
     assert (best.start, best.words, best.matched) == (200, 40, 36)
 
 
+def test_any_stretch_with_the_share_counts():
+    item = [f"w{i}" for i in range(51)]
+    index = decontaminate.build([1], [" ".join(item)])
+    changed = ["x" if 13 <= i < 19 or 32 <= i < 38 else w for i, w in enumerate(item)]
+    assert decontaminate.overlaps(word_hashes(" ".join(changed))[0], index, 13, 0.8)
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        same = rng.random(rng.integers(1, 40)) < rng.choice([0.6, 0.8, 0.9])
+        every = [int(same[s:e].sum()) for s in range(len(same)) for e in range(s + 13, len(same) + 1) if 5 * same[s:e].sum() >= 4 * (e - s)]
+        found = decontaminate.stretch(same, 13, 0.8)
+        assert (found is None) == (not every) and (found is None or int(same[slice(*found)].sum()) == max(every))
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     docs, benchmark = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     show = lambda df: sorted((r.doc_id, r.contaminated, sorted(o.item_id for o in r.overlaps)) for r in df.collect())
