@@ -8,6 +8,7 @@ words agree, the one with the most matches is taken."""
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 from dataclasses import dataclass
 
@@ -17,8 +18,11 @@ from pyspark.sql import DataFrame, functions as F
 from skyframe.llm.common import cut, located, lookup, map_batches
 from skyframe.llm.words import BASE, mix, word_hashes
 
-#: The masks, 9 of 13 positions each.
-MASKS = ("1110110101011", "1101011011101", "1011101101011")
+#: The masks, 6 positions each. By enumeration one of them hits every placement of substitutions in at most a fifth
+#: of 13 to 25 words; a longer stretch with that share has a part of 13 to 25 words that has it too.
+MASKS = ("1111011", "110000010111", "1110001011", "1101111")
+#: Words from which on an item is entered by the masks; shorter ones have masks of their whole length.
+SHORT = 13
 #: Words of the benchmark that are shipped to the tasks at once; a larger benchmark takes one pass for each block.
 BLOCK_WORDS = 2_000_000
 OVERLAPS = "array<struct<item_id:long,start:long,words:long,matched:long>>"
@@ -47,16 +51,19 @@ def masked(words: np.ndarray, mask: np.ndarray) -> np.ndarray:
 
 
 def build(item_ids: list, texts: list[str]) -> Index:
-    """Items shorter than the masks are matched whole, by a mask of their own length without ignored positions."""
+    """Items of fewer than ``SHORT`` words are matched whole, by masks of their own length for all substitutions in at most
+    a fifth of the words."""
     items = [word_hashes(t)[0] for t in texts]
-    span = len(MASKS[0])
     masks = [np.flatnonzero(np.array(list(m)) == "1") for m in MASKS]
-    masks += [np.arange(n) for n in sorted({len(w) for w in items if 0 < len(w) < span})]
+    lengths = [None] * len(masks)
+    for n in sorted({len(w) for w in items if 0 < len(w) < SHORT}):
+        made = [np.array(kept) for kept in itertools.combinations(range(n), n - n // 5)]
+        masks, lengths = masks + made, lengths + [n] * len(made)
     index = Index(masks, [], [], [], items, item_ids)
     for k, mask in enumerate(masks):
         hashes, places = [], []
         for i, words in enumerate(items):
-            if len(words) >= span if k < len(MASKS) else len(words) == len(mask):
+            if len(words) >= SHORT if lengths[k] is None else len(words) == lengths[k]:
                 own = masked(words, mask)
                 hashes.append(own)
                 places.append(np.stack([np.full(len(own), i), np.arange(len(own))], 1))

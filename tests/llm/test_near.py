@@ -172,6 +172,38 @@ def test_any_stretch_with_the_share_counts():
         assert (found is None) == (not every) and (found is None or int(same[slice(*found)].sum()) == max(every))
 
 
+def test_every_accepted_pattern_is_hit():
+    masks = [sum(1 << i for i, c in enumerate(m) if c == "1") for m in decontaminate.MASKS]
+    for n in range(1, 20):
+        item = [f"w{i}" for i in range(n)]
+        index = None if n >= 13 else decontaminate.build([1], [" ".join(item)])
+        for bad in itertools.combinations(range(n), n // 5):
+            if index is None:
+                same = (1 << n) - 1 - sum(1 << i for i in bad)
+                assert any(same >> o & m == m for m in masks for o in range(n - m.bit_length() + 1)), bad
+            else:
+                words = word_hashes(" ".join("x" if i in bad else w for i, w in enumerate(item)))[0]
+                assert decontaminate.overlaps(words, index, 13, 0.8), bad
+
+
+@pytest.mark.parametrize("n, substituted", [(120, range(5, 120, 6)), (60, range(4, 60, 5)), (15, (3, 7, 11))])
+def test_periodic_substitutions(n, substituted):
+    index = decontaminate.build([1], [" ".join(f"w{i}" for i in range(n))])
+    words = word_hashes(" ".join("x" if i in substituted else f"w{i}" for i in range(n)))[0]
+    assert decontaminate.overlaps(words, index, 13, 0.8)
+
+
+def test_recall_of_random_substitutions():
+    rng, hit = random.Random(4), 0
+    for _ in range(300):
+        n = rng.randrange(13, 60)
+        bad = set(rng.sample(range(n), n // 5))
+        index = decontaminate.build([1], [" ".join(f"w{i}" for i in range(n))])
+        words = word_hashes(" ".join("x" if i in bad else f"w{i}" for i in range(n)))[0]
+        hit += any((len(words) - int(m[-1])) > 0 and np.isin(decontaminate.masked(words, m), h).any() for m, h in zip(index.masks, index.hashes, strict=True))
+    assert hit == 300  # recall 1 against all of these, which the share accepts
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     docs, benchmark = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     show = lambda df: sorted((r.doc_id, r.contaminated, sorted(o.item_id for o in r.overlaps)) for r in df.collect())
