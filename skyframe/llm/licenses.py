@@ -1,7 +1,7 @@
 """License notices by conditional compression.
 
 Candidate blocks are runs of sentences that share the vocabulary of the templates and hold a telling word. Each block is
-compressed with zstandard alone and with every template as a raw dictionary; the templates that save the most bytes are
+compressed with zstandard alone and with every template as a raw dictionary; all templates that save bytes are
 compared word by word, and the one that is covered best is confirmed with its exact differences in wording."""
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import difflib
 import functools
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -122,32 +123,41 @@ def differences(wording: list[str], found: list[str]) -> tuple[float, int, int,
     return sum(b.size for b in same) / len(wording), first, last, notes
 
 
-def recognised(text: str, start: int, end: int, ranked: int = 6, least: float = 0.8) -> list[dict]:
+def recognised(text: str, start: int, end: int, least: float = 0.8) -> list[dict]:
     """The licences that the block states, each with the part of the block it takes; a block may hold several."""
+    todo, out = [(start, end)], []
+    while todo:
+        a, b = todo.pop()
+        if hit := stated(text, a, b, least):
+            out.append(hit)
+            todo += [(a, hit["start"]), (hit["end"], b)]
+    return sorted(out, key=lambda x: x["start"])
+
+
+def stated(text: str, start: int, end: int, least: float) -> dict | None:
+    """The licence whose wording is covered best there; all templates that save bytes are compared."""
     rows, plain, _ = prepared()
     places = [(m.start(), m.end()) for m in WORD.finditer(text, start, end)]
     found = [text[a:b].lower() for a, b in places]
     if not found:
-        return []
+        return None
     raw = " ".join(found).encode()
     alone = len(plain.compress(raw))
-    saved = sorted(((alone - len(r[3].compress(raw)), -k) for k, r in enumerate(rows)), reverse=True)[:ranked]
-    best = None
+    saved = sorted(((alone - len(r[3].compress(raw)), -k) for k, r in enumerate(rows)), reverse=True)
+    best, held = None, Counter(found)
     for gain, k in saved:
         name, _, wording, _ = rows[-k]
-        if gain <= 0:
+        # no more of the wording can be found in order than in any order
+        if gain <= 0 or sum((Counter(wording) & held).values()) < least * len(wording):
             continue
         share, first, last, notes = differences(wording, found)
         extra = (last - first) / len(wording)
         if share >= least and extra <= 1.5 and (best is None or (share - 0.05 * len(notes), len(wording)) > best[0]):
             best = ((share - 0.05 * len(notes), len(wording)), name, first, last, gain, share, notes)
     if best is None:
-        return []
+        return None
     _, name, first, last, gain, share, notes = best
-    here = [{"license": name, "start": places[first][0], "end": places[last - 1][1], "saved": gain, "coverage": round(share, 6), "differences": notes}]
-    before = recognised(text, start, places[first][0], ranked, least) if first else []
-    after = recognised(text, places[last - 1][1], end, ranked, least) if last < len(places) else []
-    return before + here + after
+    return {"license": name, "start": places[first][0], "end": places[last - 1][1], "saved": gain, "coverage": round(share, 6), "differences": notes}
 
 
 def scan(text: str) -> list[dict]:

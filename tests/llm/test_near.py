@@ -252,6 +252,13 @@ def test_notices():
     assert [x["license"] for x in licenses.scan("This work is licensed under the GNU General Public License, version 2.")] == ["GPL-2.0"]
 
 
+def test_short_notices_among_pieces_of_long_templates():
+    pieces = {n: " ".join(" ".join(t.split()[i:i + 9]) for i in (2, 14, 26)) + "." for n, w in licenses.TEMPLATES.items() for t in w if len(t.split()) > 40}
+    for line, name in (("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Released under the ISC License.", "ISC"),
+                       ("Licensed under the Mozilla Public License, version 2.0.", "MPL-2.0")):
+        assert name in [x["license"] for x in licenses.scan(f"{line} {' '.join(pieces.values())}")], line
+
+
 def test_every_template_is_recognised():
     for name, wordings in licenses.TEMPLATES.items():
         for wording in wordings:
