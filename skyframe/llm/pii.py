@@ -1,6 +1,6 @@
 """Personal data: regular expressions propose spans, validators confirm them, nearby words adjust the score.
 
-Proposals are leftmost and non-overlapping for each kind and are not retried when a validator rejects them. The
+Proposals are leftmost and non-overlapping for each kind and are not retried when a validator rejects them, but for IBANs. The
 searches run in time linear in the text: an address is looked for only around an ``@``, runs of digits are entered
 only at their start."""
 
@@ -23,7 +23,13 @@ AFTER_AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9]){15,}+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+#: Characters of an IBAN by country (ISO 13616 registry).
+IBAN_LENGTH = {country: n for n, names in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}.items() for country in names.split()}
 SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 #: Words that make a kind likelier or less likely when they stand within ``NEAR`` code points of a span.
 NEAR = 48
@@ -72,6 +78,27 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, end))
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """A proposal may run on into capital words and numbers, so its parts that end before a blank or another sign are tried:
+    the one of the country's length first, then the longest; in a country of the registry only that one and the whole run.
+    A rejected proposal is searched again after its start."""
+    m = IBAN.search(text)
+    while m:
+        start, last = m.start(), m.end()
+        ends = [e for e in range(last, start + 14, -1) if text[e - 1] != " " and not ALNUM.match(text, e)]
+        length = IBAN_LENGTH.get(text[start:start + 2])
+        parts = [(e, text[start:e].replace(" ", "")) for e in ends]
+        if length:
+            parts = [x for x in parts if len(x[1]) == length] + parts[:1]
+        end = next((e for e, bare in parts if 15 <= len(bare) <= 34 and mod97(bare)), None)
+        if end:
+            yield start, end
+        m = IBAN.search(text, end or start + 1)
+
+
+ALNUM = re.compile("[A-Za-z0-9]")
+
+
 def proposals(text: str) -> Iterator[tuple[str, int, int]]:
     """Confirmed spans by kind in the order of ``KINDS``, then by start."""
     for start, end in emails(text):
@@ -87,9 +114,8 @@ def proposals(text: str) -> Iterator[tuple[str, int, int]]:
         for m in PHONE.finditer(text):
             if 8 <= sum(c.isdigit() for c in m.group()) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in IBAN.finditer(text):
-        if 15 <= len(bare := m.group().replace(" ", "")) <= 34 and mod97(bare):
-            yield "iban", m.start(), m.end()
+    for start, end in ibans(text):
+        yield "iban", start, end
     for m in SSN.finditer(text):
         area, group, serial = m.groups()
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":

@@ -59,6 +59,14 @@ def test_long_texts_take_linear_time():
     assert secrets.base_spans(text) == [] or True
 
 
+@pytest.mark.parametrize("before, iban, after", [
+    ("IBAN ", "DE89 3704 0044 0532 0130 00", " BIC COBADEFF"), ("", "DE89370400440532013000", " EUR 500"), ("", "DE89370400440532013000", ", EUR 500"),
+    ("", "GB82 WEST 1234 5698 7654 32", " 12 34 AND MORE"), ("REF AB12 ", "NO93 8601 1117 947", " NOK 100"), ("", "DE89370400440532013000", "")])
+def test_ibans_before_capital_words_and_numbers(before, iban, after):
+    text = before + iban + after
+    assert [text[s:e] for kind, s, e in pii.proposals(text) if kind == "iban"] == [iban]
+
+
 def test_validators_and_context():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
     assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB82WEST12345698765433")
