@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from skyframe.llm import decontaminate, exact, language, licenses, lines, neardup, packing, pii, secrets, toxicity
+from skyframe.llm import decontaminate, exact, language, licenses, lines, neardup, packing, pii, ranked, secrets, toxicity
 from skyframe.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,23 @@ def op9(table):
 @query("op10_near_dedup")
 def op10(table):
     return neardup.classes(table("documents")).select("doc_id", "class_id", "class_size", "class_texts", "kept")
+
+
+@query("op11_ranked_search", """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents),
+     f AS (SELECT r, doc_id, term, count(*) AS tf FROM d GROUP BY r, doc_id, term),
+     s AS (SELECT r, sum(tf)::BIGINT AS n FROM f GROUP BY r),
+     a AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM s),
+     w AS (SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, a GROUP BY term),
+     i AS (SELECT DISTINCT item_id, q, term FROM (SELECT item_id, row_number() OVER () AS q, unnest(regexp_extract_all(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark)),
+     x AS (SELECT q, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * big_n) // big_l))))::BIGINT AS score
+           FROM i JOIN w USING (term) JOIN f USING (term) JOIN s USING (r), a GROUP BY q, item_id, r, doc_id)
+SELECT item_id, rank, doc_id, score FROM (
+    SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INTEGER AS rank FROM x WHERE score > 0)
+WHERE rank <= 10""")
+def op11(table):
+    return ranked.rank(table("documents"), table("benchmark"))
