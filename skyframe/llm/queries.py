@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from skyframe.llm import decontaminate, exact, language, licenses, lines, neardup, packing, pii, ranked, secrets, toxicity
+from skyframe.llm import decontaminate, exact, fingerprints, language, licenses, lines, neardup, packing, pii, ranked, secrets, toxicity
 from skyframe.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,9 @@ SELECT item_id, rank, doc_id, score FROM (
 WHERE rank <= 10""")
 def op11(table):
     return ranked.rank(table("documents"), table("benchmark"))
+
+
+@query("op12_fingerprints")
+def op12(table):
+    return fingerprints.edited(table("documents")).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
