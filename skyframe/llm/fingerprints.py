@@ -18,22 +18,23 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skyframe.llm.common import located
 
-K, BINS, EACH, POOL = 8, 64, 2, 768
-#: Bits of a value: bin, order within the bin, position. Positions from 2^23 on wrap, which keeps equal texts equal.
-BIN_BITS, ORDER_BITS, PLACE_BITS = 6, 35, 23
+K, BINS, EACH, POOL = 8, 64, 2, 448
+#: Bits of a value: bin, order within the bin, position. A place beyond 2^25 bytes, 8,388,608
+#: code points, runs over into the hash, which keeps equal texts equal.
+BIN_BITS, ORDER_BITS, PLACE_BITS = 6, 33, 25
 PLACE, ORDER = (1 << PLACE_BITS) - 1, (1 << ORDER_BITS) - 1
 
 #: Each step reads columns of the steps before and is a projection of its own, so that nothing is worked out twice.
 STEPS = (
     ("points", "encode(coalesce({text}, ''), 'UTF-32')"),
-    # the outer lambda holds the bytes once; a column would be copied out of its row for every run
-    ("runs", f"sort_array(flatten(transform(array(points), p -> transform(sequence(0, greatest(shiftright(octet_length(p), 2) - {K}, 0)), "
-             f"i -> (xxhash64(substring(p, 4 * i + 1, {4 * K})) & {~PLACE}) | (i & {PLACE})))))"),
-    ("again", f"filter(runs, (v, i) -> i > 0 AND (v ^ get(runs, i - 1)) BETWEEN 0 AND {PLACE})"),
-    ("heads", f"filter(transform(again, (v, i) -> IF(i = 0 OR (v ^ get(again, i - 1)) NOT BETWEEN 0 AND {PLACE}, i, -1)), i -> i >= 0)"),
+    # the outer lambda holds the bytes once; a column would be copied out of its row for every run. A place is the offset in bytes
+    ("runs", f"sort_array(flatten(transform(array(points), p -> transform(sequence(1, greatest(octet_length(p) - {4 * K}, 0) + 1, 4), "
+             f"i -> (xxhash64(substring(p, i, {4 * K})) & {~PLACE}) + i))))"),
+    ("again", f"filter(runs, (v, i) -> shiftright(v, {PLACE_BITS}) = shiftright(get(runs, i - 1), {PLACE_BITS}))"),
+    ("heads", f"filter(transform(again, (v, i) -> IF(shiftright(v, {PLACE_BITS}) = shiftright(get(again, i - 1), {PLACE_BITS}), -1, i)), i -> i >= 0)"),
     ("numbered", "flatten(transform(heads, (b, r) -> transform(slice(again, b + 1, coalesce(get(heads, r + 1), size(again)) - b), "
                  f"(v, o) -> (xxhash64(v & {~PLACE}, o + 1) & {~PLACE}) | (v & {PLACE}))))"),
-    ("pool", f"slice(sort_array(concat(array_except(runs, again), numbered)), 1, {POOL})"),
+    ("pool", f"slice(sort_array(concat(array_except(slice(runs, 1, {POOL} + size(again)), again), numbered)), 1, {POOL})"),
     ("binned", f"sort_array(transform(pool, v -> shiftleft((shiftright(v, {PLACE_BITS}) & {BINS - 1}) - {BINS // 2}, {64 - BIN_BITS}) "
                f"| shiftleft(shiftright(v, {PLACE_BITS + BIN_BITS}) + {1 << ORDER_BITS - 1}, {PLACE_BITS}) | (v & {PLACE})))"),
     ("starts", f"filter(transform(binned, (q, i) -> IF(i = 0 OR shiftright(q, {64 - BIN_BITS}) != shiftright(get(binned, i - 1), {64 - BIN_BITS}), "

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from skyframe.llm import decontaminate, exact, fingerprints, language, licenses, lines, neardup, packing, pii, ranked, secrets, toxicity
+from skyframe.llm import decontaminate, exact, fingerprints, language, licenses, lines, neardup, packing, phrases, pii, ranked, secrets, toxicity
 from skyframe.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,25 @@ def op11(table):
 def op12(table):
     return fingerprints.edited(table("documents")).select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query("op13_collocations", """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+     w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+     t AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM w GROUP BY lang),
+     g AS (SELECT lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS phrase
+           FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(ws) >= k)),
+     f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY lang, k, phrase HAVING count(*) >= 100),
+     c AS (SELECT * FROM f WHERE k > 1),
+     d AS (SELECT s.lang, s.phrase FROM c s JOIN c b ON s.lang = b.lang AND b.k > s.k AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' ')
+           AND 100 * b.a >= 100 * s.a GROUP BY s.lang, s.phrase),
+     x AS (SELECT lang, phrase, k, a, j, array_to_string(list_slice(ws, 1, j), ' ') AS head, array_to_string(list_slice(ws, j + 1, k), ' ') AS tail
+           FROM (SELECT c.*, string_split(phrase, ' ') AS ws, unnest(range(1, k)) AS j FROM c ANTI JOIN d USING (lang, phrase))),
+     y AS (SELECT x.lang, x.phrase, x.a, x.j, l.a AS l, r.a AS r, t.n, (1000::HUGEINT * x.a * t.n) // (l.a::HUGEINT * r.a) AS score
+           FROM x JOIN f l ON l.lang = x.lang AND l.phrase = x.head JOIN f r ON r.lang = x.lang AND r.phrase = x.tail JOIN t ON t.lang = x.lang),
+     z AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS o FROM y)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z WHERE o = 1) WHERE rank <= 2000""")
+def op13(table):
+    return phrases.collocations(table("documents"))

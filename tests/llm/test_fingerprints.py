@@ -30,7 +30,7 @@ def plain(text):
         if number:
             first = xxhash.xxh64_intdigest(run.to_bytes(8, "little"), seed=42)
             run = xxhash.xxh64_intdigest(number.to_bytes(4, "little"), seed=first) >> fp.PLACE_BITS << fp.PLACE_BITS
-        pairs.append((signed(run), i))
+        pairs.append((signed(run), 4 * i + 1))
     bins = defaultdict(list)
     for run, i in sorted(pairs)[:fp.POOL]:
         bins[(run >> fp.PLACE_BITS) & (fp.BINS - 1)].append(((run >> fp.PLACE_BITS + fp.BIN_BITS) + (1 << fp.ORDER_BITS - 1), i))
