@@ -34,6 +34,8 @@ SHIPPED_KEYS, BITMAP = 2_000_000, 1 << 22
 #: Candidates in one trie, some 200 bytes each; more take one pass over the texts for each so many.
 SHARD = 200_000
 WORD, BREAK = 0, 2
+#: Places of a trie looked at in one go for a state's children.
+WINDOW = 256
 KINDS = np.array([BREAK if c in ENDS else 1 if c in BLANKS else WORD for c in range(256)], np.uint8)
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 SPLIT = bytes(32 if KINDS[c] else LOWER[c] for c in range(256))
@@ -254,39 +256,37 @@ def count_runs(texts: DataFrame, lengths: tuple[int, ...], seed: int, common, pa
     return map_counts(texts, start, "length long, key long, n long").groupBy("length", "key").agg(F.sum("n").alias("n"))
 
 
-def spell_runs(texts: DataFrame, length: int, seed: int, common, pairs, wanted) -> DataFrame:
-    """(lang_key, words) of the runs of ``length`` words whose key is in ``wanted`` (broadcast ``Keys``), each about once a task."""
+def spell_runs(texts: DataFrame, seed: int, common, pairs, wanted) -> DataFrame:
+    """(lang_key, words) of the runs whose key is in ``wanted`` (broadcast ``Keys`` for each length), each about once a task."""
     def start():
         hasher, told, fresh = Hasher(seed), set(), []
 
         def take(batch):
             words, lang = batch_words(batch, hasher, seed)
-            if len(words.hashes) < length:
-                return
             frequent = common.value.has(mix(words.hashes ^ lang))
             alive = words.joined[:-1] & frequent[:-1] & frequent[1:]
-            if pairs is not None and length > 2:
+            if pairs is not None:
                 at, keys = runs(words.hashes, alive, lang, 2)
                 alive[at] = pairs.value.has(keys)
-            at, keys = runs(words.hashes, alive, lang, length)
-            hit = wanted.value.has(keys)
-            at, keys = at[hit], keys[hit]
-            columns = [lang[at], *(words.hashes[at + k] for k in range(length))]
-            # rows that differ in any word are kept apart, so runs that share a hash are all spelled
-            found = np.unique(np.stack([keys, *columns], 1), axis=0)
-            for row in found:
-                name = row.tobytes()
-                if name not in told:
-                    told.add(name)
-                    fresh.append(row[1:])
+            for length, own in wanted.value.items():
+                if len(words.hashes) < length:
+                    continue
+                at, keys = runs(words.hashes, alive, lang, length)
+                hit = np.flatnonzero(own.has(keys))
+                at = at[hit][np.unique(keys[hit], return_index=True)[1]] if own.bits is None else at[hit]
+                rows = np.stack([lang[at], *(words.hashes[at + k] for k in range(length))], 1)
+                for row in rows:
+                    name = row.tobytes()
+                    if name not in told:
+                        told.add(name)
+                        fresh.append(row.view(np.int64))
 
         def give(last):
             if fresh:
-                rows = np.stack(fresh).view(np.int64)
+                yield {"lang_key": [int(r[0]) for r in fresh], "words": [r[1:] for r in fresh]}
                 fresh.clear()
-                if len(told) > HELD:
-                    told.clear()
-                yield {"lang_key": rows[:, 0], "words": list(rows[:, 1:])}
+            if len(told) > HELD:
+                told.clear()
         return take, give
 
     return map_counts(texts, start, "lang_key long, words array<long>")
@@ -314,44 +314,41 @@ class Trie:
         base, check, accepts = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.full(size, -1, np.int64)
         state = np.zeros(len(paths), np.int64)
         check[0] = 0
-        lowest_free = 1
+        cursor = 1
+
+        def grow(more: int) -> None:
+            nonlocal base, check, accepts
+            base, check, accepts = (np.concatenate([a, np.full(more, v, np.int64)]) for a, v in ((base, 0), (check, -1), (accepts, -1)))
+
         for level in range(longest):
             alive = np.flatnonzero(codes[:, level] >= 0)
             edges, which = np.unique(np.stack([state[alive], codes[alive, level]], 1), axis=0, return_inverse=True)
             parents, first, fan = np.unique(edges[:, 0], return_index=True, return_counts=True) if len(edges) else ([], [], [])
             child = np.empty(len(edges), np.int64)
-            for k in np.argsort(-np.asarray(fan), kind="stable") if len(edges) else ():
-                if fan[k] == 1:
-                    break
+            several = [k for k in np.argsort(-np.asarray(fan), kind="stable").tolist() if fan[k] > 1] if len(edges) else []
+            for k in several:
                 own = edges[first[k]:first[k] + fan[k], 1]
-                at = lowest_free
                 while True:
                     # the smallest symbol goes to a free place; all others must be free too
-                    places = own - own[0] + at
-                    if places[-1] >= len(check):
-                        more = int(places[-1]) + len(check)
-                        base, check, accepts = (np.concatenate([a, np.full(more, v, np.int64)]) for a, v in ((base, 0), (check, -1), (accepts, -1)))
-                    if (check[places] < 0).all():
+                    if cursor + WINDOW + len(symbols) > len(check):
+                        grow(len(check) + WINDOW + len(symbols))
+                    free = cursor + np.flatnonzero(check[cursor:cursor + WINDOW] < 0)
+                    fits = (check[free[:, None] + (own - own[0])[None, :]] < 0).all(axis=1)
+                    if fits.any():
+                        places = free[np.argmax(fits)] + own - own[0]
                         break
-                    at += 1 + int(np.argmax(check[at + 1:] < 0))
-                base[parents[k]] = at - own[0]
+                    cursor += WINDOW
+                base[parents[k]] = places[0] - own[0]
                 check[places] = parents[k]
                 child[first[k]:first[k] + fan[k]] = places
-                while check[lowest_free] >= 0:
-                    lowest_free += 1
             single = np.flatnonzero(np.asarray(fan) == 1)
             if len(single):
-                free = np.flatnonzero(check < 0)
-                if len(free) < len(single):
-                    more = len(single)
-                    base, check, accepts = (np.concatenate([a, np.full(more, v, np.int64)]) for a, v in ((base, 0), (check, -1), (accepts, -1)))
-                    free = np.flatnonzero(check < 0)
-                at = free[:len(single)]
+                if np.count_nonzero(check < 0) < len(single):
+                    grow(len(single))
+                at = np.flatnonzero(check < 0)[:len(single)]
                 base[parents[single]] = at - edges[first[single], 1]
                 check[at] = parents[single]
                 child[first[single]] = at
-                while lowest_free < len(check) and check[lowest_free] >= 0:
-                    lowest_free += 1
             state[alive] = child[which.ravel()]
         accepts[state] = np.arange(len(paths))
         return cls(symbols, base, check, accepts)
@@ -426,13 +423,11 @@ def candidates(texts: DataFrame, frequent: DataFrame, at_least: int, seed: int)
     common, pairs, found = ship(Keys.of(frequent)), None, []
     for lengths in ((2,), tuple(range(3, LONGEST + 1))):
         counted = cut(count_runs(texts, lengths, seed, common, pairs).where(F.col("n") >= at_least), "runs")
-        for length in lengths:
-            own = counted.where(F.col("length") == length)
-            if own.isEmpty():
-                return found
-            wanted = ship(Keys.of(own))
-            pairs = pairs or wanted
-            found.append(cut(spell_runs(texts, length, seed, common, pairs, wanted).distinct(), "spelled"))
+        if counted.isEmpty():
+            break
+        wanted = {n: Keys.of(counted.where(F.col("length") == n)) for n in lengths}
+        found.append(cut(spell_runs(texts, seed, common, pairs, ship(wanted)).distinct(), "spelled"))
+        pairs = pairs or ship(wanted[2])
     return found
 
 
@@ -446,7 +441,9 @@ def frequent_phrases(docs: DataFrame, at_least: int) -> tuple[DataFrame, DataFra
         if frequent.select("lang_key", "word_key").distinct().count() == frequent.count():
             break
     phrases = frequent.select("lang_key", F.array("word_key").alias("words"), "n")
-    for spelled in candidates(texts, frequent, at_least, seed):
+    found = candidates(texts, frequent, at_least, seed)
+    if found:
+        spelled = found[0].unionByName(found[1]) if len(found) > 1 else found[0]
         shards = -(-spelled.count() // SHARD)
         for k in range(shards):
             # at most about SHARD rows

