@@ -33,6 +33,8 @@ HELD = 400_000
 SHIPPED_KEYS, BITMAP = 2_000_000, 1 << 22
 #: Candidates in one trie, some 200 bytes each; more take one pass over the texts for each so many.
 SHARD = 200_000
+#: Phrases whose counts go together, and parts in which the tasks' counts are added up first.
+CHUNK, PARTS = 1024, 64
 WORD, BREAK = 0, 2
 #: Places of a trie looked at in one go for a state's children.
 WINDOW = 256
@@ -382,27 +384,52 @@ class Trie:
         return out
 
 
+def summed(table: pa.Table) -> np.ndarray:
+    """The sum of the arrays of counts in a group; they have one length."""
+    counts = table.column("counts").combine_chunks()
+    return counts.flatten().to_numpy().reshape(len(counts), -1).sum(axis=0)
+
+
 def count_phrases(texts: DataFrame, shard: list, seed: int) -> DataFrame:
-    """(lang_key, words, n) of a shard's phrases (lang_key, words)."""
+    """(lang_key, words, n) of a shard's phrases (lang_key, words) that occur.
+
+    A task tells its counts as arrays, one for each run of ``CHUNK`` phrases; they are added up in two steps, so that a group is some
+    hundredths of the tasks' arrays at most."""
     paths = [np.array([r["lang_key"], *r["words"]], np.int64).view(np.uint64) for r in shard]
     shipped = texts.sparkSession.sparkContext.broadcast((Trie.of(paths), paths))
 
     def start():
+        from pyspark import TaskContext
+
         trie, paths = shipped.value
         hasher, total = Hasher(seed), np.zeros(len(trie.check), np.int64)
+        part = TaskContext.get().partitionId() % PARTS
 
         def take(batch):
             nonlocal total
             total += trie.count(*batch_words(batch, hasher, seed))
 
         def give(last):
-            if last:
-                states = np.flatnonzero((trie.accepts >= 0) & (total > 0))
-                found = [paths[i].view(np.int64) for i in trie.accepts[states]]
-                yield {"lang_key": [int(p[0]) for p in found], "words": [p[1:] for p in found], "n": total[states]}
+            if last and total.any():
+                states = np.flatnonzero(trie.accepts >= 0)
+                counts = np.zeros(len(paths), np.int64)
+                counts[trie.accepts[states]] = total[states]
+                chunks = [counts[i:i + CHUNK] for i in range(0, len(counts), CHUNK)]
+                yield {"chunk": list(range(len(chunks))), "part": [part] * len(chunks), "counts": chunks}
         return take, give
 
-    return map_counts(texts, start, "lang_key long, words array<long>, n long").groupBy("lang_key", "words").agg(F.sum("n").alias("n"))
+    def add(table: pa.Table) -> pa.Table:
+        return pa.table({"chunk": table.column("chunk")[:1], "counts": pa.array([summed(table)], pa.list_(pa.int64()))})
+
+    def name(table: pa.Table) -> pa.Table:
+        counts, first = summed(table), table.column("chunk")[0].as_py() * CHUNK
+        found = np.flatnonzero(counts)
+        own = [shipped.value[1][first + i].view(np.int64) for i in found]
+        return pa.table({"lang_key": pa.array([int(p[0]) for p in own], pa.int64()), "words": pa.array([p[1:] for p in own], pa.list_(pa.int64())), "n": counts[found]})
+
+    told = map_counts(texts, start, "chunk long, part long, counts array<long>")
+    parts = told.groupBy("chunk", "part").applyInArrow(add, "chunk long, counts array<long>")
+    return parts.groupBy("chunk").applyInArrow(name, "lang_key long, words array<long>, n long")
 
 
 def keyed_words(words: DataFrame, seed: int) -> DataFrame:
