@@ -38,6 +38,14 @@ def located(docs: DataFrame) -> DataFrame:
         return located(cut(docs.select("doc_id", "text"), "documents"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes to differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a stored table is small enough to be broadcast; the count comes from the files' footers."""
     return df.count() <= rows

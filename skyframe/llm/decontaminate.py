@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from skyframe.llm.common import cut, located, lookup, map_batches
+from skyframe.llm.common import cut, fresh, located, lookup, map_batches
 from skyframe.llm.words import BASE, mix, word_hashes
 
 #: The masks, 6 positions each. By enumeration one of them hits every placement of substitutions in at most a fifth
@@ -176,6 +176,7 @@ def find(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, least_sha
 
 def clean(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, least_share: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that overlap with no item, with all their columns. ``docs`` must be a file scan."""
-    hit = find(docs, benchmark, least_words, least_share).where("contaminated").select(F.col("file").alias("_file"), F.col("row").alias("_row"))
+    file, row = fresh(docs, "file"), fresh(docs, "row")
+    hit = find(docs, benchmark, least_words, least_share).where("contaminated").select(F.col("file").alias(file), F.col("row").alias(row))
     meta = docs.metadataColumn("_metadata")
-    return docs.join(lookup(cut(hit, "contaminated")), (meta["file_path"] == F.col("_file")) & (meta["row_index"] == F.col("_row")), "left_anti")
+    return docs.join(lookup(cut(hit, "contaminated")), (meta["file_path"] == F.col(file)) & (meta["row_index"] == F.col(row)), "left_anti")

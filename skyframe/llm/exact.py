@@ -11,9 +11,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from skyframe.llm.common import cut, folder, located, lookup
+from skyframe.llm.common import cut, folder, fresh, located, lookup
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Settings of the stream: the state on disk, in files that take the room they need (else some MB are reserved for each store).
+STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def sha256(text: Column) -> Column:
@@ -30,9 +32,9 @@ class DigestStore:
     def absorb(self, digests: str, schema) -> None:
         """Feed the (doc_id, digest, file, row) files of a folder into the state."""
         spark, entry = self.spark, F.struct("doc_id", "file", "row")
-        setting = "spark.sql.streaming.stateStore.providerClass"
-        before = spark.conf.get(setting, None)
-        spark.conf.set(setting, PROVIDER)
+        before = {setting: spark.conf.get(setting, None) for setting in STATE}
+        for setting, value in STATE.items():
+            spark.conf.set(setting, value)
         try:
             stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", self.files_per_batch).parquet(digests)
                       .groupBy("digest").agg(F.max(entry).alias("best"), F.count(F.lit(1)).alias("n")))
@@ -43,7 +45,8 @@ class DigestStore:
             (stream.writeStream.outputMode("update").option("checkpointLocation", f"{self.path}/state")
              .trigger(availableNow=True).foreachBatch(told).start().awaitTermination())
         finally:
-            spark.conf.set(setting, before) if before else spark.conf.unset(setting)
+            for setting, value in before.items():
+                spark.conf.set(setting, value) if value else spark.conf.unset(setting)
 
     def entries(self) -> DataFrame:
         """(digest, best, n): the newest word of the state on each digest. Counts only grow, so the largest is it."""
@@ -103,5 +106,6 @@ def by_text(rows: DataFrame, digest: Callable[[Column], Column], clashes: DataFr
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. ``docs`` must be a file scan (see ``located``)."""
     meta = docs.metadataColumn("_metadata")
-    dropped = cut(groups(docs).where(~F.col("kept")).select(F.col("file").alias("_file"), F.col("row").alias("_row")), "dropped")
-    return docs.join(lookup(dropped), (meta["file_path"] == F.col("_file")) & (meta["row_index"] == F.col("_row")), "left_anti")
+    file, row = fresh(docs, "file"), fresh(docs, "row")
+    dropped = cut(groups(docs).where(~F.col("kept")).select(F.col("file").alias(file), F.col("row").alias(row)), "dropped")
+    return docs.join(lookup(dropped), (meta["file_path"] == F.col(file)) & (meta["row_index"] == F.col(row)), "left_anti")

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skyframe.llm.common import content_key, cut, located, lookup, map_batches, small_batches
+from skyframe.llm.common import content_key, cut, fresh, located, lookup, map_batches, small_batches
 from skyframe.llm.graph import components
 from skyframe.llm.words import mix, shingles, word_hashes
 
@@ -361,5 +361,6 @@ def classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, rate: float
 def deduplicate(docs: DataFrame, **more) -> DataFrame:
     """One row of each class, with all its columns. ``docs`` must be a file scan (see ``located``)."""
     meta = docs.metadataColumn("_metadata")
-    dropped = cut(classes(docs, **more).where(~F.col("kept")).select(F.col("file").alias("_file"), F.col("row").alias("_row")), "dropped")
-    return docs.join(lookup(dropped), (meta["file_path"] == F.col("_file")) & (meta["row_index"] == F.col("_row")), "left_anti")
+    file, row = fresh(docs, "file"), fresh(docs, "row")
+    dropped = cut(classes(docs, **more).where(~F.col("kept")).select(F.col("file").alias(file), F.col("row").alias(row)), "dropped")
+    return docs.join(lookup(dropped), (meta["file_path"] == F.col(file)) & (meta["row_index"] == F.col(row)), "left_anti")

@@ -21,7 +21,7 @@ def stored(spark, folder, rows=ROWS, files=3, extra=True):
     """The rows as a file scan, with more columns whose names operators use themselves."""
     df = spark.createDataFrame(rows, SCHEMA)
     if extra:
-        for name in ("file", "row", "digest", "n", "line", "pos", "key", "score", "ids", "length", "band", "spans", "kind", "item_id"):
+        for name in ("file", "row", "digest", "n", "line", "pos", "key", "score", "ids", "length", "band", "spans", "kind", "item_id", "_file", "_row", "__file"):
             df = df.selectExpr("*", f"'clash' AS {name}")
     df.repartition(files).write.parquet(folder)
     return spark.read.parquet(folder)
