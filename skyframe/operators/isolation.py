@@ -12,9 +12,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from skyframe.operators import anomaly
+from skyframe.operators import anomaly, decompose
 from skyframe.operators.grouped import spread
 from skyframe.operators.joins import with_residuals
+from skyframe.sources.lake import Lake
 
 SEQUENCE = 30
 SEQUENCE_FEATURES = ["tmax_zscore_30d", "tmin_zscore_30d", "prcp_zscore_30d"]
@@ -136,3 +137,19 @@ def detect(features: DataFrame, residuals: DataFrame | None = None, min_rows: in
     narrow = complete.select(*columns, *[F.col(c) for c in anomaly.FEATURES])
     scored = anomaly.ensemble_score(model_scores(narrow, min_rows=min_rows, trees=trees, sequence=sequence))
     return anomaly.event_rows(scored, F.col("scored_by"))
+
+
+def detect_stored(lake: Lake, features: DataFrame, residuals: bool = True, buckets: int | None = None, min_rows: int = 365,
+                  trees: int = 200, sequence: bool = True, **stl) -> DataFrame:
+    """``detect`` with the residuals of a seasonal-trend decomposition (its parameters by ``stl``).
+
+    Features and components are stored once, dealt and sorted by station, so that the decomposition, the join of the two
+    and the models by station all read what they need from the buckets; only the features are shuffled, once."""
+    buckets = buckets or max(int(lake.spark.conf.get("spark.sql.shuffle.partitions")), lake.spark.sparkContext.defaultParallelism)
+    columns = ["station_id", "obs_date", "latitude", "longitude", "geohash_prefix", *[c for c in anomaly.FEATURES if c in features.columns]]
+    values = [c for c in ("tmax", "tmin", "prcp") if c not in columns]
+    stored = lake.bucketed(features.select(*columns, *values), "features", "scored", ["station_id"], ["obs_date"], buckets)
+    parts = None
+    if residuals:
+        parts = lake.bucketed(decompose.stl(stored, **stl), "features", "components", ["station_id"], ["obs_date"], buckets)
+    return detect(stored, parts, min_rows, trees, sequence)

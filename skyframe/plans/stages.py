@@ -49,10 +49,7 @@ def analyse(lake: Lake, tables: dict[str, DataFrame], rolled: DataFrame, min_yea
         out[name] = lake.write(df, "output", name, by)
         return out[name]
 
-    parts = None
-    if residuals:
-        parts = lake.write(decompose.stl(rolled), "features", "components")
-    found = keep("anomalies", isolation.detect(rolled, parts), ["year"])
+    found = keep("anomalies", isolation.detect_stored(lake, rolled, residuals=residuals), ["year"])
     keep("tiles", anomaly.tiles(found), ["year"])
     placed = joins.with_stations(found, tables["stations"].select("station_id", "country"))
     keep("monthly_summary", anomaly.monthly_with_region(placed, tables.get("month_grid")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skyframe.operators import grouped
@@ -32,6 +34,24 @@ class Lake:
             df.write.mode(mode).parquet(path)
         return self.spark.read.parquet(path)
 
+    def _name(self, zone: str, table: str) -> str:
+        return f"{zone}_{table}_{zlib.crc32(self.root.encode()):08x}"
+
+    def bucketed(self, df: DataFrame, zone: str, table: str, by: list[str], sort: list[str], buckets: int) -> DataFrame:
+        """Replace a table dealt into ``buckets`` by hash and sorted within them. Tables dealt alike meet and are grouped by station
+        without a shuffle: a station's rows are in one bucket, at most one a day. The session may then join by more
+        columns than the buckets' own. The table is known to the catalog by a name of its own for each root until
+        ``forget``."""
+        self.spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        name = self._name(zone, table)
+        (df.repartition(buckets, *by).write.mode("overwrite").bucketBy(buckets, *by).sortBy(*by, *sort)
+         .option("path", self.path(zone, table)).saveAsTable(name))
+        return self.spark.table(name)
+
+    def forget(self, zone: str, table: str) -> None:
+        """Take a bucketed table out of the catalog; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._name(zone, table)}")
+
     def register(self, zone: str, table: str, name: str) -> None:
         """Catalog table over a stored path; running it again changes nothing."""
         self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING parquet LOCATION '{self.path(zone, table)}'")

@@ -340,7 +340,8 @@ def test_zero_is_a_value(spark):
     df = spark.createDataFrame([("S", d, 0.0 if i == 49 else -10.0 - i % 2, None, None) for i, d in enumerate(days(50))],
                                "station_id string, obs_date date, tmax double, tmin double, prcp double")
     alert = anomaly.recent_alerts(rolling.latest_scores(df, ["tmax", "tmin", "prcp"])).first()
-    assert alert.anomaly_type == "heatwave" and "z=" in alert.description
+    assert alert.anomaly_type == "heatwave" and alert.temp_deviation == pytest.approx(6.566830627505158)
+    assert alert.description == "Live heatwave: 6.6 standard deviations from the station's recent days"
 
 
 def test_subscriptions(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from skyframe import schemas
 from skyframe.functions import geo, scores
-from skyframe.operators import (anomaly, daily, decompose, extremes, forecast, indices, islands, joins,
+from skyframe.operators import (anomaly, daily, decompose, extremes, forecast, indices, islands, joins, lookback,
                                 project, rolling, trends)
 from skyframe.plans import serve
 from workload.registry import query
@@ -329,6 +329,11 @@ def _(v):
     return rolling.rolling(v.obs, spec, block_days=730).select("station_id", "obs_date", *_NAMES_365)
 
 
+@query("win_rolling_events", _SQL_365, doubles=" ".join(_NAMES_365), dates="obs_date")
+def _(v):
+    return lookback.rolling(v.obs, {365: rolling.DEFAULT_SPECS[365]}).select("station_id", "obs_date", *_NAMES_365)
+
+
 _DOY = "tmax_doy_mean tmax_doy_std tmin_doy_mean tmin_doy_std tmax_climatology_deviation tmin_climatology_deviation"
 
 
@@ -533,26 +538,28 @@ def _(v):
 _TREND = f"""
 SELECT m.station_id, m.variable, a.period_start, a.period_end, CASE WHEN s.sens_slope > 0 THEN 'increasing'
     WHEN s.sens_slope < 0 THEN 'decreasing' ELSE 'no_trend' END AS trend_direction, s.sens_slope, m.z_statistic, m.tau,
-  s.sens_slope * 10 AS slope_per_decade, s.ci_lower, s.ci_upper, abs(m.z_statistic) > 1.959963984540054 AS significant
+  s.sens_slope * 10 AS slope_per_decade, s.ci_lower, s.ci_upper, abs(m.z_statistic) > 1.959963984540054 AS significant,
+  CASE WHEN m.z_statistic = 0 THEN 1::DOUBLE ELSE 1 - 2 * exp(-m.z_statistic * m.z_statistic / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 150),
+    lambda k: exp((2 * k + 1) * ln(abs(m.z_statistic)) - (k + 1) * ln(2) - lgamma(k + 1.5) + ln(pi()) / 2))) END AS p_value
 FROM ({_MK}) m JOIN ({_SEN}) s ON m.station_id = s.station_id AND m.variable = s.variable
 JOIN (SELECT station_id, variable, min(year) AS period_start, max(year) AS period_end FROM annual_means GROUP BY 1, 2) a
   ON a.station_id = m.station_id AND a.variable = m.variable WHERE m.n >= {MIN_YEARS}"""
-_TREND_COLUMNS = "sens_slope z_statistic tau slope_per_decade ci_lower ci_upper"
+_TREND_COLUMNS = "sens_slope z_statistic tau slope_per_decade ci_lower ci_upper p_value"
 
 
 @query("ts_trend", _TREND, doubles=_TREND_COLUMNS)
 def _(v):
-    return trends.trend(v.obs, MIN_YEARS, digits=False).drop("p_value")
+    return trends.trend(v.obs, MIN_YEARS, digits=False)
 
 
 @query("q_trends", f"SELECT * FROM ({_TREND}) WHERE variable = 'tmax'", doubles=_TREND_COLUMNS)
 def _(v):
-    return serve.station_trends(trends.trend(v.obs, MIN_YEARS, digits=False).drop("p_value"), variable="tmax")
+    return serve.station_trends(trends.trend(v.obs, MIN_YEARS, digits=False), variable="tmax")
 
 
-@query("ts_trend_p")
+@query("ts_trend_p", f"SELECT station_id, variable, z_statistic, p_value FROM ({_TREND})", doubles="z_statistic p_value")
 def _(v):
-    return trends.trend(v.obs, MIN_YEARS).select("station_id", "variable", "z_statistic", "p_value")
+    return trends.trend(v.obs, MIN_YEARS, digits=False).select("station_id", "variable", "z_statistic", "p_value")
 
 
 @query("ts_gev", "SELECT * FROM gev", doubles="b0 b1 b2 shape_param location_param scale_param")

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from skyframe import schemas
 from skyframe.functions import geo, scores, units
-from skyframe.operators import daily, joins
+from skyframe.operators import daily, joins, rolling
 from skyframe.plans import serve
 from skyframe.session import shared_dir
-from skyframe.sources import lake, publish, readers
+from skyframe.sources import lake, readers
+from skyframe.sources.reload import Serving
 from workload.registry import query
 from workload.views import Views, geohash_sql
 
@@ -183,11 +184,18 @@ FROM stations""", "latitude longitude elevation", ""),
     "climate_projections": (lambda v: v.projections, "SELECT * FROM projections",
                             "predicted_value lower_bound upper_bound", "projection_date"),
 }
+def reloaded(v, df, table):
+    """The table as two reloads and a replay of the second leave it: the first load held a part of the rows."""
+    serving = Serving(v.spark, folder(v, "served"))
+    serving.reload(df.where(F.pmod(F.xxhash64(*df.columns), F.lit(3)) == 0), table, "first")
+    for _ in range(2):
+        serving.reload(df, table, "second")
+    return serving.read(table)
+
+
 for _name, (_source, _sql, _doubles, _dates) in _SERVED.items():
     def _publish(v, table=_name, source=_source):
-        root = folder(v, "served")
-        publish.to_parquet(source(v), table, root)
-        stored = v.spark.read.parquet(f"{root}/{table}")
+        stored = reloaded(v, source(v), table)
         return stored.drop("description") if table == "anomalies" else stored
     query(f"sink_relational_{_name}", _sql, _doubles, _dates)(_publish)
 
@@ -196,7 +204,7 @@ for _name, (_source, _sql, _doubles, _dates) in _SERVED.items():
     "tmax tmin prcp snow snwd tavg tmax_rolling_30d tmin_rolling_30d prcp_rolling_30d tmax_rolling_365d "
     "tmin_rolling_365d prcp_rolling_365d tmax_stddev_30d tmin_stddev_30d prcp_stddev_30d"), dates="obs_date")
 def _(v):
-    return v.served_observations
+    return reloaded(v, rolling.rolling(v.obs, rolling.DEFAULT_SPECS), "observations")
 
 
 # ---- scalar expressions ------------------------------------------------------------

@@ -8,6 +8,7 @@ from skyframe import schemas
 from skyframe.functions import geo
 from skyframe.operators import anomaly, daily, decompose, forecast, isolation, joins, rolling
 from skyframe.plans import serve
+from skyframe.sources import lake
 from skyframe.streaming import live
 from workload.basics import BOX, folder
 from workload.registry import query
@@ -218,7 +219,9 @@ def _(v):
 
 @query("ml_anomaly")
 def _(v):
-    return isolation.detect(v.features, min_rows=365)
+    """All eight features: the residuals come from a stored decomposition."""
+    store = lake.Lake(v.spark, folder(v, "anomalies"))
+    return isolation.detect_stored(store, v.features, min_rows=365, period=30, seasonal=13, trend=61)
 
 
 @query("ml_forecast_harmonic")

@@ -6,10 +6,10 @@ import uuid
 
 from skyframe.operators import anomaly, islands, joins, trends
 from skyframe.session import shared_dir
-from skyframe.sources import lake, publish
+from skyframe.sources import lake
 from skyframe.streaming import live
 from workload.analytics import _EVENTS, _MONTHLY, _TREND, _TREND_COLUMNS
-from workload.basics import folder
+from workload.basics import folder, reloaded
 from workload.registry import query
 from workload.serving import _WIDE, _drain, _records
 from workload.views import MIN_YEARS
@@ -35,19 +35,21 @@ def _(v):
 
 @query("sink_relational_trend_analysis", _TREND, doubles=_TREND_COLUMNS)
 def _(v):
-    return publish.shape(trends.trend(v.obs, MIN_YEARS, digits=False), "trend_analysis").drop("p_value")
+    return reloaded(v, trends.trend(v.obs, MIN_YEARS, digits=False), "trend_analysis")
 
 
 @query("sink_relational_monthly_summary", f"""
 SELECT s.* REPLACE (CAST(total_anomalies AS INTEGER) AS total_anomalies, CAST(heatwave_count AS INTEGER) AS heatwave_count,
   CAST(cold_snap_count AS INTEGER) AS cold_snap_count, CAST(precip_extreme_count AS INTEGER) AS precip_extreme_count),
-  r.country AS top_region, CAST(NULL AS DOUBLE) AS global_temp_anomaly FROM ({_MONTHLY}) s
+  r.country AS top_region, g.global_temp_anomaly FROM ({_MONTHLY}) s
 JOIN (SELECT year, month, country, row_number() OVER (PARTITION BY year, month ORDER BY count(*) DESC, country) AS rn
   FROM anomalies a JOIN stations t ON a.station_id = t.station_id GROUP BY 1, 2, 3) r
-  ON r.year = s.year AND r.month = s.month AND rn = 1""", doubles="avg_severity global_temp_anomaly")
+  ON r.year = s.year AND r.month = s.month AND rn = 1
+LEFT JOIN (SELECT year, month, avg(temp_anomaly) AS global_temp_anomaly FROM month_grid GROUP BY 1, 2) g
+  ON g.year = s.year AND g.month = s.month""", doubles="avg_severity global_temp_anomaly")
 def _(v):
     placed = joins.with_stations(v.anomalies, v.stations.select("station_id", "country"))
-    return publish.shape(anomaly.monthly_with_region(placed), "monthly_summary")
+    return reloaded(v, anomaly.monthly_with_region(placed, v.month_grid), "monthly_summary")
 
 
 @query("str_cycle", _WIDE, doubles="tmax tmin prcp", dates="obs_date")
