@@ -28,14 +28,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, file, row): every row with the place it is stored at, which is a unique and stable key even
+def located(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, text, ``more``, file, row): every row with the place it is stored at, which is a unique and stable key even
     where ``doc_id`` is null or repeated. A frame that is not a plain file scan is stored first."""
     try:
         meta = docs.metadataColumn("_metadata")
-        return docs.select("doc_id", "text", meta["file_path"].alias("file"), meta["row_index"].alias("row"))
+        return docs.select("doc_id", "text", *more, meta["file_path"].alias("file"), meta["row_index"].alias("row"))
     except AnalysisException:
-        return located(cut(docs.select("doc_id", "text"), "documents"))
+        return located(cut(docs.select("doc_id", "text", *more), "documents"), *more)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -4,7 +4,12 @@ Texts are reduced to lower-case letters with single blanks between words. For ea
 rows are counted; lower orders count the distinct characters before an n-gram, and each order is interpolated with the next
 lower one by an absolute discount taken from its counts of counts. The models are sorted arrays of n-gram hashes with the
 log-probabilities of all languages side by side. A text gets the language with the lowest cross-entropy a character, and is
-rejected if that entropy is far above what the language's own rows have."""
+rejected if that entropy is far above what the language's own rows have.
+
+The counts are a stored table of all n-grams. Up to ``SHIPPED`` of them the models are built from it and shipped whole. Beyond
+that the discounts, continuation counts and probabilities are Spark aggregates and joins over the whole table, worked out for
+every n-gram of the texts; the ``SHIPPED`` most common ones are shipped and the others joined (``joined_costs``). Both ways
+use every n-gram and give the same entropies."""
 
 from __future__ import annotations
 
@@ -15,12 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skyframe.llm.common import cut, lookup, map_batches, small_batches
+from skyframe.llm.common import cut, fits, located, lookup, map_batches, small_batches
 from skyframe.llm.words import points
 
 ORDER = 4
-#: N-grams of the longest order that the shipped models may hold, some 16 to 40 bytes each; rarer ones are left out beyond it.
-LIMIT = 2_000_000
+#: N-grams of the longest order that may be shipped to every task, each with a cost for every language; the others are joined.
+SHIPPED = 2_000_000
 BLOCK = 1 << 22
 BLANK = 32
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -195,13 +200,14 @@ def learnable(column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 4, F.lit(0)) != 2
 
 
-def fit(docs: DataFrame) -> Models:
-    """Models from the text and non-null language of all learnable rows. The counts stay in a stored table; beyond
-    ``LIMIT`` n-grams the ones seen most often are shipped."""
+def learned(docs: DataFrame) -> DataFrame:
+    """The stored (lang, gram, n) of the text and non-null language of all learnable rows."""
     rows = docs.where(F.col("lang").isNotNull() & learnable()).select("lang", F.coalesce("text", F.lit("")).alias("text"))
-    counts = cut(count_grams(rows), "grams")
-    if counts.count() > LIMIT:
-        counts = counts.orderBy(F.desc("n"), "lang", "gram").limit(LIMIT)
+    return cut(count_grams(rows), "grams")
+
+
+def models_of(counts: DataFrame) -> Models:
+    """Models from a count table of at most ``SHIPPED`` rows."""
     table = counts.toArrow()
     langs = table.column(0).to_numpy(zero_copy_only=False).astype(str)
     keys, n = table.column(1).to_numpy().view(np.uint64), table.column(2).to_numpy()
@@ -213,6 +219,113 @@ def fit(docs: DataFrame) -> Models:
     return Models.build(found)
 
 
+def suffix(gram: str, order: int) -> Column:
+    """The last ``order`` characters of an n-gram."""
+    return F.col(gram).bitwiseAND(F.lit((1 << 16 * order) - 1))
+
+
+def context(gram: str) -> Column:
+    """All characters of an n-gram but the last."""
+    return F.shiftrightunsigned(gram, 16)
+
+
+def by_language(table: DataFrame, key: str, value: str, langs: list[str]) -> DataFrame:
+    """(key, ``value`` as an array with a place for each language, null where it has none)."""
+    return table.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("lang", value))).alias("held")).select(
+        key, F.array(*[F.col("held")[lang] for lang in langs]).alias(value))
+
+
+def stored_levels(counts: DataFrame, langs: list[str]) -> list[tuple[DataFrame, DataFrame, int]]:
+    """For each order, shortest first: the direct probabilities (gram, direct) and the backing-off shares (ctx, back), as
+    arrays over the languages."""
+    tables = [counts.select("lang", "gram", "n")]
+    for order in range(ORDER - 1, 0, -1):
+        shorter = tables[-1].groupBy("lang", suffix("gram", order).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        tables.append(cut(shorter, f"grams-{order}"))
+    out = []
+    for table in reversed(tables):
+        ones, twos = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+        discounts = table.groupBy("lang").agg(
+            F.when((ones > 0) & (twos > 0), ones / (ones + 2 * twos)).otherwise(0.5).alias("discount"))
+        discounts = lookup(cut(discounts, "discounts"))
+        contexts = table.groupBy("lang", context("gram").alias("ctx")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        contexts = cut(contexts.join(discounts, "lang"), "contexts")
+        direct = table.withColumn("ctx", context("gram")).join(contexts, ["lang", "ctx"]).select(
+            "lang", "gram", ((F.col("n") - F.col("discount")) / F.col("total")).alias("direct"))
+        back = contexts.select("lang", "ctx", (F.col("discount") * F.col("kinds") / F.col("total")).alias("back"))
+        out.append((cut(by_language(direct, "gram", "direct", langs), "direct"), cut(by_language(back, "ctx", "back", langs), "back")))
+    return out
+
+
+def joined_costs(counts: DataFrame, wanted: DataFrame, langs: list[str]) -> DataFrame:
+    """The stored (gram, n, costs) of the distinct n-grams ``wanted`` (gram, n): the negative log-probability under each
+    language. Each order joins the probabilities of the next lower one."""
+    alphabet = {r.lang: r.n for r in counts.select("lang", suffix("gram", 1).alias("c")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    unseen = F.array(*[F.lit(1 / (alphabet[lang] + 1)) for lang in langs])
+    below = None
+    for order, (direct, back) in enumerate(stored_levels(counts, langs), 1):
+        asked = wanted.select(suffix("gram", order).alias("gram")).distinct() if order < ORDER else wanted.select("gram")
+        asked = asked.withColumn("ctx", context("gram")).withColumn("shorter", suffix("gram", order - 1))
+        asked = asked.join(direct, "gram", "left").join(back, "ctx", "left")
+        asked = asked.withColumn("below", unseen) if below is None else asked.join(
+            below.select(F.col("gram").alias("shorter"), F.col("p").alias("below")), "shorter")
+        one = F.array(*[F.coalesce(F.col("direct")[i], F.lit(0.0)) + F.coalesce(F.col("back")[i], F.lit(1.0)) * F.col("below")[i]
+                        for i in range(len(langs))])
+        below = cut(asked.select("gram", one.alias("p")), f"probabilities-{order}")
+    costs = F.transform("p", lambda p: (-F.log(p)).cast("float"))
+    return cut(below.join(wanted, "gram").select("gram", "n", costs.alias("costs")), "costs")
+
+
+def text_grams(rows: DataFrame) -> DataFrame:
+    """The stored (file, row, grams, times): the n-grams of each text with their counts, in one row for each ``BLOCK`` of it."""
+    def run(batch):
+        out: dict[str, list] = {"file": [], "row": [], "grams": [], "times": []}
+        for file, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            keys = grams(chars) if len(chars := reduced(text)) else np.empty(0, np.uint64)
+            for i in range(0, len(keys), BLOCK):
+                found, times = np.unique(keys[i:i + BLOCK], return_counts=True)
+                for name, value in zip(out, (file, row, found.view(np.int64), times), strict=True):
+                    out[name].append(value)
+        return out
+
+    return cut(map_batches(rows.select("file", "row", "text"), run, "file string, row long, grams array<long>, times array<long>"), "text-grams")
+
+
+def entropies_by_join(rows: DataFrame, counts: DataFrame, langs: list[str]) -> DataFrame:
+    """(file, row, costs) of the (file, row, text) rows with a letter: cross-entropy a character under each language, like
+    ``Models.entropies``, with models of any size. Tasks add up the costs of the n-grams that are shipped; the rest meet the
+    stored costs in a join, so the n-grams that most texts hold are no hot keys of it."""
+    held = text_grams(rows)
+    pairs = held.select(F.explode(F.arrays_zip("grams", "times")).alias("x")).groupBy("x.grams").agg(F.sum("x.times").alias("n"))
+    stored = joined_costs(counts, cut(pairs.select(F.col("grams").alias("gram"), "n"), "wanted"), langs)
+    common = stored.orderBy(F.desc("n"), "gram").limit(SHIPPED).toArrow()
+    keys = common.column(0).to_numpy()
+    order = np.argsort(keys)
+    costs = np.array(common.column(2).combine_chunks().flatten(), np.float32).reshape(len(keys), len(langs))[order]
+    shared = rows.sparkSession.sparkContext.broadcast((keys[order], costs))
+
+    def run(batch):
+        keys, costs = shared.value
+        out: dict[str, list] = {"length": [], "part": [], "rest": [], "times": []}
+        for found, times in zip(batch.column(2), batch.column(3), strict=True):
+            found, times = found.values.to_numpy(), times.values.to_numpy()
+            at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+            hit = keys[at] == found
+            values = (int(times.sum()), times[hit] @ costs[at[hit]].astype(np.float64), found[~hit], times[~hit])
+            for name, value in zip(out, values, strict=True):
+                out[name].append(value)
+        return {"file": batch.column(0), "row": batch.column(1), **out}
+
+    parts = cut(map_batches(held, run, "file string, row long, length long, part array<double>, rest array<long>, times array<long>"), "parts")
+    rare = parts.select("file", "row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("file", "row", F.col("x.rest").alias("gram"), "x.times")
+    each = range(len(langs))
+    rare = rare.join(stored.select("gram", "costs"), "gram").select(
+        "file", "row", F.lit(0).cast("long").alias("length"), F.transform("costs", lambda c: F.col("times") * c.cast("double")).alias("part"))
+    return (parts.select("file", "row", "length", "part").unionByName(rare).groupBy("file", "row")
+            .agg(F.sum("length").alias("length"), *[F.sum(F.col("part")[i]).alias(f"c{i}") for i in each])
+            .select("file", "row", F.array(*[F.col(f"c{i}") / F.col("length") for i in each]).alias("costs")))
+
+
 def predict(docs: DataFrame, models: Models | None = None, sharpness: float = 1.0, deviations: float = 4.0) -> DataFrame:
     """(doc_id, lang_pred, score, entropy, rejected) for each row of ``docs``.
 
@@ -220,8 +333,19 @@ def predict(docs: DataFrame, models: Models | None = None, sharpness: float = 1.
     evidence, so it falls for short or mixed texts. ``rejected``: the entropy lies more than ``deviations`` standard
     deviations above the mean of the learnable rows that have the language. A null text or one without a letter is
     ``und`` with score 0; null or repeated ids pass through; without learnable rows all is ``und``; no rows: no rows.
-    Columns besides ``doc_id``, ``text`` and ``lang`` are not read."""
-    models = models or fit(docs)
+    Columns besides ``doc_id``, ``text`` and ``lang`` are not read. The models are learned from ``docs`` unless given."""
+    if models is None:
+        counts = learned(docs)
+        models = models_of(counts) if fits(counts, SHIPPED) else None
+    scored = cut(scored_by_models(docs, models, sharpness) if models else scored_by_join(docs, counts, sharpness), "languages")
+    usual = scored.where(F.col("lang") == F.col("lang_pred")).groupBy("lang_pred").agg(
+        (F.avg("entropy") + deviations * F.coalesce(F.stddev("entropy"), F.lit(0.0))).alias("most"))
+    return scored.join(lookup(cut(usual, "entropies")), "lang_pred", "left").select(
+        "doc_id", "lang_pred", "score", "entropy", F.coalesce(F.col("entropy") > F.col("most"), F.lit(True)).alias("rejected"))
+
+
+def scored_by_models(docs: DataFrame, models: Models, sharpness: float) -> DataFrame:
+    """(doc_id, lang, lang_pred, score, entropy) by shipped models; ``lang`` only of learnable rows."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
     texts = docs.select(F.col("doc_id").cast("long"), F.when(learnable(), F.col("lang")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -239,8 +363,18 @@ def predict(docs: DataFrame, models: Models | None = None, sharpness: float = 1.
             least.append(float(costs[best]))
         return {"doc_id": batch.column(0), "lang": batch.column(1), "lang_pred": langs, "score": scores, "entropy": least}
 
-    scored = cut(map_batches(texts, run, "doc_id long, lang string, lang_pred string, score double, entropy double"), "languages")
-    usual = scored.where(F.col("lang") == F.col("lang_pred")).groupBy("lang_pred").agg(
-        (F.avg("entropy") + deviations * F.coalesce(F.stddev("entropy"), F.lit(0.0))).alias("most"))
-    return scored.join(lookup(cut(usual, "entropies")), "lang_pred", "left").select(
-        "doc_id", "lang_pred", "score", "entropy", F.coalesce(F.col("entropy") > F.col("most"), F.lit(True)).alias("rejected"))
+    return map_batches(texts, run, "doc_id long, lang string, lang_pred string, score double, entropy double")
+
+
+def scored_by_join(docs: DataFrame, counts: DataFrame, sharpness: float) -> DataFrame:
+    """The same from the stored counts, of any size."""
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    rows = located(docs, "lang")
+    texts = rows.select("file", "row", F.coalesce("text", F.lit("")).alias("text"))
+    told = rows.select(F.col("doc_id").cast("long"), F.when(learnable(), F.col("lang")).alias("lang"), "file", "row",
+                       F.least(F.lit(64), F.length(F.coalesce("text", F.lit("")))).alias("evidence"))
+    best = F.array_min("costs")
+    odds = F.aggregate("costs", F.lit(0.0), lambda total, c: total + F.exp(-sharpness * F.col("evidence") * (c - best)))
+    return told.join(cut(entropies_by_join(texts, counts, langs), "entropies"), ["file", "row"], "left").select(
+        "doc_id", "lang", F.coalesce(F.get(F.array(*map(F.lit, langs)), (F.array_position("costs", best) - 1).cast("int")), F.lit("und")).alias("lang_pred"),
+        F.coalesce(1 / odds, F.lit(0.0)).alias("score"), best.alias("entropy"))

@@ -89,6 +89,39 @@ def test_languages_of_odd_documents(spark, tmp_path):
     assert language.predict(cases.documents(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("shipped", [1, 15_000])
+def test_joined_models_give_the_same_languages(spark, tmp_path, monkeypatch, shipped):
+    docs = spark.read.parquet(f"{SF.replace('0.1', '0.001')}/documents.parquet").select(*cases.SCHEMA.names)
+    docs = docs.unionByName(cases.documents(spark))
+    docs.write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+
+    def told():
+        rows = language.predict(docs).collect()
+        return sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.lang_pred, r.score))
+
+    whole = told()
+    assert len({r.lang_pred for r in whole}) > 3
+    monkeypatch.setattr(language, "SHIPPED", shipped)
+    assert language.learned(docs).count() > shipped
+    monkeypatch.setattr(language, "models_of", None)
+    monkeypatch.setattr(language, "BLOCK", 1000)
+    for a, b in zip(whole, told(), strict=True):
+        assert (a.doc_id, a.lang_pred, a.rejected) == (b.doc_id, b.lang_pred, b.rejected)
+        assert a.score == pytest.approx(b.score, abs=1e-5)
+        assert a.entropy == (b.entropy and pytest.approx(b.entropy, rel=1e-5))
+
+
+def test_foreign_texts_are_rejected(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(["river", "garden", "stone", "morning", "letter"], k=30)), "en", "a", 1) for i in range(80)]
+    rows += [(999, "zqxj vkkw qqzx jjvk wxqz kvjx " * 6, None, "a", 1)]
+    told = {r.doc_id: r.rejected for r in language.predict(cases.documents(spark, rows)).collect()}
+    assert told[999] and sum(told.values()) <= 3
+
+
 def plain_kneser_ney(texts, order):
     """Probability of a character after a context, straight from the definition."""
     counts = [Counter() for _ in range(order + 1)]
