@@ -21,7 +21,7 @@ SLACK = 0.2
 ASSIGN = re.compile(r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}+")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}+")
 FOUND = ("doc_id long, base array<struct<kind:string,start:long,end:long,value:string>>, "
          "other array<struct<start:long,end:long,value:string>>")
 SPANS = "doc_id long, spans array<struct<kind:string,start:long,end:long,score:double>>"
@@ -37,7 +37,7 @@ def base_spans(text: str) -> list[dict]:
 
 
 def other_tokens(text: str, base: list[dict]) -> list[dict]:
-    """Long tokens outside the fixed patterns that hold a digit and a letter."""
+    """Tokens of 8 characters and more outside the fixed patterns that hold a digit and a letter: the candidates."""
     out, k = [], 0
     for m in CANDIDATE.finditer(text):
         token = m.group()
@@ -95,7 +95,8 @@ class Automaton:
         todo = [(red, blue)]
         while todo:
             p, q = todo.pop()
-            if not self.total[p] or not self.total[q]:
+            # from here on the bound is above any difference: counts below a tree node are no larger than its own
+            if not self.total[p] or self.total[q] <= self.bound ** 2:
                 continue
             if self._differ(self.ends[p], self.total[p], self.ends[q], self.total[q]):
                 return False
@@ -166,17 +167,18 @@ def rate(table: dict, token: str) -> float:
     return (total + table["end"][state]) / (len(s) + 1)
 
 
-def learn(found: DataFrame, sample: int, alpha: float) -> dict:
+def learn(found: DataFrame, sample: int, alpha: float, longest: int) -> dict:
     """Automata by kind from at most ``sample`` labelled credentials of each kind and as many ordinary tokens, those
-    with the smallest hashes of distinct values; an empty model without credentials. A fifth of a kind's credentials is
-    kept out of its automaton: their lowest rates, less ``SLACK``, tell which rate a credential has at least."""
+    with the smallest hashes of distinct values of at most ``longest`` characters (folding takes up to the cube of a format's
+    length); values are learned whole. An empty model without credentials. A fifth of a kind's credentials is kept out of its automaton: their lowest rates, less
+    ``SLACK``, tell which rate a credential has at least. ``shortest``: the least length of a learned credential."""
     labelled = found.select(F.explode("base").alias("x")).select("x.kind", "x.value")
     plain = found.select(F.explode("other.value").alias("value")).select(F.lit("").alias("kind"), "value")
     model: dict = {"kinds": {}, "plain": None}
     for kind in (*BASE_KINDS, ""):
         source = labelled.where(F.col("kind") == kind) if kind else plain
-        values = [r[0] for r in source.select("value").distinct().orderBy(F.xxhash64("value"), "value").limit(sample).collect()]
-        values = [v[:512] for v in values]
+        chosen = source.select("value").where(F.length("value") <= longest).distinct()
+        values = [r[0] for r in chosen.orderBy(F.xxhash64("value"), "value").limit(sample).collect()]
         if not values:
             continue
         held = values[::5] if kind and len(values) >= 20 else []
@@ -184,30 +186,41 @@ def learn(found: DataFrame, sample: int, alpha: float) -> dict:
         table = Automaton([symbols(v) for v in values if v not in kept_out], alpha).table()
         if kind:
             least = float(np.quantile([rate(table, v) for v in held or values], 0.02)) - SLACK
-            model["kinds"][kind] = {"table": table, "least": least}
+            model["kinds"][kind] = {"table": table, "least": least, "shortest": min(map(len, values))}
         else:
             model["plain"] = table
     return model
 
 
+def lead(model: dict, kind: str, token: str) -> float:
+    """Between 0 and 1: how far the likelihood of the token's format under the kind's automaton, per symbol, is above the
+    ordinary one's; 0 if the kind has not been learned."""
+    if kind not in model["kinds"]:
+        return 0.0
+    plain = rate(model["plain"], token) if model["plain"] else -3.0
+    return 1 / (1 + math.exp(-8 * (rate(model["kinds"][kind]["table"], token) - plain)))
+
+
 def judge(model: dict, token: str, margin: float) -> float:
-    """Probability-like score of a token: how far the best automaton's likelihood per symbol exceeds the ordinary one's;
-    0 if the format is less likely than nearly all learned credentials."""
+    """Score of a token under the best automaton; 0 if it is shorter than all learned credentials, or its format less
+    likely than nearly all of them or not ``margin`` above the ordinary one."""
     best = 0.0
-    plain = rate(model["plain"], token) if model["plain"] else -3.0
-    for kind in model["kinds"].values():
-        own = rate(kind["table"], token)
-        if own >= kind["least"] and own - plain >= margin:
-            best = max(best, 1 / (1 + math.exp(-8 * (own - plain))))
+    for name, kind in model["kinds"].items():
+        if len(token) >= kind["shortest"] and rate(kind["table"], token) >= kind["least"]:
+            score = lead(model, name, token)
+            if score >= 1 / (1 + math.exp(-8 * margin)):
+                best = max(best, score)
     return best
 
 
-def find(docs: DataFrame, sample: int = 2000, alpha: float = 0.05, margin: float = 0.1) -> DataFrame:
-    """(doc_id, spans) for each row: kind, start and end in code points (end exclusive) and score. Fixed patterns score
-    1 and come as they are; tokens whose format the automata accept follow as kind ``format``; all by start, then kind.
+def find(docs: DataFrame, sample: int = 2000, alpha: float = 0.05, margin: float = 0.1, longest: int = 256) -> DataFrame:
+    """(doc_id, spans) for each row: kind, start and end in code points (end exclusive) and score. Spans of the fixed
+    patterns all come, with the score of their value under their kind's automaton; tokens whose format the automata accept
+    follow as kind ``format``; all by start, then kind.
 
     Null and empty texts have none; null or repeated ids pass through; no rows: no rows. Without labelled credentials
-    nothing is learned and only the fixed patterns remain. Columns besides ``doc_id`` and ``text`` are not read."""
+    nothing is learned and only the fixed patterns remain; longer credentials than ``longest`` are not learned from but scored
+    like all others, and a kind that has no others scores 0. Columns besides ``doc_id`` and ``text`` are not read."""
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
 
     def scan(batch) -> dict:
@@ -216,12 +229,13 @@ def find(docs: DataFrame, sample: int = 2000, alpha: float = 0.05, margin: float
         return {"doc_id": batch.column(0), "base": base, "other": [other_tokens(t, b) for t, b in zip(found, base, strict=True)]}
 
     stored = cut(map_batches(texts, scan, FOUND), "secrets")
-    model = stored.sparkSession.sparkContext.broadcast(learn(stored, sample, alpha))
+    model = stored.sparkSession.sparkContext.broadcast(learn(stored, sample, alpha, longest))
 
     def score(batch) -> dict:
         out = []
         for base, other in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            spans = [{"kind": b["kind"], "start": b["start"], "end": b["end"], "score": 1.0} for b in base]
+            spans = [{"kind": b["kind"], "start": b["start"], "end": b["end"],
+                      "score": lead(model.value, b["kind"], b["value"])} for b in base]
             for o in other:
                 if (p := judge(model.value, o["value"], margin)) > 0:
                     spans.append({"kind": "format", "start": o["start"], "end": o["end"], "score": p})

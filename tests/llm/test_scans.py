@@ -122,3 +122,19 @@ def test_learned_spans_are_added(spark):
     assert [s.kind for s in found[999]] == ["format"] and 0 < found[999][0].score <= 1
     assert all([s.kind for s in found[i]] == ["assign"] for i in range(60))
     assert not any(found[i] for i in range(100, 160))
+
+
+def test_long_and_short_credentials(spark):
+    import random
+
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ") + rng.choice("0123456789") for _ in range(n // 2))
+    rows = [(i, f'secret: {word(200)} words', "en", "a", 1) for i in range(40)] + [(i, f"passwd={word(10)} words", "en", "a", 1) for i in range(40, 120)]
+    rows += [(i, f"see chapter{i} and figure-{i}b of volume{i}", "en", "a", 1) for i in range(200, 260)]
+    rows += [(900, f"lost {word(10)} here", "en", "a", 1), (901, f"lost {word(200)} here", "en", "a", 1)]
+    found = {r.doc_id: r.spans for r in secrets.find(cases.documents(spark, rows)).collect()}
+    assert [[s.kind for s in found[i]] for i in (900, 901)] == [["format"], ["format"]]
+    assert all(0.5 < found[i][0].score <= 1 for i in range(120))
+    assert not any(found[i] for i in range(200, 260))
+    without = {r.doc_id: r.spans for r in secrets.find(cases.documents(spark, rows), longest=7).collect()}
+    assert [s.score for s in without[0]] == [0.0] and not without[900]
