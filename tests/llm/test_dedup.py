@@ -43,17 +43,32 @@ def test_odd_documents(spark, tmp_path, digest):
     assert exact.groups(cases.documents(spark, []), digest).collect() == []
 
 
-def test_store_grows_with_the_corpus(spark, tmp_path):
-    store = exact.DigestStore(spark, str(tmp_path / "store"), files_per_batch=1)
-    first = exact.groups(cases.stored(spark, str(tmp_path / "one"), cases.ROWS), store=store)
-    assert first.count() == len(cases.ROWS)
-    more = [(100, "a", "en", "d", 1), (101, "new", "en", "d", 1)]
-    spark_rows = cases.stored(spark, str(tmp_path / "two"), more)
-    digests = spark_rows.select("doc_id", exact.sha256(F.col("text")).alias("digest"), F.lit("two").alias("file"), F.col("doc_id").alias("row"))
-    digests.write.parquet(str(tmp_path / "digests"))
-    before = store.entries().count()
-    grown = exact.DigestStore(spark, str(tmp_path / "store"))
-    assert grown.entries().count() == before
+@pytest.mark.parametrize("digest", [exact.sha256, weak])
+def test_store_grows_with_the_corpus(spark, tmp_path, digest):
+    """Three calls, the second of them made twice: sizes and ids count the rows of all calls so far, each once."""
+    more = [(100, "a", "en", "d", 1), (101, "new", "en", "d", 1), (102, "new", "en", "d", 1), (1, "", "en", "d", 0)]
+    calls = [("one", cases.ROWS), ("two", more), ("two", more), ("three", [(103, "new", "en", "d", 1), (104, "A", "en", "d", 1)])]
+    known: dict = {}
+    for name, rows in calls:
+        path = str(tmp_path / name)
+        docs = spark.read.parquet(path) if name in known else cases.stored(spark, path, rows)
+        known[name] = rows
+        by_text = defaultdict(list)
+        for r in (r for part in known.values() for r in part):
+            by_text[r[1] or ""].append(r[0])
+        got = exact.groups(docs, digest, exact.DigestStore(spark, str(tmp_path / "store"), files_per_batch=2), name).collect()
+        assert Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == Counter(
+            (r[0], max((i for i in by_text[r[1] or ""] if i is not None), default=None), len(by_text[r[1] or ""])) for r in rows)
+
+
+def test_a_clash_with_an_earlier_text_is_seen(spark, tmp_path):
+    store = exact.DigestStore(spark, str(tmp_path / "store"))
+    first = exact.groups(cases.stored(spark, str(tmp_path / "a"), [(1, "first", "en", "d", 1)]), weak, store, "a").collect()
+    assert [(r.keep_id, r.group_size, r.kept) for r in first] == [(1, 1, True)]
+    second = exact.groups(cases.stored(spark, str(tmp_path / "b"), [(2, "second", "en", "d", 1)]), weak, store, "b").collect()
+    assert [(r.keep_id, r.group_size, r.kept) for r in second] == [(2, 1, True)]
+    third = exact.groups(cases.stored(spark, str(tmp_path / "c"), [(3, "first", "en", "d", 1)]), weak, store, "c").collect()
+    assert [(r.keep_id, r.group_size, r.kept) for r in third] == [(3, 2, True)]
 
 
 def test_deduplicate(spark, tmp_path):
