@@ -8,6 +8,8 @@ from pyspark.sql import Column, functions as F
 
 # Fixed value: the base-32 geohash alphabet.
 ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
+#: The letter of three bits of one axis and two of the other, by the number they make one after the other.
+INTERLEAVED = "".join(ALPHABET[(i >> 4 & 1) << 4 | (i >> 1 & 1) << 3 | (i >> 3 & 1) << 2 | (i & 1) << 1 | (i >> 2 & 1)] for i in range(32))
 
 
 class Box(NamedTuple):
@@ -39,13 +41,15 @@ def geohash(lat: Column, lon: Column, precision: int = 7) -> Column:
     x = _cell(lon, -180.0, 360.0, lon_bits)
     y = _cell(lat, -90.0, 180.0, lat_bits)
 
-    def bit(k: int) -> Column:
-        source, width = (x, lon_bits) if k % 2 == 0 else (y, lat_bits)
-        return F.shiftright(source, width - 1 - k // 2).bitwiseAND(F.lit(1).cast("long"))
+    def part(index: Column, width: int, after: int, size: int) -> Column:
+        """``size`` bits of an index of ``width`` bits after its first ``after``."""
+        return F.shiftright(index, width - after - size).bitwiseAND(F.lit((1 << size) - 1).cast("long"))
 
     def letter(c: int) -> Column:
-        index = sum((bit(5 * c + j) * F.lit(16 >> j) for j in range(5)), F.lit(0))
-        return F.substring(F.lit(ALPHABET), (index + 1).cast("int"), F.lit(1))
+        # the axis that holds the letter's first bit gives three of its bits, the other one two
+        three, two = ((x, lon_bits), (y, lat_bits)) if c % 2 == 0 else ((y, lat_bits), (x, lon_bits))
+        index = part(*three, 5 * c // 2, 3) * F.lit(4) + part(*two, (5 * c + 1) // 2, 2)
+        return F.substring(F.lit(INTERLEAVED), (index + 1).cast("int"), F.lit(1))
 
     # greatest/least skip NULLs; this empty text is NULL when a coordinate is missing or NaN.
     known = F.when(lat * 0.0 + lon * 0.0 == 0.0, F.lit(""))
