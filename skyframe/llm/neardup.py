@@ -4,13 +4,14 @@ A document is the weighted set of its five-word shingles, weight = occurrences t
 signature has 64 consistent weighted samples: two documents agree on a sample with a probability equal to their weighted
 Jaccard similarity. Signatures are banded; pairs from a band are verified by their weighted Jaccard similarity.
 
-Equal texts are one node. In a large bucket members are compared with pivots first; only those that are still in different
-classes then are compared with each other (``links``).
+Equal texts are one node. Members of a bucket are compared with its pivot first; only what is still in different classes then
+is compared with each other, in large families by what members have that most of the family lacks and the reverse (``links``).
 
 The document frequency of a shingle counts all documents. Its inverse is 1 for a shingle in every document and 2 for one
 in at most ``rate`` of them, logarithmic between; so only shingles above that rate need exact counts, and there are at most
 (shingles a document) / ``rate`` of those, whatever the corpus. They are found in two passes: one names every shingle that
-reaches half the rate in some block of documents, the next counts those."""
+reaches half the rate in some block of documents, the next counts those. The most common ones are shipped to the tasks; where
+there are more than ``SHIPPED``, the others are joined to the documents that hold them."""
 
 from __future__ import annotations
 
@@ -19,20 +20,21 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from skyframe.llm.common import content_key, cut, fresh, located, lookup, map_batches, small_batches
+from skyframe.llm.common import content_key, cut, fits, fresh, located, lookup, map_batches, small_batches
 from skyframe.llm.graph import components
 from skyframe.llm.words import mix, shingles, word_hashes
 
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
-#: Members of a bucket up to which all pairs are compared, in the first and second round, and members asked in a pivot's stead.
-SMALL, RARE, DELEGATES = 200, 6, 8
+#: Members of a family up to which those in different classes are compared by buckets.
+SMALL = 200
 #: Documents that a block has at least (where the corpus has them) and shingles at which it is closed.
 BLOCK_DOCS, BLOCK_SHINGLES = 4000, 1 << 22
-#: Frequent shingles that may be shipped to every task (16 bytes each); beyond it the rate is doubled.
-FREQUENT_LIMIT = 2_000_000
+#: Frequent shingles that are shipped to every task (16 bytes each); beyond it the less common ones are joined.
+SHIPPED = 2_000_000
+OFTEN = "array<struct<shingle:long,n:long>>"
 
 
 def shingle_counts(text: str, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -40,20 +42,29 @@ def shingle_counts(text: str, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Weights:
-    """Inverse document frequencies: exact for the given frequent shingles, 2 for all others."""
+    """Inverse document frequencies: exact for the given frequent shingles and those told with a text (``often``), 2 for all others."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, total: int, floor: int):
         order = np.argsort(keys)
-        self.keys = keys[order]
-        self.idf = 1 + np.log(total / counts[order]) / math.log(total / floor) if total > floor else np.full(len(keys), 2.0)
+        self.total, self.floor = total, floor
+        self.keys, self.idf = keys[order], self.inverse(counts[order])
 
-    def __call__(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def inverse(self, counts: np.ndarray) -> np.ndarray:
+        return 1 + np.log(self.total / counts) / math.log(self.total / self.floor) if self.total > self.floor else np.full(len(counts), 2.0)
+
+    def each(self, hashes: np.ndarray, often: list[dict] | None = None) -> np.ndarray:
         weight = np.full(len(hashes), 2.0)
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
             hit = self.keys[at] == hashes
             weight[hit] = self.idf[at[hit]]
-        return weight * counts
+        if often and len(hashes):
+            known = np.array([x["shingle"] for x in often], np.int64).view(np.uint64)
+            weight[np.searchsorted(hashes, known)] = self.inverse(np.array([x["n"] for x in often]))
+        return weight
+
+    def __call__(self, hashes: np.ndarray, counts: np.ndarray, often: list[dict] | None = None) -> np.ndarray:
+        return self.each(hashes, often) * counts
 
 
 def _block_counts(docs: DataFrame, width: int, least, only=None) -> DataFrame:
@@ -94,25 +105,46 @@ def _block_counts(docs: DataFrame, width: int, least, only=None) -> DataFrame:
     return docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, out)
 
 
-def frequencies(docs: DataFrame, width: int = 5, rate: float = 1e-3) -> Weights:
-    """Document frequencies of the shingles in more than ``rate`` of all documents (and at least two)."""
+def frequencies(docs: DataFrame, width: int = 5, rate: float = 1e-3) -> tuple[Weights, DataFrame | None]:
+    """Document frequencies of the shingles in more than ``rate`` of all documents (and at least two): those to be shipped, and
+    a stored table (shingle, n) of the less common ones if there are more than ``SHIPPED``."""
     context, total = docs.sparkSession.sparkContext, docs.count()
     blocks = docs.select("text").coalesce(max(1, total // BLOCK_DOCS))
-    while True:
-        floor = max(2, math.ceil(rate * total))
-        part = floor / (2 * max(1, total))
-        named = (_block_counts(blocks, width, lambda n, part=part: max(1, math.ceil(part * n)))
-                 .groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= floor / 2).select("shingle"))
-        named = cut(named, "named")
-        if named.count() <= FREQUENT_LIMIT:
-            break
-        rate *= 2
-    keys = np.sort(named.toArrow().column(0).to_numpy().view(np.uint64))
-    if not len(keys):
-        return Weights(keys, np.empty(0, np.int64), total, floor)
-    counted = (_block_counts(blocks, width, lambda n: 1, context.broadcast(keys))
-               .groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= floor).toArrow())
-    return Weights(counted.column(0).to_numpy().view(np.uint64), counted.column(1).to_numpy(), total, floor)
+    floor = max(2, math.ceil(rate * total))
+    part = floor / (2 * max(1, total))
+    named = (_block_counts(blocks, width, lambda n: max(1, math.ceil(part * n)))
+             .groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= floor / 2).select("shingle"))
+    named = cut(named, "named")
+    rest = None
+    if fits(named, SHIPPED):
+        keys = np.sort(named.toArrow().column(0).to_numpy().view(np.uint64))
+        if not len(keys):
+            return Weights(keys, np.empty(0, np.int64), total, floor), None
+        shipped = (_block_counts(blocks, width, lambda n: 1, context.broadcast(keys))
+                   .groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= floor))
+    else:
+        counted = cut(_block_counts(blocks, width, lambda n: 1).groupBy("shingle").agg(F.sum("n").alias("n"))
+                      .where(F.col("n") >= floor), "frequent")
+        bound = counted.orderBy(F.desc("n")).limit(SHIPPED).agg(F.min("n")).first()[0] if counted.count() > SHIPPED else 0
+        shipped, rest = counted.where(F.col("n") > bound), counted.where(F.col("n") <= bound)
+    found = shipped.toArrow()
+    return Weights(found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy(), total, floor), rest
+
+
+def known_often(keyed: DataFrame, rest: DataFrame | None, width: int) -> DataFrame:
+    """``keyed`` (content, text and more) with ``often``: the shingles of a text that are frequent but not shipped. No shingle of
+    ``rest`` can be hot, as those in the most documents are shipped."""
+    if rest is None:
+        return keyed.withColumn("often", F.lit(None).cast(OFTEN))
+
+    def hold(batch):
+        texts = batch.column(1).to_pylist()
+        return {"content": batch.column(0), "shingles": [shingle_counts(t, width)[0].view(np.int64) for t in texts]}
+
+    held = map_batches(keyed.select("content", "text"), hold, "content binary, shingles array<long>")
+    often = (held.select("content", F.explode("shingles").alias("shingle")).join(rest, "shingle")
+             .groupBy("content").agg(F.collect_set(F.struct("shingle", "n")).alias("often")))
+    return keyed.join(cut(often, "often"), "content", "left")
 
 
 @functools.cache
@@ -138,23 +170,30 @@ def signature(hashes: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -
     log_w = np.log(weights).astype(np.float32)
     best = np.full(samples, np.inf, np.float32)
     chosen, level = np.zeros(samples, np.int64), np.zeros(samples, np.float32)
-    every = np.arange(samples)
     for i in range(0, len(hashes), 2048):
         x = hashes[None, i:i + 2048] ^ seeds
         x *= np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(32)
         x *= np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(29)
-        r = gamma[((x >> np.uint64(14)) & np.uint64(0xFFFF)).view(np.int64)]
-        beta = ((x >> np.uint64(30)) & np.uint64(0xFFFF)).astype(np.float32) * np.float32(1 / 65536)
-        t = np.floor(log_w[None, i:i + 2048] / r + beta)
-        a = log_c[(x >> np.uint64(46)).view(np.int64)] - r * (t - beta + np.float32(1))
-        j = a.argmin(axis=1)
-        value = a[every, j]
-        better = value < best
-        best = np.where(better, value, best)
-        chosen = np.where(better, j + i, chosen)
-        level = np.where(better, t[every, j], level)
+        r = gamma.take(((x >> np.uint64(14)) & np.uint64(0xFFFF)).view(np.int64))
+        c = log_c.take((x >> np.uint64(46)).view(np.int64))
+        # a sample's value lies between c - log w - r and c - log w: only features whose lower bound reaches the least upper one can win
+        above = c - log_w[None, i:i + 2048]
+        least = np.minimum(above.min(axis=1), best) + np.float32(1e-3)
+        row, column = np.nonzero(above - r <= least[:, None])
+        if not len(row):
+            continue
+        r, c = r[row, column], c[row, column]
+        beta = ((x[row, column] >> np.uint64(30)) & np.uint64(0xFFFF)).astype(np.float32) * np.float32(1 / 65536)
+        t = np.floor(log_w[column + i] / r + beta)
+        a = c - r * (t - beta + np.float32(1))
+        order = np.lexsort((column, a, row))
+        own, first = np.unique(row[order], return_index=True)
+        j = order[first]
+        better = a[j] < best[own]
+        own, j = own[better], j[better]
+        best[own], chosen[own], level[own] = a[j], column[j] + i, t[j]
     out = mix(hashes[chosen] + level.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
@@ -167,18 +206,17 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return shared / whole if whole else 0.0
 
 
-def sketches(rows: DataFrame, weights, width: int) -> DataFrame:
+def sketches(keyed: DataFrame, weights, width: int) -> DataFrame:
     """(doc_id, file, row, content, sig): every row with its signature, null for a text without a word."""
-    keyed = rows.select("doc_id", "file", "row", content_key().alias("content"), F.coalesce("text", F.lit("")).alias("text"))
-
     def sketch(batch):
         sigs = []
-        for text in batch.column(4).to_pylist():
+        for text, often in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
             hashes, counts = shingle_counts(text, width)
-            sigs.append(signature(hashes, weights.value(hashes, counts)) if len(hashes) else None)
+            sigs.append(signature(hashes, weights.value(hashes, counts, often)) if len(hashes) else None)
         return {**{name: batch.column(k) for k, name in enumerate(("doc_id", "file", "row", "content"))}, "sig": sigs}
 
-    return cut(map_batches(keyed, sketch, "doc_id long, file string, row long, content binary, sig array<int>"), "sketches")
+    rows = keyed.select("doc_id", "file", "row", "content", "text", "often")
+    return cut(map_batches(rows, sketch, "doc_id long, file string, row long, content binary, sig array<int>"), "sketches")
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
@@ -194,141 +232,141 @@ def shared_only(members: DataFrame, name: str) -> DataFrame:
     return cut(placed.join(lookup(sizes), "bucket"), f"{name}-shared")
 
 
-def pivots(inside: DataFrame, homes: bool) -> DataFrame:
-    """(content, pivot): with whom each member of a large bucket is compared.
+def pivots(inside: DataFrame) -> DataFrame:
+    """(content, pivot): with whom each member of a bucket is compared.
 
     A node's degree is the sum of its buckets' sizes, which is highest for the text that many others vary. A node's home is
     the member of its buckets with the highest degree; a bucket's pivot is the home of its members with the highest degree.
-    So the buckets of one family have one pivot, even those it is not in. Without ``homes`` the pivot is the bucket's own
-    member with the highest degree."""
+    So the buckets of one family have one pivot, even those it is not in."""
     degrees = cut(inside.groupBy("content").agg(F.sum("size").alias("degree")), "degrees")
     ranked = cut(inside.join(degrees, "content").select("bucket", "content", F.struct("degree", "content").alias("rank")), "ranked")
     top = cut(ranked.groupBy("bucket").agg(F.max("rank").alias("top")), "top")
-    pivot = top.withColumnRenamed("top", "pivot")
-    if homes:
-        home = cut(ranked.join(lookup(top), "bucket").groupBy("content").agg(F.max("top").alias("home")), "homes")
-        pivot = cut(ranked.join(lookup(home), "content").groupBy("bucket").agg(F.max("home").alias("pivot")), "pivot")
+    home = cut(ranked.join(lookup(top), "bucket").groupBy("content").agg(F.max("top").alias("home")), "homes")
+    pivot = cut(ranked.join(lookup(home), "content").groupBy("bucket").agg(F.max("home").alias("pivot")), "pivot")
     return ranked.join(lookup(pivot), "bucket").select("content", F.col("pivot.content").alias("pivot")).where("content != pivot").distinct()
 
 
-def compared(pairs: DataFrame, texts: DataFrame, weights, width: int) -> DataFrame:
-    """The pairs (a, b, wide) with their weighted Jaccard similarity, the weights of both sides and of what they share; for
-    wide ones also the shingles that weigh more in a than in b."""
-    left = pairs.join(texts.select(F.col("content").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("content").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "wide", "text_a", "text_b")
+def similar(pairs: DataFrame, texts: DataFrame, weights, threshold: float, width: int) -> DataFrame:
+    """The pairs (a, b) whose weighted Jaccard similarity reaches the threshold."""
+    sides = [texts.select(F.col("content").alias(k), F.struct("text", "often").alias(f"text_{k}")) for k in "ab"]
+    both = cut(pairs, "pairs").join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b")
 
     def compare(batch):
         known = {}
 
         def weighted(key, text):
             if key not in known:
-                hashes, counts = shingle_counts(text, width)
-                known[key] = hashes, weights.value(hashes, counts)
+                hashes, counts = shingle_counts(text["text"], width)
+                known[key] = hashes, weights.value(hashes, counts, text["often"])
             return known[key]
 
-        out = {name: [] for name in ("similarity", "weight_a", "weight_b", "common", "added")}
-        a, b, wide, ta, tb = (c.to_pylist() for c in batch.columns)
-        for key_a, key_b, full, text_a, text_b in zip(a, b, wide, ta, tb, strict=True):
-            (ha, wa), (hb, wb) = weighted(key_a, text_a), weighted(key_b, text_b)
-            _, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
-            common, whole = float(np.minimum(wa[i], wb[j]).sum()), float(wa.sum() + wb.sum())
-            out["similarity"].append(common / (whole - common) if whole > common else 0.0)
-            out["weight_a"].append(float(wa.sum()))
-            out["weight_b"].append(float(wb.sum()))
-            out["common"].append(common)
-            covered = np.zeros(len(ha), bool)
-            covered[i] = wa[i] <= wb[j]
-            out["added"].append(ha[~covered].view(np.int64) if full else None)
-        return {"a": batch.column(0), "b": batch.column(1), "wide": batch.column(2), **out}
-
-    return cut(map_batches(both, compare, "a binary, b binary, wide boolean, similarity double, weight_a double, weight_b double, "
-                                          "common double, added array<long>"), "compared")
-
-
-def links(nodes: DataFrame, rows: DataFrame, weights, threshold: float, width: int) -> DataFrame:
-    """(a, b) links of distinct texts that share a bucket.
-
-    All pairs of a bucket of at most ``SMALL`` members are compared whose signatures agree about as often as similar texts'
-    do. In a larger one each member is compared with a pivot c; members that are similar
-    to c are linked through it. What x and y share weighs at most min(x and c, y and c) plus what both have beyond c; so a
-    pair of which one is not similar to c can only be similar if (1) x and y share a shingle that weighs more in both than in
-    c, or (2) what each shares with c alone would do, which weights tell. Pairs by (2) are few and are compared. The groups of
-    (1) are buckets of a second round, in which those of at most ``RARE`` members are compared in all pairs and larger ones with
-    their own pivot. There, members unlike the first pivot are also compared with ``DELEGATES`` of those that are similar to it. At last the members
-    of a first large bucket that these links leave in different classes are compared (``unsettled``), so every pair of a bucket
-    is compared or in one class, wherever its signatures agree."""
-    share = threshold / (1 + threshold)
+        a, b, ta, tb = (c.to_pylist() for c in batch.columns)
+        found = [similarity(weighted(ka, xa), weighted(kb, xb)) for ka, kb, xa, xb in zip(a, b, ta, tb, strict=True)]
+        return {"a": batch.column(0), "b": batch.column(1), "similarity": found}
+
+    return cut(map_batches(both, compare, "a binary, b binary, similarity double").where(F.col("similarity") >= threshold).select("a", "b"), "similar")
+
+
+def links(nodes: DataFrame, keyed: DataFrame, weights, threshold: float, width: int) -> DataFrame:
+    """(node, root): the classes of the texts that are similar to another one of their bucket.
+
+    All members of a bucket are compared with its pivot, and what is similar forms classes. Pairs of a bucket that are still in
+    different classes are compared where their signatures agree about as often as similar texts' do. A family are the
+    buckets that pivots connect; in one of more than ``SMALL`` members such pairs are found by ``apart``."""
     inside = shared_only(buckets(nodes), "buckets")
     wanted = inside.select("content").distinct().join(nodes, "content").select("content", "place.file", "place.row")
-    texts = cut(rows.select("file", "row", "text").join(lookup(cut(wanted, "wanted")), ["file", "row"]).select("content", "text"), "texts")
-    found, extra, first = [], None, None
+    texts = cut(keyed.select("file", "row", "text", "often").join(lookup(cut(wanted, "wanted")), ["file", "row"]).select("content", "text", "often"), "texts")
+    stars = cut(pivots(inside).select(*pair("content", "pivot")).distinct(), "stars")
+    found = similar(stars, texts, weights, threshold, width)
+    roots = components(found)
+    families = components(stars).select(F.col("node").alias("content"), F.col("root").alias("family"))
+    placed = families.join(lookup(roots), F.col("content") == F.col("node"), "left").select("content", "family", F.coalesce("root", "content").alias("root"))
+    placed = cut(placed, "placed")
+    sizes = placed.groupBy("family").agg(F.count(F.lit(1)).alias("members"), (F.min("root") != F.max("root")).alias("open"))
+    open_ = cut(placed.join(lookup(cut(sizes.where("open"), "families")), "family").join(nodes.select("content", "sig"), "content")
+                .select("content", "family", "root", "sig", "members"), "open")
     # at the threshold, 4.5 standard deviations below the expected agreement
     least = math.floor(SAMPLES * threshold - 4.5 * math.sqrt(SAMPLES * threshold * (1 - threshold)))
-    for last in (False, True):
-        small = RARE if last else SMALL
-        few = cut(inside.where(F.col("size") <= small).join(nodes.select("content", "sig"), "content"), "few")
-        x, y = few.alias("x"), few.alias("y")
-        agree = agreement("x.sig", "y.sig")
-        pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.content") < F.col("y.content")) & (agree >= least)).select(
-            F.col("x.content").alias("a"), F.col("y.content").alias("b"), F.lit(False).alias("wide"))
-        if extra is not None:
-            pairs = pairs.unionByName(extra)
-        large = cut(inside.where(F.col("size") > small), "large")
-        more = not large.isEmpty()
-        if more:
-            first = large if first is None else first
-            pairs = pairs.unionByName(pivots(large, not last).select(F.col("content").alias("a"), F.col("pivot").alias("b"), F.lit(not last).alias("wide")))
-        checked = compared(cut(pairs.distinct(), "pairs"), texts, weights, width)
-        found.append(checked.where(F.col("similarity") >= threshold).select("a", "b"))
-        if last or not more:
-            break
-        wide = checked.where("wide").select(
-            "a", "b", "added", "weight_a", (F.col("similarity") >= threshold).alias("linked"),
-            (F.col("common") / share - F.col("weight_a")).alias("reach"))
-        # (2): what a shares with the pivot reaches over a partner of weight up to ``reach``
-        apart = wide.where("NOT linked")
-        bounds = cut(wide.groupBy("b").agg(F.min("weight_a").alias("lightest")).join(
-            apart.groupBy("b").agg(F.max("reach").alias("furthest")), "b"), "bounds")
-        near = cut(wide.drop("added").join(lookup(bounds), "b").where(
-            (F.col("weight_a") <= F.col("furthest")) | (~F.col("linked") & (F.col("reach") >= F.col("lightest")))), "near")
-        x, y = near.where("NOT linked").alias("x"), near.alias("y")
-        extra = cut(x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x.a") != F.col("y.a")) & (F.col("x.reach") >= F.col("y.weight_a"))
-                           & (F.col("y.reach") >= F.col("x.weight_a")))
-                    .select(*pair("x.a", "y.a"), F.lit(False).alias("wide")).distinct(), "extra")
-        # delegates of those that are similar to the pivot, for those that are not
-        picked = F.array_distinct(F.array(*[F.min_by("a", F.xxhash64(F.lit(k), F.col("a"))) for k in range(DELEGATES)]))
-        delegates = cut(wide.where("linked").groupBy("b").agg(picked.alias("picked")), "delegates")
-        asked = apart.join(lookup(delegates), "b").select("a", F.explode("picked").alias("other"))
-        extra = extra.unionByName(asked.select(*pair("a", "other"), F.lit(False).alias("wide")))
-        # (1): groups of at least two that share a shingle beyond the pivot, not all linked to it
-        beyond = wide.select(F.col("a").alias("content"), "linked", F.explode("added").alias("shingle"), "b")
-        beyond = cut(beyond.select("content", "linked", F.xxhash64("b", "shingle").alias("bucket")), "beyond")
-        open_ = (beyond.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bool_and("linked").alias("done"))
-                 .where("size > 1 AND NOT done").select("bucket", "size"))
-        inside = cut(beyond.select("bucket", "content").join(lookup(cut(open_, "open")), "bucket"), "inside")
-    if first is not None:
-        rest = unsettled(first, nodes, components(functools.reduce(DataFrame.unionByName, found)), least)
-        found.append(compared(cut(rest, "unsettled"), texts, weights, width).where(F.col("similarity") >= threshold).select("a", "b"))
-    return functools.reduce(DataFrame.unionByName, found)
-
-
-def agreement(x: str, y: str) -> Column:
-    return F.size(F.filter(F.zip_with(x, y, lambda i, j: i == j), lambda same: same))
-
-
-def unsettled(large: DataFrame, nodes: DataFrame, roots: DataFrame, least: int) -> DataFrame:
-    """(a, b, wide): the pairs of a bucket that are in different classes so far and whose signatures agree. One side is always
-    outside the bucket's largest class, so a bucket in one class costs nothing."""
-    placed = large.join(lookup(roots), F.col("content") == F.col("node"), "left").select("bucket", "content", F.coalesce("root", "content").alias("root"))
-    placed = cut(placed, "placed")
-    share = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    major = share.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("major"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    members = cut(placed.join(lookup(cut(major, "major")), "bucket").join(nodes.select("content", "sig"), "content").select(
-        "bucket", "content", "root", "sig", (F.col("root") != F.col("major.root")).alias("minor")), "members")
-    x, y = members.where("minor").alias("x"), members.alias("y")
-    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root"))
-                   & (agreement("x.sig", "y.sig") >= least))
-    return pairs.select(*pair("x.content", "y.content"), F.lit(False).alias("wide")).distinct()
+    few = cut(inside.select("bucket", "content").join(open_.where(F.col("members") <= SMALL).drop("family", "members"), "content"), "few")
+    large = open_.where(F.col("members") > SMALL)
+    more = met(few, "bucket", least)
+    if not large.isEmpty():
+        more = more.unionByName(apart(large, texts, weights, threshold, width, least)).distinct()
+    return components(found.unionByName(similar(more, texts, weights, threshold, width)))
+
+
+def met(members: DataFrame, key: str, least: int, more: Column | None = None) -> DataFrame:
+    """(a, b): pairs that have a key in common, are in different classes and agree in at least ``least`` samples."""
+    x, y = members.alias("x"), members.alias("y")
+    agree = F.size(F.filter(F.zip_with("x.sig", "y.sig", lambda i, j: i == j), lambda same: same)) >= least
+    pairs = x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.content") < F.col("y.content")) & (F.col("x.root") != F.col("y.root"))
+                   & (F.lit(True) if more is None else more) & agree)
+    return pairs.select(F.col("x.content").alias("a"), F.col("y.content").alias("b")).distinct()
+
+
+def apart(large: DataFrame, texts: DataFrame, weights, threshold: float, width: int, least: int) -> DataFrame:
+    """(a, b): pairs of a family's members that may be similar though in different classes, without comparing all with all.
+
+    Let m be the shingles that more than half of the family hold (a shingle's second occurrence counts as another one). What x
+    lacks of m and what it has beyond m are its features, of weight l and h. Then w(x) = w(m) - l + h, and x and y share
+    w(m) - l(x) - l(y) plus the weight of the features they have in common. With s = threshold / (1 + threshold) and
+    cost = (1 - s) l + s h they are similar exactly if cost(x) + cost(y) - common <= (1 - 2 s) w(m). So
+
+    * members whose costs alone do are all similar to the member with the least cost, which is the pair that is returned;
+    * any other similar pair has features in common that weigh at least ``need`` = cost + least cost - (1 - 2 s) w(m). Features
+      are sorted by how many members have them, rarest first: the rarest one in common is followed by features of at least
+      that weight, so only such features of a member are keys, and pairs meet at a key.
+
+    A feature of one member alone is no key. Where no shingle is held by most, this is prefix filtering of the whole sets."""
+    s = threshold / (1 + threshold)
+
+    def expand(batch):
+        out = []
+        for text, often in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            hashes, counts = shingle_counts(text, width)
+            place = np.concatenate([np.arange(n) for n in counts]) if counts.max(initial=0) > 1 else np.zeros(len(hashes), np.int64)
+            keys = mix(np.repeat(hashes, counts) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            weigh = np.repeat(weights.value.each(hashes, often), counts)
+            out.append([{"f": f, "w": w} for f, w in zip(keys.view(np.int64).tolist(), weigh.tolist(), strict=True)])
+        return {"content": batch.column(0), "family": batch.column(1), "members": batch.column(4), "sets": out}
+
+    rows = large.join(texts, "content").select("content", "family", "text", "often", "members")
+    sets = cut(map_batches(rows, expand, "content binary, family binary, members long, sets array<struct<f:long,w:double>>"), "sets")
+    each = sets.select("content", "family", "members", F.explode("sets").alias("x")).select("content", "family", "members", "x.f", "x.w")
+    counts = cut(each.groupBy("family", "f").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("w"), F.max("members").alias("members"))
+                 .where("n > 1"), "counts")
+    most = counts.where(F.col("n") * 2 > F.col("members"))
+    most = cut(most.groupBy("family").agg(F.collect_list(F.struct("f", "w")).alias("most"),
+                                          F.sum("w").alias("whole")), "most")
+    # a family's list is about as long as one of its texts, so it is shipped for a bounded number of families only
+    joined = sets.join(lookup(most, 1000), "family", "left").select("content", "family", F.coalesce("whole", F.lit(0.0)).alias("whole"), "most", "sets")
+
+    def differ(batch):
+        out = {name: [] for name in ("lacked", "beyond", "cost")}
+        pick = lambda items, name, kind: np.array([x[name] for x in items], kind)
+        for held, own in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            theirs, mine = pick(held or [], "f", np.int64), pick(own, "f", np.int64)
+            lacks, more = ~np.isin(theirs, mine), ~np.isin(mine, theirs)
+            out["lacked"].append(theirs[lacks])
+            out["beyond"].append(mine[more])
+            out["cost"].append(float((1 - s) * pick(held or [], "w", float)[lacks].sum() + s * pick(own, "w", float)[more].sum()))
+        return {**{name: batch.column(k) for k, name in enumerate(("content", "family", "whole"))}, **out}
+
+    costed = cut(map_batches(joined, differ, "content binary, family binary, whole double, lacked array<long>, beyond array<long>, cost double"), "costed")
+    centre = cut(costed.groupBy("family").agg(F.min(F.struct("cost", "content")).alias("centre")), "centre")
+    known = costed.join(lookup(centre), "family").withColumn("need", F.col("cost") + F.col("centre.cost") - (1 - 2 * s) * F.col("whole"))
+    near = known.where((F.col("need") <= 1e-9) & (F.col("content") != F.col("centre.content"))).select(*pair("content", "centre.content"))
+    keys = (known.select("content", "family", "need", "cost", F.explode("beyond").alias("f"), F.lit(False).alias("lacks"))
+            .unionByName(known.select("content", "family", "need", "cost", F.explode("lacked").alias("f"), F.lit(True).alias("lacks"))))
+    shared = keys.join(counts, ["family", "f"]).withColumn("n", F.when(F.col("lacks"), F.col("members") - F.col("n")).otherwise(F.col("n"))).where("n > 1")
+    later = Window.partitionBy("family", "content").orderBy("n", "f").rowsBetween(0, Window.unboundedFollowing)
+    total = Window.partitionBy("family", "content")
+    prefix = shared.select("content", "family", "f", "need", "cost", F.sum("w").over(later).alias("left"), F.sum("w").over(total).alias("all")).where(F.col("left") >= F.col("need") - 1e-9)
+    limits = costed.select("content", F.col("whole"))
+    at = cut(prefix.select("content", F.xxhash64("family", "f").alias("key"), "cost", "all").join(limits, "content")
+             .join(large.select("content", "root", "sig"), "content"), "prefix")
+    enough = F.col("x.cost") + F.col("y.cost") - F.least("x.all", "y.all") <= (1 - 2 * s) * F.col("x.whole") + 1e-9
+    return met(at, "key", least, enough).unionByName(near).distinct()
 
 
 def pair(x: str, y: str) -> list:
@@ -344,10 +382,12 @@ def classes(docs: DataFrame, threshold: float = 0.8, width: int = 5, rate: float
     words than ``width`` is one shingle. No rows: no rows. Columns besides ``doc_id`` and ``text`` are not read."""
     rows = located(docs)
     context = docs.sparkSession.sparkContext
-    weights = context.broadcast(frequencies(docs, width, rate))
-    all_rows = sketches(rows, weights, width)
+    shipped, rest = frequencies(docs, width, rate)
+    weights = context.broadcast(shipped)
+    keyed = known_often(rows.select("doc_id", "file", "row", content_key().alias("content"), F.coalesce("text", F.lit("")).alias("text")), rest, width)
+    all_rows = sketches(keyed, weights, width)
     nodes = cut(all_rows.groupBy("content").agg(F.min(F.struct("file", "row")).alias("place"), F.max("sig").alias("sig")), "nodes")
-    found = components(links(nodes, rows, weights, threshold, width))
+    found = links(nodes, keyed, weights, threshold, width)
     classed = cut(all_rows.join(lookup(found), F.col("content") == F.col("node"), "left").select(
         "doc_id", "file", "row", "content", F.coalesce("root", "content").alias("class")), "classed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")).alias("first")

@@ -90,11 +90,12 @@ def test_families_within_a_large_bucket(spark):
         two = changed(one, 200, 240)
         texts += [variant(one) for _ in range(8)] + [variant(two) for _ in range(8)]
     rows = neardup.located(cases.documents(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)]))
-    weights = spark.sparkContext.broadcast(neardup.frequencies(rows))
-    keyed = neardup.cut(rows.withColumn("content", neardup.content_key()), "keyed").collect()
+    weights = spark.sparkContext.broadcast(neardup.frequencies(rows)[0])
+    rows = neardup.known_often(rows.withColumn("content", neardup.content_key()), None, 5)
+    keyed = neardup.cut(rows, "keyed").collect()
     nodes = spark.createDataFrame([(r.content, (r.file, r.row), [1] * neardup.SAMPLES) for r in keyed],
                                   "content binary, place struct<file: string, row: long>, sig array<int>")
-    found = graph.components(neardup.links(nodes, rows, weights, 0.8, 5)).collect()
+    found = neardup.links(nodes, rows, weights, 0.8, 5).collect()
     root = {bytes(r.node): bytes(r.root) for r in found}
     ids = {r.text: bytes(r.content) for r in keyed}
     want = plain_classes(texts)
@@ -102,6 +103,73 @@ def test_families_within_a_large_bucket(spark):
     assert partition(range(len(texts)), [root.get(ids[t], ids[t]) for t in texts]) == partition(range(len(texts)), want)
 
 
+def test_many_small_classes_in_one_bucket(spark):
+    """Variants of one template of which any two are below the threshold, but for small groups that share a change as well: not
+    all pairs are compared, and no class is lost."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(5000)]
+    base, texts = rng.choices(words, k=120), []
+    for i in range(400):
+        own = list(base)
+        for at in (rng.randrange(10, 50), rng.randrange(60, 110)):
+            own[at] = rng.choice(words)
+        texts.append(" ".join(own))
+        if i % 8 == 0:
+            for _ in range(3):
+                near = list(own)
+                near[rng.choice([0, 1, 118, 119])] = rng.choice(words)
+                texts.append(" ".join(near))
+    rows = neardup.known_often(neardup.located(cases.documents(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)]))
+                               .withColumn("content", neardup.content_key()), None, 5)
+    weights = spark.sparkContext.broadcast(neardup.frequencies(rows)[0])
+    keyed = neardup.cut(rows, "keyed").collect()
+    shipped = weights.value
+    sig = {r.text: neardup.signature(h, shipped(h, c)).tolist() for r in keyed for h, c in [neardup.shingle_counts(r.text)]}
+    nodes = spark.createDataFrame([(r.content, r.content, r.content, sig[r.text], 1000) for r in keyed],
+                                  "content binary, family binary, root binary, sig array<int>, members long")
+    nodes = nodes.withColumn("family", neardup.F.lit(b"one"))
+    texts_of = spark.createDataFrame([(r.content, r.text, None) for r in keyed], f"content binary, text string, often {neardup.OFTEN}")
+    pairs = neardup.apart(nodes.withColumn("members", neardup.F.lit(len(keyed)).cast("long")), texts_of, weights, 0.8, 5, 36)
+    assert pairs.count() < len(keyed) * (len(keyed) - 1) / 2 / 8
+    found = graph.components(neardup.similar(pairs, texts_of, weights, 0.8, 5)).collect()
+    root, ids = {bytes(r.node): bytes(r.root) for r in found}, {r.text: bytes(r.content) for r in keyed}
+    want = plain_classes(texts)
+    assert 50 < len(set(want)) < len(set(texts)) - 50
+    assert partition(range(len(texts)), [root.get(ids[t], ids[t]) for t in texts]) == partition(range(len(texts)), want)
+
+
+def test_joined_frequencies_are_as_good_as_shipped_ones(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    show = lambda: sorted((r.doc_id, r.class_id) for r in neardup.classes(docs, rate=0.01).collect())
+    weights, rest = neardup.frequencies(docs, rate=0.01)
+    whole = show()
+    monkeypatch.setattr(neardup, "SHIPPED", 20)
+    fewer, rest = neardup.frequencies(docs, rate=0.01)
+    told = {r.shingle: r.n for r in rest.collect()}
+    keys = np.sort(np.concatenate([fewer.keys, np.array(list(told), np.int64).view(np.uint64)]))
+    assert len(fewer.keys) <= 20 < len(keys) and np.array_equal(keys, weights.keys)
+    often = [{"shingle": k, "n": n} for k, n in told.items()]
+    assert np.allclose(fewer.each(keys, often), weights.each(keys)) and show() == whole
+
+
+def test_signature_is_the_least_sample_of_all_features():
+    """The signature's bounds leave out no feature that could win: the plain form over all of them gives the same values."""
+    rng = np.random.default_rng(8)
+    hashes, weights = rng.integers(0, 1 << 63, 5000, dtype=np.uint64), rng.uniform(1, 9, 5000)
+    whole = neardup.signature(hashes, weights)
+    alone = np.stack([neardup.signature(hashes[i:i + 1], weights[i:i + 1]) for i in range(5000)])
+    assert all(whole[k] in alone[:, k] for k in range(neardup.SAMPLES))
+    log_c, gamma = neardup.gamma_tables()
+    seeds = neardup.mix(np.arange(1, neardup.SAMPLES + 1, dtype=np.uint64))[:, None]
+    x = (hashes[None] ^ seeds) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(29)
+    r, beta = gamma[((x >> np.uint64(14)) & np.uint64(0xFFFF)).astype(int)], ((x >> np.uint64(30)) & np.uint64(0xFFFF)) / 65536
+    t = np.floor(np.log(weights) / r + beta)
+    j = (log_c[(x >> np.uint64(46)).astype(int)] - r * (t - beta + 1)).argmin(axis=1)
+    assert np.mean(alone[j, np.arange(neardup.SAMPLES)] == whole) > 0.95
+
+
 def test_odd_documents(spark, tmp_path):
     want = partition([r[0] for r in cases.ROWS], [r[1] or "" for r in cases.ROWS])
     for docs in (cases.documents(spark), cases.stored(spark, str(tmp_path / "d"))):
@@ -127,7 +195,8 @@ def test_samples_agree_as_often_as_the_weights_overlap():
 def test_frequent_shingles_are_counted_exactly(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 200)
     rows = [(i, "one two three four five" if i % 4 == 0 else f"text number {i} has its own words {i * 7}", "en", "a", 1) for i in range(400)]
-    weights = neardup.frequencies(cases.documents(spark, rows), rate=0.05)
+    weights, rest = neardup.frequencies(cases.documents(spark, rows), rate=0.05)
+    assert rest is None
     key = neardup.shingle_counts("one two three four five")[0]
     assert weights(key, np.array([1]))[0] == pytest.approx(1 + math.log(4) / math.log(20))
 
