@@ -170,30 +170,31 @@ def signature(hashes: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -
     log_w = np.log(weights).astype(np.float32)
     best = np.full(samples, np.inf, np.float32)
     chosen, level = np.zeros(samples, np.int64), np.zeros(samples, np.float32)
-    for i in range(0, len(hashes), 2048):
-        x = hashes[None, i:i + 2048] ^ seeds
+    every = np.arange(samples)
+    for i in range(0, len(hashes), 512):  # what a step works on stays in the processor's cache
+        x = hashes[None, i:i + 512] ^ seeds
         x *= np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(32)
         x *= np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(29)
-        r = gamma.take(((x >> np.uint64(14)) & np.uint64(0xFFFF)).view(np.int64))
-        c = log_c.take((x >> np.uint64(46)).view(np.int64))
-        # a sample's value lies between c - log w - r and c - log w: only features whose lower bound reaches the least upper one can win
-        above = c - log_w[None, i:i + 2048]
-        least = np.minimum(above.min(axis=1), best) + np.float32(1e-3)
-        row, column = np.nonzero(above - r <= least[:, None])
-        if not len(row):
-            continue
-        r, c = r[row, column], c[row, column]
-        beta = ((x[row, column] >> np.uint64(30)) & np.uint64(0xFFFF)).astype(np.float32) * np.float32(1 / 65536)
-        t = np.floor(log_w[column + i] / r + beta)
-        a = c - r * (t - beta + np.float32(1))
-        order = np.lexsort((column, a, row))
-        own, first = np.unique(row[order], return_index=True)
-        j = order[first]
-        better = a[j] < best[own]
-        own, j = own[better], j[better]
-        best[own], chosen[own], level[own] = a[j], column[j] + i, t[j]
+        r = gamma.take(((x >> np.uint64(14)) & np.uint64(0xFFFF)).view(np.int64), mode="clip")
+        beta = ((x >> np.uint64(30)) & np.uint64(0xFFFF)).astype(np.float32)
+        beta *= np.float32(1 / 65536)
+        t = log_w[None, i:i + 512] / r
+        t += beta
+        np.floor(t, out=t)
+        x >>= np.uint64(46)
+        a = log_c.take(x.view(np.int64), mode="clip")
+        beta -= t
+        beta -= np.float32(1)
+        beta *= r
+        a += beta
+        j = a.argmin(axis=1)
+        value = a[every, j]
+        better = value < best
+        best = np.where(better, value, best)
+        chosen = np.where(better, j + i, chosen)
+        level = np.where(better, t[every, j], level)
     out = mix(hashes[chosen] + level.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 

@@ -153,7 +153,7 @@ def test_joined_frequencies_are_as_good_as_shipped_ones(spark, monkeypatch):
 
 
 def test_signature_is_the_least_sample_of_all_features():
-    """The signature's bounds leave out no feature that could win: the plain form over all of them gives the same values."""
+    """Blocks and steps in place change nothing: the plain form over all features gives the same values."""
     rng = np.random.default_rng(8)
     hashes, weights = rng.integers(0, 1 << 63, 5000, dtype=np.uint64), rng.uniform(1, 9, 5000)
     whole = neardup.signature(hashes, weights)
