@@ -142,10 +142,6 @@ def blocks(benchmark: DataFrame):
         yield build(found.column("item_id").to_pylist(), found.column("text").to_pylist())
 
 
-def shipped(docs: DataFrame, benchmark: DataFrame) -> list:
-    return [docs.sparkSession.sparkContext.broadcast(index) for index in blocks(benchmark)]
-
-
 def scan(rows: DataFrame, index, least_words: int, least_share: float) -> DataFrame:
     """``rows`` (doc_id, file, row, text) with their overlaps in place of the text."""
     def run(batch):
@@ -163,11 +159,18 @@ def find(docs: DataFrame, benchmark: DataFrame, least_words: int = 13, least_sha
     Null and empty texts, on either side, match nothing; null or repeated ids pass through; equal items are reported each;
     without items nothing is contaminated; no rows: no rows. Other columns are not read."""
     rows = located(docs).select(F.col("doc_id").cast("long"), "file", "row", F.coalesce("text", F.lit("")).alias("text"))
-    parts = [scan(rows, index, least_words, least_share) for index in shipped(docs, benchmark)]
-    if len(parts) == 1:
-        found = parts[0]
-    else:  # one pass for each block of the benchmark, so that a task holds one index
-        hits = functools.reduce(DataFrame.unionByName, [cut(p.where(F.size("overlaps") > 0), "overlaps") for p in parts])
+    context, todo = docs.sparkSession.sparkContext, blocks(benchmark)
+    index, following = next(todo), next(todo, None)
+    if following is None:
+        found = scan(rows, context.broadcast(index), least_words, least_share)
+    else:  # one pass for each block of the benchmark, so that a task holds one index; it is given up once its hits are stored
+        parts = []
+        while index is not None:
+            sent = context.broadcast(index)
+            parts.append(cut(scan(rows, sent, least_words, least_share).where(F.size("overlaps") > 0), "overlaps"))
+            sent.unpersist()
+            index, following = following, next(todo, None)
+        hits = functools.reduce(DataFrame.unionByName, parts)
         hits = cut(hits.groupBy("file", "row").agg(F.array_sort(F.flatten(F.collect_list("overlaps"))).alias("overlaps")), "overlaps")
         found = rows.drop("text").join(lookup(hits), ["file", "row"], "left").withColumn(
             "overlaps", F.coalesce("overlaps", F.array().cast(OVERLAPS)))
