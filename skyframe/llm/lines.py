@@ -36,11 +36,12 @@ class Runs:
     def __init__(self, spark: SparkSession, at_least: int, fanout: int = 2):
         self.spark, self.at_least, self.fanout = spark, at_least, fanout
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.path, self.levels = folder(spark, "runs"), {}
+        self.path, self.levels, self.names = folder(spark, "runs"), {}, []
 
     def _store(self, df: DataFrame) -> DataFrame:
         name = f"run_{uuid.uuid4().hex}"
         df.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.path}/{name}").saveAsTable(name)
+        self.names.append(name)
         return self.spark.table(name)
 
     def _runs(self) -> list[DataFrame]:
@@ -71,6 +72,12 @@ class Runs:
         self.levels = {max(self.levels, default=0): [self._merged(self._runs())]}
         return self._runs()[0].where(F.col("n") >= self.at_least).select("h1", "h2")
 
+    def forget(self) -> None:
+        """Take the runs out of the catalog; no frame that reads them may be used afterwards."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.levels, self.names = {}, []
+
 
 def hashes(key: Column, position: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"), position.alias("pos"), F.char_length(key).alias("length"))
@@ -104,6 +111,7 @@ def drop_common(docs: DataFrame, at_least: int = 10, shortest: int = 1, batches:
         part = spark.read.schema(keyed.schema).parquet(*files[k::batches]) if files else stored
         runs.add(part.where("first").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")))
     common = cut(runs.common(), "common")
+    runs.forget()
     drops = cut(stored.join(lookup(common), ["h1", "h2"], "left_semi").groupBy("file", "row").agg(F.collect_list("pos").alias("drops")), "drops")
     joined = rows.join(drops.hint("merge"), ["file", "row"], "left").withColumn("lines", split_lines())
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drops"))

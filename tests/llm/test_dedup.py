@@ -118,3 +118,9 @@ def test_runs_are_merged_without_shuffle(spark):
 def test_digest_column(spark):
     row = queries.QUERIES["op6_exact_dedup"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").first()
     assert row.text_sha256 == hashlib.sha256(row.text.encode()).hexdigest()
+
+
+def test_runs_leave_the_catalog(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert lines.drop_common(cases.documents(spark)).count() == len(cases.ROWS)
+    assert {t.name for t in spark.catalog.listTables()} == before
