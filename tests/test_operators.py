@@ -76,6 +76,21 @@ def test_six_branches(spark, z, expected):
     assert df.select(scores.classify(*[F.col(c) for c in "hmpc"])).first()[0] == expected
 
 
+def test_ties_do_not_depend_on_rounding(spark):
+    """Three equal days and another score 1.5 exactly, two days 0.7071 in every variable; sums in another order miss that in the last bits."""
+    up, down = math.nextafter(1.5, 2), math.nextafter(1.5, 1)
+    columns = "tmax_zscore_30d double, tmin_zscore_30d double, prcp_zscore_30d double, tmax_climatology_deviation double"
+    flagged = anomaly.threshold_score(spark.createDataFrame([(z, 0.0, 0.0, 0.0) for z in (up, 1.5, down, 1.4999)], columns), 1.5)
+    assert [r.is_anomaly for r in flagged.collect()] == [True, True, True, False]
+    half = 0.5 ** 0.5
+    tied = spark.createDataFrame([(half, half, p, 1.6) for p in (math.nextafter(half, 1), half, math.nextafter(half, 0), half + 1e-6)], columns)
+    assert [r.k for r in tied.select(scores.classify(*[F.col(c) for c in tied.columns]).alias("k")).collect()] == [
+        "heatwave", "heatwave", "heatwave", "precip_extreme"]
+    strict = spark.createDataFrame([(z, -z, z) for z in (up, 1.5, 1.5001)], "h double, m double, p double")
+    assert [r.k for r in strict.select(scores.classify_extreme(F.col("h"), F.col("m"), F.col("p"), 1.5, -1.5, 1.5).alias("k")).collect()] == [
+        None, None, "heatwave"]
+
+
 def test_severity(spark):
     df = spark.createDataFrame([(3.0,), (5.0,), (8.0,), (-20.0,)], "z double")
     assert [r[0] for r in df.select(scores.severity(F.col("z"), 10.0)).collect()] == pytest.approx([0.3, 0.5, 0.8, 1.0])
