@@ -29,6 +29,15 @@ def test_held_out_toxicity(spark):
     assert sum(clean) <= 0.005 * len(clean)  # on held-out rows at sf0.1 one of 728 was flagged
 
 
+def test_few_labels_rank_held_out_toxicity(spark):
+    """329 labels to learn from, a few toxic ones in each language but English, marked by a frequent beginning of words."""
+    few = SF.replace("sf0.1", "sf0.01")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{few}/labels.parquet").collect()}
+    held = [(labels[r.doc_id], r.score) for r in queries.QUERIES["op1_toxicity"](spark, few).collect() if r.held_out and r.doc_id in labels]
+    pairs = [(a > b) + (a == b) / 2 for y, a in held if y for z, b in held if not z]
+    assert sum(pairs) / len(pairs) > 0.9  # 0.83 with features that only tell presence
+
+
 def test_held_out_labels_are_not_learned(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     model = toxicity.fit(docs, labels)
