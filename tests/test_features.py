@@ -82,6 +82,14 @@ def test_reload_replaces_all_or_nothing(spark, tmp_path):
     assert not (tmp_path / "monthly_summary" / "g-a").exists()
 
 
+def test_generations_are_packed(spark, tmp_path):
+    serving = Serving(spark, str(tmp_path))
+    assert serving.reload(summary(spark, 5), "monthly_summary", "a")
+    files = [f.name for f in (tmp_path / "monthly_summary" / "g-a").glob("*.parquet")]
+    assert files and all(name.endswith(".zstd.parquet") for name in files)
+    assert serving.read("monthly_summary").count() == 5
+
+
 def stations_with_jump(spark):
     """A series whose jump shows in the residual alone: the features around it stay the same."""
     start, rng = dt.date(2015, 1, 1), random.Random(5)
