@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skyframe.operators import anomaly, decompose, forecast, isolation
+from skyframe.operators import anomaly, decompose, forecast, grouped, isolation
 from tests.conftest import rows
 
 SCHEMA = "station_id string, obs_date date, tmax double, tmin double, prcp double"
@@ -60,6 +60,33 @@ def test_stl_resists_outliers():
     assert rest[100] > 50 and np.abs(level[80:130] - 10).max() < 1
 
 
+@pytest.mark.parametrize("trend", [15, 301])
+def test_series_decomposed_together_are_as_alone(trend):
+    rng = np.random.default_rng(trend)
+    series = [rng.normal(size=n).cumsum() for n in (150, 163, 150, 200, 331)]
+    series[1][40] += 80
+    for y, found in zip(series, decompose.seasonal_trends(series, 7, 35, trend, True)):
+        assert np.allclose(found, decompose.seasonal_trend(y, 7, 35, trend, True), atol=1e-9)
+        assert np.allclose(sum(found), y)
+
+
+def test_whole_groups_are_never_cut(spark):
+    data = spark.range(3000).select(F.when(F.col("id") % 7 > 0, F.concat(F.lit("s"), F.col("id") % 7)).alias("station_id"), "id")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 500)
+    try:
+        def count(pdf):
+            sizes = np.diff(np.r_[grouped.group_starts(pdf["station_id"]), len(pdf)])
+            return pdf.assign(rows=np.repeat(sizes, sizes), together=len(sizes))
+
+        out = grouped.whole_groups(data.repartition(2, "station_id"), "station_id", "id", count, "station_id string, id long, rows long, together long")
+        sizes = {r.station_id: (r.n, r["min(rows)"], r["max(rows)"]) for r in out.groupBy("station_id").agg(
+            F.count("*").alias("n"), F.min("rows"), F.max("rows")).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(sizes) == 7 and all(n == low == high for n, low, high in sizes.values())
+
+
 def test_interpolation_matches_pandas(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=200)
