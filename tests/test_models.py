@@ -126,6 +126,24 @@ def test_forest_ranks_planted_outliers_first(spark):
     assert isolation.model_scores(features_frame(spark, n=100), trees=10).count() == 0
 
 
+def test_stations_scored_together_are_as_alone(spark):
+    days = features_frame(spark)
+    several = days.withColumn("station_id", F.lit("T")).unionByName(days).unionByName(
+        days.where("obs_date < '2020-06-01'").withColumn("station_id", F.lit("short")))
+    scored = isolation.model_scores(several, trees=20)
+    assert "FlatMapGroups" not in scored._jdf.queryExecution().executedPlan().toString()  # no call for each station
+    pick = ["station_id", "obs_date", "iforest_score", "seq_score", "scored_by"]
+    alone = [isolation.model_scores(several.where(F.col("station_id") == s), trees=20).select(pick) for s in ("S", "T")]
+    assert rows(scored.select(pick)) == rows(alone[0].unionByName(alone[1])) and scored.count() == 800
+
+
+def test_forest_ranges_skip_features_without_spread():
+    x = np.array([[1.0, 5.0], [1.0, 7.0], [2.0, 3.0], [2.0, 3.0]])
+    draw = np.array([[0.9, 0.1], [0.9, 0.1]])
+    pick, low, high = isolation._ranges(x.ravel(), 2, np.arange(4), np.array([0, 2]), np.array([2, 2]), draw)
+    assert (pick[0], low[0], high[0]) == (1, 5.0, 7.0) and low[1] == high[1]
+
+
 def test_sequence_score_peaks_at_the_broken_pattern():
     t = np.arange(400)
     x = np.stack([np.sin(t / 5), np.cos(t / 5), np.sin(t / 9)], axis=1)
