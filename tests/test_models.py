@@ -3,10 +3,11 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from skyframe.operators import anomaly, decompose, forecast, grouped, isolation
+from skyframe.operators import anomaly, decompose, extremes, forecast, grouped, isolation
 from tests.conftest import rows
 
 SCHEMA = "station_id string, obs_date date, tmax double, tmin double, prcp double"
@@ -79,7 +80,7 @@ def test_whole_groups_are_never_cut(spark):
             sizes = np.diff(np.r_[grouped.group_starts(pdf["station_id"]), len(pdf)])
             return pdf.assign(rows=np.repeat(sizes, sizes), together=len(sizes))
 
-        out = grouped.whole_groups(data.repartition(2, "station_id"), "station_id", "id", count, "station_id string, id long, rows long, together long")
+        out = grouped.whole_groups(data.repartition(2, "station_id"), ["station_id"], "id", count, "station_id string, id long, rows long, together long")
         sizes = {r.station_id: (r.n, r["min(rows)"], r["max(rows)"]) for r in out.groupBy("station_id").agg(
             F.count("*").alias("n"), F.min("rows"), F.max("rows")).collect()}
     finally:
@@ -92,7 +93,6 @@ def test_interpolation_matches_pandas(spark):
     x = rng.normal(size=200)
     x[:3], x[20:25], x[50:95], x[-40:] = np.nan, np.nan, np.nan, np.nan
     out = decompose.interpolate(frame(spark, x), ["tmax"]).orderBy("obs_date").toPandas()
-    import pandas as pd
     expected = pd.Series(x).interpolate(method="linear", limit=30).bfill().ffill()
     assert np.allclose(out.tmax, expected)
 
@@ -194,3 +194,30 @@ def test_registry_keeps_the_newest(spark):
                                "model_name string, station_id string, variable string, version string, mae double, trained_at date")
     out = forecast.active_models(df).collect()
     assert len(out) == 1 and out[0].version == "1.1" and out[0].is_active
+
+
+def test_series_fitted_together_are_as_alone(spark):
+    """Extremes of different numbers of years and forecasts of different stations share calls."""
+    rng = np.random.default_rng(6)
+    values = pd.Series([np.sort(rng.gumbel(size=n)) * 3 + 20 for n in (7, 9, 7, 12, 7)])
+    starts = [pd.Series([0.1] * 5), pd.Series([float(np.mean(x)) for x in values]), pd.Series([float(np.std(x)) for x in values])]
+    together = extremes._refine(values, *starts)
+    for i in range(5):
+        alone = extremes._refine(values[i:i + 1], *[c[i:i + 1] for c in starts])
+        assert np.allclose(alone.iloc[0], together.iloc[i])
+    t = np.arange(500)
+    days = [frame(spark, 10 + np.sin(t / 58) + k, prcp=np.abs(np.sin(t / 9)) * k, station=f"S{k}") for k in (1, 2, 3)]
+    several = days[0].unionByName(days[1]).unionByName(days[2])
+    for model in (forecast.arx, forecast.harmonic):
+        out = model(several, min_rows=400)
+        assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()  # no call for each series
+        assert rows(out) == sorted((r for d in days for r in rows(model(d, min_rows=400))),
+                                   key=lambda r: tuple((x is None, str(x)) for x in r))
+
+
+def test_arx_gaps_fill_as_in_pandas():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=60)
+    x[:4], x[20:31], x[-3:] = np.nan, np.nan, np.nan
+    assert np.array_equal(forecast._filled(x), pd.Series(x).ffill().bfill())
+    assert np.isnan(forecast._filled(np.full(3, np.nan))).all()
