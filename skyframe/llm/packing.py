@@ -10,7 +10,6 @@ has no shuffle, memory is bounded by one group and one document, and no key can
 
 from __future__ import annotations
 
-import functools
 import heapq
 import os
 import re
@@ -18,7 +17,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from skyframe.llm.common import small_batches
+from skyframe.llm.common import kept, small_batches
 
 SCHEMA = ("doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, "
           "sequence_length long, ids binary")
@@ -95,9 +94,9 @@ class Encoder:
                 for t, parts in zip(texts, split, strict=True)]
 
 
-@functools.cache
+@kept
 def encoder(name: str) -> Encoder:
-    """One encoder for each worker process; ``name`` is a path or the name of a public vocabulary file."""
+    """One encoder for each worker process while it packs; ``name`` is a path or the name of a public vocabulary file."""
     if not os.path.exists(name):
         import public_tokenizers
 

@@ -8,7 +8,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skyframe.llm import packing, queries
+from skyframe.llm import common, packing, queries
 from tests.llm import cases
 
 SF = "/root/testdata/sf0.001"
@@ -98,3 +98,13 @@ def test_costs_are_balanced():
         cost[sequence] += n + n * n / 4096
     full = [c for s, c in cost.items() if sizes[s] == 2048]
     assert max(full) < 1.1 * min(full)
+
+
+def test_a_worker_gives_the_encoder_back(spark):
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(64)], "doc_id long, text string").repartition(16)
+    assert packing.pack(docs).count() >= 64
+
+    def held(batch):
+        return {"n": [packing.encoder.cache_info().currsize] * batch.num_rows}
+
+    assert {r.n for r in common.map_batches(docs, held, "n long").collect()} == {0}
