@@ -108,33 +108,42 @@ def words_of(texts: pa.Array, hasher: Hasher) -> Words:
     return Words(hasher(LOWER[data], starts, ends), joined, text)
 
 
+def gathered(keys: np.ndarray, counts: np.ndarray | None, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once, with the sum of its counts (None: ones) and the smallest of its owners."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])[:len(keys)]
+    if not len(first):
+        return keys, np.empty(0, np.int64), owners
+    sums = np.diff(np.r_[first, len(keys)]) if counts is None else np.add.reduceat(counts[order], first)
+    return keys[first], sums, np.minimum.reduceat(owners[order], first)
+
+
 class Held:
-    """Counts of 64-bit keys, merged whenever they become many."""
+    """Counts and smallest owners of 64-bit keys, merged whenever they become many."""
 
     def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.rows = 0
 
-    def add(self, keys: np.ndarray) -> None:
-        found, counts = np.unique(keys, return_counts=True)
-        self.parts.append((found, counts))
-        self.rows += len(found)
+    def add(self, keys: np.ndarray, owners: np.ndarray) -> None:
+        self.parts.append(gathered(keys, None, owners))
+        self.rows += len(self.parts[-1][0])
         if self.rows > 4 * HELD:
             self.merge()
 
     def merge(self) -> None:
-        keys = np.concatenate([k for k, _ in self.parts])
-        found, where = np.unique(keys, return_inverse=True)
-        counts = np.bincount(where, np.concatenate([n for _, n in self.parts]), len(found)).astype(np.int64)
-        self.parts, self.rows = [(found, counts)], len(found)
+        self.parts = [gathered(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))]
+        self.rows = len(self.parts[0][0])
 
     def take(self):
         """All counts so far, a batch at a time."""
         if self.parts:
             self.merge()
-            (keys, counts), = self.parts
+            (keys, counts, owners), = self.parts
             for i in range(0, len(keys), 100_000):
-                yield {"key": keys[i:i + 100_000].view(np.int64), "n": counts[i:i + 100_000]}
+                part = slice(i, i + 100_000)
+                yield {"key": keys[part].view(np.int64), "n": counts[part], "owner": owners[part]}
         self.parts, self.rows = [], 0
 
 
@@ -186,15 +195,19 @@ def lang_keys(langs: list[str], seed: int) -> np.ndarray:
 
 @dataclass
 class Keys:
-    """A set of 64-bit keys: sorted, or beyond ``SHIPPED_KEYS`` a bitmap of ``BITMAP`` words, which holds a few more."""
+    """A set of 64-bit keys: sorted, with their owners if they have some, or beyond ``SHIPPED_KEYS`` a bitmap of ``BITMAP`` words,
+    which holds a few more."""
     keys: np.ndarray | None
     bits: np.ndarray | None = None
+    owners: np.ndarray | None = None
 
     @classmethod
     def of(cls, df: DataFrame) -> Keys:
         if df.count() <= SHIPPED_KEYS:
-            found = df.select("key").toArrow().column(0).to_numpy()
-            return cls(np.unique(np.ascontiguousarray(found).view(np.uint64)) if len(found) else np.empty(0, np.uint64))
+            found = df.select("key", *({"owner"} & set(df.columns))).toArrow()
+            keys, *owners = (np.array(c.to_numpy(), np.int64) for c in found.columns)
+            keys, at = np.unique(keys.view(np.uint64), return_index=True)
+            return cls(keys, None, owners[0][at] if owners else None)
         word, bit = F.shiftright("key", 6).bitwiseAND(BITMAP - 1), F.expr("shiftleft(1L, CAST(key & 63 AS INT))")
         found = df.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
         bits = np.zeros(BITMAP, np.int64)
@@ -210,6 +223,25 @@ class Keys:
         at = np.minimum(np.searchsorted(self.keys, values), len(self.keys) - 1)
         return self.keys[at] == values
 
+    def owned(self, values: np.ndarray, owners: np.ndarray) -> np.ndarray:
+        """Which values are in the set and stand in the text that owns them; a bitmap knows no owners."""
+        found = self.has(values)
+        if self.owners is not None:
+            hit = np.flatnonzero(found)
+            found[hit] = self.owners[np.searchsorted(self.keys, values[hit])] == owners[hit]
+        return found
+
+
+def owners_of(words: Words) -> np.ndarray:
+    """For each word a hash of its text's words in their order, which does not depend on where the text is stored."""
+    if not len(words.text):
+        return np.empty(0, np.int64)
+    first = np.flatnonzero(np.r_[True, words.text[1:] != words.text[:-1]])
+    sizes = np.diff(np.r_[first, len(words.text)])
+    place = np.arange(len(words.text)) - np.repeat(first, sizes)
+    sums = np.add.reduceat(mix(words.hashes + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first)
+    return np.repeat(mix(sums).view(np.int64), sizes)
+
 
 def batch_words(batch: pa.RecordBatch, hasher: Hasher, seed: int) -> tuple[Words, np.ndarray]:
     """The words of a batch (lang, text), and each word's language as a key."""
@@ -232,8 +264,8 @@ def runs(hashes: np.ndarray, alive: np.ndarray, lang: np.ndarray, length: int) -
 
 
 def count_runs(texts: DataFrame, lengths: tuple[int, ...], seed: int, common, pairs) -> DataFrame:
-    """(length, key, n): runs of words by hash, of which all words are in ``common`` and, from three words on, all neighbours in
-    ``pairs``; broadcast ``Keys``."""
+    """(length, key, n, owner): runs of words by hash, of which all words are in ``common`` and, from three words on, all neighbours in
+    ``pairs``; broadcast ``Keys``. The owner is the smallest ``owners_of`` of the texts that hold the run."""
     def start():
         hasher, held = Hasher(seed), {n: Held() for n in lengths}
 
@@ -244,9 +276,11 @@ def count_runs(texts: DataFrame, lengths: tuple[int, ...], seed: int, common, pa
             if pairs is not None:
                 at, keys = runs(words.hashes, alive, lang, 2)
                 alive[at] = pairs.value.has(keys)
+            owners = owners_of(words)
             for n in lengths:
                 if len(words.hashes) >= n:
-                    held[n].add(runs(words.hashes, alive, lang, n)[1])
+                    at, keys = runs(words.hashes, alive, lang, n)
+                    held[n].add(keys, owners[at])
 
         def give(last):
             for n, counts in held.items():
@@ -255,11 +289,13 @@ def count_runs(texts: DataFrame, lengths: tuple[int, ...], seed: int, common, pa
                         yield {"length": np.full(len(part["n"]), n, np.int64)} | part
         return take, give
 
-    return map_counts(texts, start, "length long, key long, n long").groupBy("length", "key").agg(F.sum("n").alias("n"))
+    told = map_counts(texts, start, "length long, key long, n long, owner long")
+    return told.groupBy("length", "key").agg(F.sum("n").alias("n"), F.min("owner").alias("owner"))
 
 
 def spell_runs(texts: DataFrame, seed: int, common, pairs, wanted) -> DataFrame:
-    """(lang_key, words) of the runs whose key is in ``wanted`` (broadcast ``Keys`` for each length), each about once a task."""
+    """(lang_key, words) of the runs whose key is in ``wanted`` (broadcast ``Keys`` for each length), each by the text that
+    owns it, so about once in all; beyond ``SHIPPED_KEYS`` about once a task."""
     def start():
         hasher, told, fresh = Hasher(seed), set(), []
 
@@ -270,11 +306,12 @@ def spell_runs(texts: DataFrame, seed: int, common, pairs, wanted) -> DataFrame:
             if pairs is not None:
                 at, keys = runs(words.hashes, alive, lang, 2)
                 alive[at] = pairs.value.has(keys)
+            owners = owners_of(words)
             for length, own in wanted.value.items():
                 if len(words.hashes) < length:
                     continue
                 at, keys = runs(words.hashes, alive, lang, length)
-                hit = np.flatnonzero(own.has(keys))
+                hit = np.flatnonzero(own.owned(keys, owners[at]))
                 at = at[hit][np.unique(keys[hit], return_index=True)[1]] if own.bits is None else at[hit]
                 rows = np.stack([lang[at], *(words.hashes[at + k] for k in range(length))], 1)
                 for row in rows:
