@@ -36,12 +36,11 @@ class Memo:
         if len(self.young) > self.keep:
             self.young, self.old = {}, self.young
         young, old, out = self.young, self.old, []
-        for key in keys:
-            if key not in young:
-                if key in old:
-                    young[key] = old[key]
-                else:
-                    out.append(key)
+        for key in keys.difference(young):
+            if key in old:
+                young[key] = old[key]
+            else:
+                out.append(key)
         return out
 
 
@@ -51,22 +50,37 @@ class Encoder:
     The vocabulary's pattern never matches across white space, and neither normal form nor lower-casing looks
     beyond it, so a text's ids are those of its white-space-separated parts in a row. Parts repeat: what was encoded is
     kept for a while. Parts of plain Latin characters, to which the normal form does nothing, are taken apart further by
-    the vocabulary's own pattern, since words without their punctuation and case repeat even more."""
+    the vocabulary's own pattern, since words without their punctuation and case repeat even more; a text of nothing else is
+    taken apart at once. New words are encoded many at a time, as one text of words between spaces: the last token of each is
+    one of those that end a word."""
 
     PLAIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u017f]+")
+    PLAIN_TEXT = re.compile("[\t-\r\x20-\x7e\xa1-\u012f\u0131-\u017f]*")
     #: Fixed value: the pattern of the vocabulary file.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, file: str, keep_parts: int = 250_000, keep_words: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import json
+
+        import numpy as np
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(file)
+        self.file, self.tokenizer = file, Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
         self.parts, self.words = Memo(keep_parts), Memo(keep_words)
-        same = self.PATTERN in open(file, encoding="utf-8").read().replace("\\\\", "\\")
-        self.split = regex.compile(self.PATTERN).findall if same else None
+        text = open(file, encoding="utf-8").read()
+        same = self.PATTERN in text.replace("\\\\", "\\")
+        pattern = self.PATTERN
+        for kind in ("L", "N"):  # named character by character among the plain ones, which re matches faster than a property
+            pattern = pattern.replace(rf"\p{{{kind}}}", "".join(c for c in map(chr, range(0x180)) if self.PLAIN.match(c) and regex.match(rf"\p{{{kind}}}", c)))
+        self.split = re.compile(pattern).findall if same else None
+        suffix, vocabulary = json.loads(text)["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab()
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         from array import array
@@ -76,22 +90,44 @@ class Encoder:
             out += [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts[i:i + 20_000], add_special_tokens=False)]
         return out
 
+    def _encode_words(self, words: list[str], at_once: int = 1000) -> list[bytes]:
+        import numpy as np
+
+        if self.ends is None:
+            return self._encode(words)
+        out = []
+        for i in range(0, len(words), at_once):
+            some = words[i:i + at_once]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.dtype("<u4"))
+            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(ends) != len(some) or ends[-1] != ids.nbytes:
+                out += self._encode(some)
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        return out
+
     def _learn(self, parts: set[str]) -> None:
         missing = self.parts.missing(parts)
         plain = {p: self.split(p.lower()) for p in missing if self.PLAIN.fullmatch(p)} if self.split else {}
-        words = self.words.missing(set().union(*plain.values()))
-        self.words.young.update(zip(words, self._encode(words), strict=True))
+        self._known(set().union(*plain.values()))
         get = self.words.young.__getitem__
         self.parts.young.update((p, get(w[0]) if len(w) == 1 else b"".join(map(get, w))) for p, w in plain.items())
         other = [p for p in missing if p not in plain]
         self.parts.young.update(zip(other, self._encode(other), strict=True))
 
+    def _known(self, words: set[str]) -> None:
+        missing = self.words.missing(words)
+        self.words.young.update(zip(missing, self._encode_words(missing), strict=True))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if ODD_BREAKS.search(t) else t.split() for t in texts]
+        plain = [self.split(t.lower()) if self.split and self.PLAIN_TEXT.fullmatch(t) else None for t in texts]
+        split = [None if words is not None or ODD_BREAKS.search(t) else t.split() for t, words in zip(texts, plain, strict=True)]
         self._learn(set().union(*filter(None, split)))
-        get = self.parts.young.__getitem__
-        return [self._encode([t])[0] if parts is None else b"".join(map(get, parts))
-                for t, parts in zip(texts, split, strict=True)]
+        self._known(set().union(*filter(None, plain)))
+        get, word = self.parts.young.__getitem__, self.words.young.__getitem__
+        return [b"".join(map(word, words)) if words is not None else self._encode([t])[0] if parts is None else b"".join(map(get, parts))
+                for t, words, parts in zip(texts, plain, split, strict=True)]
 
 
 @kept

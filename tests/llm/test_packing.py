@@ -1,3 +1,4 @@
+import random
 import zlib
 from array import array
 from collections import defaultdict
@@ -108,3 +109,20 @@ def test_a_worker_gives_the_encoder_back(spark):
         return {"n": [packing.encoder.cache_info().currsize] * batch.num_rows}
 
     assert {r.n for r in common.map_batches(docs, held, "n long").collect()} == {0}
+
+
+def test_new_words_are_encoded_many_at_a_time():
+    encode = packing.Encoder(packing.encoder("word_bpe_49k.json").file)
+    tokenizer, told = encode.tokenizer, []
+
+    class Told:
+        def encode_batch_fast(self, texts, **more):
+            told.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **more)
+
+    encode.tokenizer = Told()
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdeé'ß7.", k=rng.randint(1, 9))) for _ in range(4000)]
+    texts = [" ".join(words[:2000]), "\t".join(words[2000:]) + " Ωmega e\u0301", "", " \n", "it's it'S x''s <|endoftext|>"]
+    assert encode(texts) == [array("I", tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    assert len(told) < 20
