@@ -30,7 +30,8 @@ STEPS = (
     # the outer lambda holds the bytes once; a column would be copied out of its row for every run. A place is the offset in bytes
     ("runs", f"sort_array(flatten(transform(array(points), p -> transform(sequence(1, greatest(octet_length(p) - {4 * K}, 0) + 1, 4), "
              f"i -> (xxhash64(substring(p, i, {4 * K})) & {~PLACE}) + i))))"),
-    ("again", f"filter(runs, (v, i) -> shiftright(v, {PLACE_BITS}) = shiftright(get(runs, i - 1), {PLACE_BITS}))"),
+    # each run beside the one before: an element that a lambda looks up by its index costs more
+    ("again", f"array_compact(zip_with(slice(runs, 2, size(runs)), runs, (v, u) -> IF(shiftright(v ^ u, {PLACE_BITS}) = 0, v, NULL)))"),
     ("heads", f"filter(transform(again, (v, i) -> IF(shiftright(v, {PLACE_BITS}) = shiftright(get(again, i - 1), {PLACE_BITS}), -1, i)), i -> i >= 0)"),
     ("numbered", "flatten(transform(heads, (b, r) -> transform(slice(again, b + 1, coalesce(get(heads, r + 1), size(again)) - b), "
                  f"(v, o) -> (xxhash64(v & {~PLACE}, o + 1) & {~PLACE}) | (v & {PLACE}))))"),
@@ -42,8 +43,9 @@ STEPS = (
     ("tuples", f"transform(starts, (b, r) -> transform(sort_array(transform(slice(binned, b + 1, least({EACH}, coalesce(get(starts, r + 1), size(binned)) - b)), "
                f"q -> shiftleft(q & {PLACE}, {ORDER_BITS}) | (shiftrightunsigned(q, {PLACE_BITS}) & {ORDER}))), c -> c & {ORDER}))"),
     ("filled", f"transform(starts, b -> CAST(shiftright(get(binned, b), {64 - BIN_BITS}) + {BINS // 2} AS INT))"),
-    ("{out}", f"transform(sequence(0, {BINS - 1}), j -> CAST(shiftright(xxhash64(get(tuples, CAST(nullif(array_position(filled, j), 0) - 1 AS INT))), 32) AS INT) "
-              "+ IF(array_contains(filled, j), 0, NULL))"),
+    ("hashed", "transform(tuples, t -> CAST(shiftright(xxhash64(t), 32) AS INT))"),
+    # most texts fill all bins, so nothing is looked for
+    ("{out}", f"IF(size(filled) = {BINS}, hashed, transform(sequence(0, {BINS - 1}), j -> get(hashed, CAST(nullif(array_position(filled, j), 0) - 1 AS INT))))"),
 )
 
 
@@ -58,8 +60,7 @@ def sketch(df: DataFrame, text: str, out: str) -> DataFrame:
 
 def shown(sketch: Column | str) -> Column:
     """A sketch as text: eight hexadecimal digits for each bin, dots for an empty one."""
-    return F.array_join(F.transform(sketch, lambda x: F.coalesce(F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0")),
-                                                                 F.lit("........"))), "")
+    return F.lower(F.array_join(F.transform(sketch, lambda x: F.coalesce(F.lpad(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0"), F.lit("........"))), ""))
 
 
 def likeness(a: str, b: str) -> Column:

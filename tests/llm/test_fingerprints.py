@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions
 
 from skyframe.llm import fingerprints as fp
 from tests.llm import cases
@@ -116,3 +117,19 @@ def test_sensitive_to_order_and_edits():
     assert alike(own, plain(few)) > alike(own, plain(many)) + 0.2
     assert alike(own, plain(moved)) < 0.75  # a set of runs would say 0.97 or more
     assert alike(own, plain(" ".join(reversed(words)))) < 0.6
+
+
+def test_a_full_sketch_looks_nothing_up(spark):
+    """Bins are searched only where some are empty, and repeated runs are found without an index; results are as before."""
+    rng = random.Random(5)
+    texts = ["", "short", "abc " * 200, "a text that fills few bins", "é中😀" * 40, *["".join(rng.choices("abcdefgh ", k=4000)) for _ in range(12)]]
+    found = fp.sketch(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "text", "sketch")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "if ((size(filled" in plan and "array_contains" not in plan and "get(runs" not in plan
+    rows = {r.doc_id: r.sketch for r in found.collect()}
+    assert any(None not in x for x in rows.values()) and None in rows[1] and sum(x is not None for x in rows[0]) == 1
+    kept = "transform(sequence(0, 63), j -> CAST(shiftright(xxhash64(get(tuples, CAST(nullif(array_position(filled, j), 0) - 1 AS INT))), 32) AS INT) + IF(array_contains(filled, j), 0, NULL))"
+    before = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for name, step in [*fp.STEPS[:-2], ("sketch", kept)]:
+        before = before.withColumn(name, functions.expr(step.format(text="text")))
+    assert rows == {r.doc_id: r.sketch for r in before.select("doc_id", "sketch").collect()}
