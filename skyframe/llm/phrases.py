@@ -7,19 +7,23 @@ Four passes over the texts, all in Spark tasks over Arrow batches:
 3. where all neighbours in a row reach the least count, their runs of three to five words are counted by hash too. What
    reaches the least count in 2 and 3 are the candidates; by Apriori no other phrase can be frequent, since a frequent
    phrase has only frequent parts;
-4. the candidates become double-array tries, cut into shards of bounded size. Each shard is broadcast; numpy advances the states
-   of all text positions of a batch at once, level by level, and counts the accepting states, and the counts of all batches
-   are added up. These counts are by words, not by hashes of phrases.
+4. the candidates, spelled in one more pass, become double-array tries, one for each so many first words. They are broadcast
+   together; for each trie numpy advances the states of all positions of a batch that begin there at once, level by level, and counts the
+   accepting states, and the counts of all batches are added up. These counts are by words, not by hashes of phrases. Only
+   candidates that one driver cannot hold are cut into shards, a pass over the texts for each.
 
 In tries and texts a word stands for itself by 64 bits of hash; frequent words with equal hashes are told apart by another seed."""
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from skyframe.llm.common import cut, small_batches
@@ -31,13 +35,15 @@ LONGEST = 5
 HELD = 400_000
 #: Keys that are shipped as they are, 8 bytes each, and the words of the bitmap that stands for more, 32 MB.
 SHIPPED_KEYS, BITMAP = 2_000_000, 1 << 22
-#: Candidates in one trie, some 200 bytes each; more take one pass over the texts for each so many.
-SHARD = 200_000
+#: Candidates in one trie, about; in a large one a place for the many children of a state is hard to find.
+TRIE = 32_768
+#: Candidates counted in one pass over the texts, some 150 bytes each on the driver and 60 in a task; more take a pass for each so many.
+SHARD = 3_000_000
 #: Phrases whose counts go together, and parts in which the tasks' counts are added up first.
 CHUNK, PARTS = 1024, 64
 WORD, BREAK = 0, 2
-#: Places of a trie looked at in one go for a state's children.
-WINDOW = 256
+#: Places of a trie looked at in one go for a state's children, and children up to which states get their places in draws, all at once.
+WINDOW, DRAWN = 256, 16
 KINDS = np.array([BREAK if c in ENDS else 1 if c in BLANKS else WORD for c in range(256)], np.uint8)
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 SPLIT = bytes(32 if KINDS[c] else LOWER[c] for c in range(256))
@@ -160,7 +166,7 @@ def map_counts(df: DataFrame, start, schema: str) -> DataFrame:
 
         def told(last):
             for columns in give(last):
-                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x := columns[f.name], pa.Array) else pa.array(x, f.type) for f in arrow], schema=arrow)
 
         for batch in batches:
             take(batch)
@@ -201,6 +207,43 @@ class Keys:
     bits: np.ndarray | None = None
     owners: np.ndarray | None = None
 
+    def __getstate__(self):
+        return {"keys": self.keys, "bits": self.bits, "owners": self.owners}
+
+    @cached_property
+    def buckets(self) -> np.ndarray:
+        """For each beginning of a key (``shift``: the bits after it) the first key that has it or a larger one."""
+        return np.searchsorted(self.keys >> self.shift, np.arange((1 << 64 - int(self.shift)) + 1, dtype=np.uint64)).astype(np.int32)
+
+    @cached_property
+    def shift(self) -> np.uint64:
+        return np.uint64(64 - max(1, len(self.keys).bit_length()))
+
+    def places(self, values: np.ndarray) -> np.ndarray:
+        """The place of each value among the keys, -1 where it is none. Hashes lie evenly, so few keys begin alike."""
+        if not len(self.keys):
+            return np.full(len(values), -1)
+        top = (values >> self.shift).astype(np.int64)
+        at = self.buckets[top].astype(np.int64)
+        found = self.keys[np.minimum(at, len(self.keys) - 1)]
+        out = np.where(found == values, at, -1)
+        rest = np.flatnonzero((found < values) & (at < len(self.keys)))
+        at, end, wanted = at[rest] + 1, self.buckets[top[rest] + 1], values[rest]
+        for _ in range(8):
+            on = at < end
+            if not on.all():
+                rest, at, end, wanted = rest[on], at[on], end[on], wanted[on]
+            if not len(rest):
+                return out
+            found = self.keys[at]
+            hit = found == wanted
+            out[rest[hit]] = at[hit]
+            on = found < wanted
+            rest, at, end, wanted = rest[on], at[on] + 1, end[on], wanted[on]
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        out[rest] = np.where(self.keys[at] == wanted, at, -1)
+        return out
+
     @classmethod
     def of(cls, df: DataFrame) -> Keys:
         if df.count() <= SHIPPED_KEYS:
@@ -218,18 +261,7 @@ class Keys:
         if self.bits is not None:
             words = self.bits[((values >> np.uint64(6)) & np.uint64(BITMAP - 1)).astype(np.int64)]
             return (words >> (values & np.uint64(63))) & np.uint64(1) == 1
-        if not len(self.keys):
-            return np.zeros(len(values), bool)
-        at = np.minimum(np.searchsorted(self.keys, values), len(self.keys) - 1)
-        return self.keys[at] == values
-
-    def owned(self, values: np.ndarray, owners: np.ndarray) -> np.ndarray:
-        """Which values are in the set and stand in the text that owns them; a bitmap knows no owners."""
-        found = self.has(values)
-        if self.owners is not None:
-            hit = np.flatnonzero(found)
-            found[hit] = self.owners[np.searchsorted(self.keys, values[hit])] == owners[hit]
-        return found
+        return self.places(values) >= 0
 
 
 def owners_of(words: Words) -> np.ndarray:
@@ -295,9 +327,10 @@ def count_runs(texts: DataFrame, lengths: tuple[int, ...], seed: int, common, pa
 
 def spell_runs(texts: DataFrame, seed: int, common, pairs, wanted) -> DataFrame:
     """(lang_key, words) of the runs whose key is in ``wanted`` (broadcast ``Keys`` for each length), each by the text that
-    owns it, so about once in all; beyond ``SHIPPED_KEYS`` about once a task."""
+    owns it, so about once in all; beyond ``SHIPPED_KEYS`` about once a task. Neighbours in longer runs are in ``pairs`` or, where
+    that is None, in what is wanted of length 2, if anything is."""
     def start():
-        hasher, told, fresh = Hasher(seed), set(), []
+        hasher, told, fresh, names = Hasher(seed), {}, [], set()
 
         def take(batch):
             words, lang = batch_words(batch, hasher, seed)
@@ -307,25 +340,41 @@ def spell_runs(texts: DataFrame, seed: int, common, pairs, wanted) -> DataFrame:
                 at, keys = runs(words.hashes, alive, lang, 2)
                 alive[at] = pairs.value.has(keys)
             owners = owners_of(words)
-            for length, own in wanted.value.items():
+            for length, own in sorted(wanted.value.items()):
                 if len(words.hashes) < length:
                     continue
                 at, keys = runs(words.hashes, alive, lang, length)
-                hit = np.flatnonzero(own.owned(keys, owners[at]))
-                at = at[hit][np.unique(keys[hit], return_index=True)[1]] if own.bits is None else at[hit]
-                rows = np.stack([lang[at], *(words.hashes[at + k] for k in range(length))], 1)
-                for row in rows:
-                    name = row.tobytes()
-                    if name not in told:
-                        told.add(name)
-                        fresh.append(row.view(np.int64))
+                if own.bits is None:
+                    places = own.places(keys)
+                    if length == 2 and pairs is None:
+                        alive[at] = places >= 0
+                    known = told.setdefault(length, np.zeros(len(own.keys), bool))
+                    hit = np.flatnonzero(places >= 0)
+                    hit = hit[~known[places[hit]]]
+                    if own.owners is not None:
+                        hit = hit[own.owners[places[hit]] == owners[at[hit]]]
+                    places, first = np.unique(places[hit], return_index=True)
+                    known[places] = True
+                    at = at[hit[first]]
+                    rows = np.stack([lang[at], *(words.hashes[at + k] for k in range(length))], 1)
+                else:
+                    held = own.has(keys)
+                    if length == 2 and pairs is None:
+                        alive[at] = held
+                    at = at[held]
+                    rows = np.unique(np.stack([lang[at], *(words.hashes[at + k] for k in range(length))], 1), axis=0)
+                    new = [i for i, row in enumerate(rows) if (name := row.tobytes()) not in names and not names.add(name)]
+                    rows = rows[new]
+                if len(rows):
+                    fresh.append(rows.view(np.int64))
 
         def give(last):
-            if fresh:
-                yield {"lang_key": [int(r[0]) for r in fresh], "words": [r[1:] for r in fresh]}
-                fresh.clear()
-            if len(told) > HELD:
-                told.clear()
+            for rows in fresh:
+                ends = np.arange(len(rows) + 1, dtype=np.int32) * (rows.shape[1] - 1)
+                yield {"lang_key": rows[:, 0], "words": pa.ListArray.from_arrays(ends, np.ascontiguousarray(rows[:, 1:]).ravel())}
+            fresh.clear()
+            if len(names) > HELD:
+                names.clear()
         return take, give
 
     return map_counts(texts, start, "lang_key long, words array<long>")
@@ -343,54 +392,83 @@ class Trie:
 
     @classmethod
     def of(cls, paths: list[np.ndarray]) -> Trie:
-        """``paths``: for each phrase the keys of its language and words."""
-        symbols = np.unique(np.concatenate(paths)) if paths else np.empty(0, np.uint64)
-        longest = max(map(len, paths), default=0)
-        codes = np.full((len(paths), longest), -1, np.int64)
-        for i, path in enumerate(paths):
-            codes[i, :len(path)] = np.searchsorted(symbols, path)
-        size = 2 * (sum(map(len, paths)) + len(symbols)) + 16
-        base, check, accepts = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.full(size, -1, np.int64)
-        state = np.zeros(len(paths), np.int64)
-        check[0] = 0
-        cursor = 1
+        """``paths``: for each phrase the keys of its language and words, no two alike."""
+        sizes = np.array([len(p) for p in paths], np.int64)
+        return cls.laid(*coded_paths(np.concatenate(paths) if paths else np.empty(0, np.uint64), sizes))
 
-        def grow(more: int) -> None:
-            nonlocal base, check, accepts
-            base, check, accepts = (np.concatenate([a, np.full(more, v, np.int64)]) for a, v in ((base, 0), (check, -1), (accepts, -1)))
-
-        for level in range(longest):
+    @classmethod
+    def laid(cls, symbols: np.ndarray, codes: np.ndarray) -> Trie:
+        """``codes``: for each phrase the places of its keys in ``symbols``, -1 after its end.
+
+        The states are found level by level first. Then each state's children get places: those of many children one state after the
+        other, at the first free places that fit; those of up to ``DRAWN`` children in draws, all states of as many children at once:
+        what was drawn twice or is taken is drawn anew; single children fill what is free."""
+        width, node, count = max(len(symbols), 1), np.zeros(len(codes), np.int64), 1
+        parents, edges = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for level in range(codes.shape[1]):
             alive = np.flatnonzero(codes[:, level] >= 0)
-            edges, which = np.unique(np.stack([state[alive], codes[alive, level]], 1), axis=0, return_inverse=True)
-            parents, first, fan = np.unique(edges[:, 0], return_index=True, return_counts=True) if len(edges) else ([], [], [])
-            child = np.empty(len(edges), np.int64)
-            several = [k for k in np.argsort(-np.asarray(fan), kind="stable").tolist() if fan[k] > 1] if len(edges) else []
-            for k in several:
-                own = edges[first[k]:first[k] + fan[k], 1]
-                while True:
-                    # the smallest symbol goes to a free place; all others must be free too
-                    if cursor + WINDOW + len(symbols) > len(check):
-                        grow(len(check) + WINDOW + len(symbols))
-                    free = cursor + np.flatnonzero(check[cursor:cursor + WINDOW] < 0)
-                    fits = (check[free[:, None] + (own - own[0])[None, :]] < 0).all(axis=1)
-                    if fits.any():
-                        places = free[np.argmax(fits)] + own - own[0]
-                        break
-                    cursor += WINDOW
-                base[parents[k]] = places[0] - own[0]
-                check[places] = parents[k]
-                child[first[k]:first[k] + fan[k]] = places
-            single = np.flatnonzero(np.asarray(fan) == 1)
-            if len(single):
-                if np.count_nonzero(check < 0) < len(single):
-                    grow(len(single))
-                at = np.flatnonzero(check < 0)[:len(single)]
-                base[parents[single]] = at - edges[first[single], 1]
-                check[at] = parents[single]
-                child[first[single]] = at
-            state[alive] = child[which.ravel()]
-        accepts[state] = np.arange(len(paths))
-        return cls(symbols, base, check, accepts)
+            found, which = np.unique(node[alive] * width + codes[alive, level], return_inverse=True)
+            parents.append(found // width)
+            edges.append(found % width)
+            node[alive] = count + which.ravel()
+            count += len(found)
+        parent, edge = np.concatenate(parents), np.concatenate(edges)
+        size = 2 * count + 16
+        check, place = np.full(size + width, -1, np.int32), np.zeros(count, np.int64)
+        check[0] = 0
+        # the children of a state follow each other, as the states of a level are in the order of their parents
+        first = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]])[:len(parent)]
+        fan = np.diff(np.r_[first, len(parent)])
+        # children k have the number k + 1, as the root is 0; marked with 0, their check follows when all have places
+        def put(groups: np.ndarray, at: np.ndarray) -> None:
+            """The children of ``groups``, all of as many, go to ``at``."""
+            check[at] = 0
+            place[1 + first[groups][:, None] + np.arange(at.shape[1])] = at
+
+        def fitted(group: int, cursor: int) -> int:
+            nonlocal check
+            own = edge[first[group]:first[group] + fan[group]]
+            while True:
+                # the smallest symbol goes to a free place; all others must be free too
+                if cursor + WINDOW + width > len(check):
+                    check = np.concatenate([check, np.full(len(check) + WINDOW + width, -1, np.int32)])
+                free = cursor + np.flatnonzero(check[cursor:cursor + WINDOW] < 0)
+                fits = (check[free[:, None] + (own - own[0])[None, :]] < 0).all(axis=1)
+                if fits.any():
+                    put(np.array([group]), (free[np.argmax(fits)] + own - own[0])[None, :])
+                    return cursor
+                cursor += WINDOW
+
+        cursor, rng = 1, np.random.default_rng(count)
+        wide = np.flatnonzero(fan > DRAWN)
+        for group in wide[np.argsort(-fan[wide], kind="stable")].tolist():
+            cursor = fitted(group, cursor)
+        for n in range(DRAWN, 1, -1):
+            left = np.flatnonzero(fan == n)
+            for _ in range(60):
+                if not len(left):
+                    break
+                free = np.flatnonzero(check[:size] < 0)
+                some = left[:max(64, len(free) // (4 * n))]
+                own = edge[first[some][:, None] + np.arange(n)]
+                at = free[rng.integers(0, len(free), len(some))][:, None] + own - own[:, :1]
+                good = np.flatnonzero((check[at] < 0).all(axis=1))
+                flat = at[good].ravel()
+                order = np.argsort(flat, kind="stable")
+                twice = order[1:][flat[order][1:] == flat[order][:-1]]
+                good = np.delete(good, np.unique(twice // n))
+                put(some[good], at[good])
+                left = np.concatenate([np.delete(some, good), left[len(some):]])
+            for group in left.tolist():
+                cursor = fitted(group, cursor)
+        single = np.flatnonzero(fan == 1)
+        put(single, np.flatnonzero(check < 0)[:len(single)][:, None])
+        base, accepts = np.zeros(len(check), np.int32), np.full(len(check), -1, np.int32)
+        check[place[1:]] = place[parent]
+        base[place[parent[first]]] = place[1 + first] - edge[first]
+        accepts[place[node]] = np.arange(len(codes))
+        used = int(place.max()) + 1
+        return cls(symbols, base[:used].copy(), check[:used].copy(), accepts[:used].copy())
 
     def step(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """The states' children by the symbols (-1: no symbol), -1 where there is none."""
@@ -399,26 +477,34 @@ class Trie:
         to = np.where(ok, to, 0)
         return np.where(ok & (self.check[to] == states) & (to > 0), to, -1)
 
+    @cached_property
+    def index(self) -> Keys:
+        return Keys(self.symbols)
+
     def coded(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.symbols):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.symbols, keys), len(self.symbols) - 1)
-        return np.where(self.symbols[at] == keys, at, -1)
-
-    def count(self, words: Words, lang: np.ndarray) -> np.ndarray:
-        """How often each state is reached from any position."""
-        codes = self.coded(words.hashes)
-        states = self.step(np.zeros(len(codes), np.int64), self.coded(lang))
-        at = np.flatnonzero((states >= 0) & (codes >= 0))
-        states, out = states[at], np.zeros(len(self.check), np.int64)
+        return self.index.places(keys)
+
+    def reached(self, words: Words, lang: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+        """The states reached from the positions ``at``, length by length, each as often as it is reached."""
+        states = self.step(np.zeros(len(at), np.int64), self.coded(lang[at]))
         while len(at):
-            states = self.step(states, codes[at])
+            on = states >= 0
+            at, states = at[on], states[on]
+            states = self.step(states, self.coded(words.hashes[at]))
             alive = states >= 0
             at, states = at[alive], states[alive]
-            out += np.bincount(states, minlength=len(out))
-            on = words.joined[at] if len(at) else np.empty(0, bool)
+            yield states
+            on = words.joined[at]
             at, states = at[on] + 1, states[on]
-        return out
+
+
+def coded_paths(keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and a row of their places for each path, -1 after its end; ``keys`` has the paths one after the other."""
+    symbols = np.unique(keys)
+    codes = np.full((len(sizes), int(sizes.max(initial=0))), -1, np.int32)
+    first = np.cumsum(sizes) - sizes
+    codes[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(keys)) - np.repeat(first, sizes)] = Keys(symbols).places(keys)
+    return symbols, codes
 
 
 def summed(table: pa.Table) -> np.ndarray:
@@ -427,32 +513,80 @@ def summed(table: pa.Table) -> np.ndarray:
     return counts.flatten().to_numpy().reshape(len(counts), -1).sum(axis=0)
 
 
-def count_phrases(texts: DataFrame, shard: list, seed: int) -> DataFrame:
+def shard_codes(shard: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """``coded_paths`` of phrases (lang_key, words)."""
+    words = shard.column("words").combine_chunks()
+    sizes = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    keys = np.empty(int(sizes.sum()), np.uint64)
+    begins = np.cumsum(sizes) - sizes
+    inside = np.ones(len(keys), bool)
+    inside[begins] = False
+    keys[begins] = shard.column("lang_key").to_numpy().view(np.uint64)
+    keys[inside] = words.flatten().to_numpy().view(np.uint64)
+    return coded_paths(keys, sizes)
+
+
+@dataclass
+class Forest:
+    """Tries of phrases by their language and first word, as many as a power of two; ``first`` numbers each trie's phrases on."""
+    tries: list[Trie]
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, shard: pa.Table) -> tuple[Forest, pa.Table]:
+        """The tries of phrases (lang_key, words), and the phrases in the order of their numbers."""
+        several = 1 << max(0, (len(shard) - 1) // TRIE).bit_length()
+        heads = pc.list_element(shard.column("words"), 0).to_numpy().view(np.uint64)
+        home = cls.homes(heads, shard.column("lang_key").to_numpy().view(np.uint64), several)
+        order = np.argsort(home, kind="stable")
+        first = np.searchsorted(home[order], np.arange(several + 1))
+        shard = shard.take(pa.array(order)).combine_chunks()
+        return cls([Trie.laid(*shard_codes(shard.slice(a, b - a))) for a, b in zip(first[:-1], first[1:], strict=True)], first), shard
+
+    @staticmethod
+    def homes(heads: np.ndarray, lang: np.ndarray, several: int) -> np.ndarray:
+        return ((heads ^ lang) & np.uint64(several - 1)).astype(np.uint16 if several <= 1 << 16 else np.uint32)
+
+    def reached(self, words: Words, lang: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(trie, states reached in it) from any position from which a piece goes on."""
+        at = np.flatnonzero(words.joined)
+        home = self.homes(words.hashes[at], lang[at], len(self.tries))
+        order = np.argsort(home, kind="stable")
+        ends = np.searchsorted(home[order], np.arange(len(self.tries) + 1))
+        for k, trie in enumerate(self.tries):
+            for states in trie.reached(words, lang, at[order[ends[k]:ends[k + 1]]]):
+                yield k, states
+
+
+def count_phrases(texts: DataFrame, shard: pa.Table, seed: int) -> DataFrame:
     """(lang_key, words, n) of a shard's phrases (lang_key, words) that occur.
 
     A task tells its counts as arrays, one for each run of ``CHUNK`` phrases; they are added up in two steps, so that a group is some
     hundredths of the tasks' arrays at most."""
-    paths = [np.array([r["lang_key"], *r["words"]], np.int64).view(np.uint64) for r in shard]
-    shipped = texts.sparkSession.sparkContext.broadcast((Trie.of(paths), paths))
+    forest, shard = Forest.of(shard)
+    ship = texts.sparkSession.sparkContext.broadcast
+    shipped, spelled = ship(forest), ship(shard)
 
     def start():
         from pyspark import TaskContext
 
-        trie, paths = shipped.value
-        hasher, total = Hasher(seed), np.zeros(len(trie.check), np.int64)
+        forest = shipped.value
+        hasher, total = Hasher(seed), [np.zeros(len(trie.check), np.int64) for trie in forest.tries]
         part = TaskContext.get().partitionId() % PARTS
 
         def take(batch):
-            nonlocal total
-            total += trie.count(*batch_words(batch, hasher, seed))
+            for k, states in forest.reached(*batch_words(batch, hasher, seed)):
+                np.add.at(total[k], states, 1)
 
         def give(last):
-            if last and total.any():
-                states = np.flatnonzero(trie.accepts >= 0)
-                counts = np.zeros(len(paths), np.int64)
-                counts[trie.accepts[states]] = total[states]
-                chunks = [counts[i:i + CHUNK] for i in range(0, len(counts), CHUNK)]
-                yield {"chunk": list(range(len(chunks))), "part": [part] * len(chunks), "counts": chunks}
+            if last and any(t.any() for t in total):
+                counts = np.zeros(forest.first[-1], np.int64)
+                for first, trie, reached in zip(forest.first, forest.tries, total, strict=False):
+                    states = np.flatnonzero(trie.accepts >= 0)
+                    counts[first + trie.accepts[states]] = reached[states]
+                for i in range(0, len(counts), 100 * CHUNK):
+                    chunks = [counts[k:k + CHUNK] for k in range(i, min(i + 100 * CHUNK, len(counts)), CHUNK)]
+                    yield {"chunk": [i // CHUNK + k for k in range(len(chunks))], "part": [part] * len(chunks), "counts": chunks}
         return take, give
 
     def add(table: pa.Table) -> pa.Table:
@@ -461,8 +595,10 @@ def count_phrases(texts: DataFrame, shard: list, seed: int) -> DataFrame:
     def name(table: pa.Table) -> pa.Table:
         counts, first = summed(table), table.column("chunk")[0].as_py() * CHUNK
         found = np.flatnonzero(counts)
-        own = [shipped.value[1][first + i].view(np.int64) for i in found]
-        return pa.table({"lang_key": pa.array([int(p[0]) for p in own], pa.int64()), "words": pa.array([p[1:] for p in own], pa.list_(pa.int64())), "n": counts[found]})
+        own = spelled.value.take(pa.array(first + found)).combine_chunks()
+        words = own.column("words").combine_chunks()
+        ends = np.cumsum(np.r_[0, words.value_lengths().to_numpy(zero_copy_only=False)]).astype(np.int32)
+        return pa.table({"lang_key": own.column("lang_key").cast(pa.int64()), "words": pa.ListArray.from_arrays(ends, words.flatten().cast(pa.int64())), "n": counts[found]})
 
     told = map_counts(texts, start, "chunk long, part long, counts array<long>")
     parts = told.groupBy("chunk", "part").applyInArrow(add, "chunk long, counts array<long>")
@@ -481,18 +617,17 @@ def keyed_words(words: DataFrame, seed: int) -> DataFrame:
     return words.select("lang", "word", "n").mapInArrow(run, "lang string, word binary, n long, lang_key long, word_key long, key long")
 
 
-def candidates(texts: DataFrame, frequent: DataFrame, at_least: int, seed: int) -> list[DataFrame]:
-    """Tables (lang_key, words) of the runs of 2 to ``LONGEST`` words that can reach ``at_least``, by the keys of their words."""
+def candidates(texts: DataFrame, frequent: DataFrame, at_least: int, seed: int) -> DataFrame | None:
+    """(lang_key, words) of the runs of 2 to ``LONGEST`` words that can reach ``at_least``, by the keys of their words; None: no run can."""
     ship = texts.sparkSession.sparkContext.broadcast
-    common, pairs, found = ship(Keys.of(frequent)), None, []
+    common, pairs, wanted = ship(Keys.of(frequent)), None, {}
     for lengths in ((2,), tuple(range(3, LONGEST + 1))):
         counted = cut(count_runs(texts, lengths, seed, common, pairs).where(F.col("n") >= at_least), "runs")
         if counted.isEmpty():
             break
-        wanted = {n: Keys.of(counted.where(F.col("length") == n)) for n in lengths}
-        found.append(cut(spell_runs(texts, seed, common, pairs, ship(wanted)).distinct(), "spelled"))
+        wanted |= {n: Keys.of(counted.where(F.col("length") == n)) for n in lengths}
         pairs = pairs or ship(wanted[2])
-    return found
+    return cut(spell_runs(texts, seed, common, None, ship(wanted)).distinct(), "spelled") if wanted else None
 
 
 def frequent_phrases(docs: DataFrame, at_least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -505,13 +640,12 @@ def frequent_phrases(docs: DataFrame, at_least: int) -> tuple[DataFrame, DataFra
         if frequent.select("lang_key", "word_key").distinct().count() == frequent.count():
             break
     phrases = frequent.select("lang_key", F.array("word_key").alias("words"), "n")
-    found = candidates(texts, frequent, at_least, seed)
-    if found:
-        spelled = found[0].unionByName(found[1]) if len(found) > 1 else found[0]
+    spelled = candidates(texts, frequent, at_least, seed)
+    if spelled is not None:
         shards = -(-spelled.count() // SHARD)
         for k in range(shards):
             # at most about SHARD rows
-            shard = spelled.where(F.pmod(F.xxhash64("lang_key", "words"), F.lit(shards)) == k).collect()
+            shard = spelled.where(F.pmod(F.xxhash64("lang_key", "words"), F.lit(shards)) == k).toArrow()
             exact = count_phrases(texts, shard, seed).where(F.col("n") >= at_least)
             phrases = phrases.unionByName(cut(exact, "phrases"))
     return phrases, frequent.select("lang_key", "word_key", "lang", "word"), counted.groupBy("lang").agg(F.sum("n").alias("total"))
